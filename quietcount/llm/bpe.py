@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a public word-level BPE vocabulary, by prefix-sharing trie traversal.
 
-Each task reads Arrow batches. The distinct words of a batch that the task has not met yet go into a
+Each task reads Arrow batches. The distinct words of a batch that the task has not met yet form a
 trie; a depth-first walk gives every node the last token of its prefix's encoding, found from the
-last tokens of the ancestors: token t may end a prefix when t's bytes end it and the pair (last
-token before t, t) would not be merged or split differently. A prefix that many words share is
+last tokens of the ancestors: token t ends a prefix when t's bytes end it (a suffix automaton of
+the vocabulary lists these) and the pair (last token before t, t) is one that BPE leaves standing. A prefix that many words share is
 thus encoded once, and a word's tokens are read back along the chain of last tokens.
 
 The work is a map over rows: no shuffle, memory bounded by a batch and by `CACHE_WORDS` cached
@@ -18,16 +18,20 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietcount.llm.common import documents
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 400_000, 1_000_000, 1024
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary file's pattern for pieces of a word.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -74,16 +78,47 @@ class WordBpe:
         for n, s in enumerate(names):
             into = self.ending if s.endswith(end) else self.inner
             into[bytes(back[c] for c in s.removesuffix(end))] = n
-        self.longest = max(map(len, [*self.inner, *self.ending]))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.sizes = [0] * len(names)
+        for bag in (self.inner, self.ending):
+            for t in [x for x in bag.items() if not self.whole(x[1])]:  # BPE never makes these
+                del bag[t[0]]
+            for token, n in bag.items():
+                self.sizes[n] = len(token)
+        self.match_suffixes()
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-
-    def fit(self, left: int, right: int) -> bool:
-        """Whether `left`, `right` is what BPE makes of their joined bytes."""
-        known = self.fits.get((left, right))
-        if known is None:
-            known = self.fits[left, right] = self._fit(left, right)
-        return known
+        self.texts = pa.array([self.text.get(i, "") for i in range(max(self.text) + 1)], pa.string())
+
+    def match_suffixes(self) -> None:
+        """An automaton over bytes (256 + byte where it ends a word): after any prefix, `ends[state]` lists
+        the tokens that end it, longest first, as (size, token)."""
+        self.go: list[dict[int, int]] = [{}]
+        own: list[tuple] = [()]
+        for bag, final in ((self.inner, 0), (self.ending, 256)):
+            for token, n in bag.items():
+                state = 0
+                for symbol in (*token[:-1], token[-1] + final):
+                    after = self.go[state].get(symbol)
+                    if after is None:
+                        after = self.go[state][symbol] = len(self.go)
+                        self.go.append({})
+                        own.append(())
+                    state = after
+                own[state] = ((len(token), n),)
+        self.back = [0] * len(self.go)
+        self.ends = list(own)
+        row = list(self.go[0].values())
+        while row:
+            row_after = []
+            for state in row:
+                self.ends[state] = own[state] + self.ends[self.back[state]]
+                for symbol, after in self.go[state].items():
+                    b = self.back[state]
+                    while b and symbol not in self.go[b]:
+                        b = self.back[b]
+                    self.back[after] = self.go[b].get(symbol, 0)
+                    row_after.append(after)
+            row = row_after
 
     def _fit(self, left: int, right: int) -> bool:
         # Undo the later of the two tokens step by step; a merge across the seam that comes before
@@ -105,15 +140,6 @@ class WordBpe:
                     if left == before:
                         return True
 
-    def last_token(self, prefix: bytes, lasts: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of the prefix's encoding; lasts[k] is that of its first k bytes."""
-        n = len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            t = tokens.get(prefix[n - size :])
-            if t is not None and (size == n and self.whole(t) or size < n and self.fit(lasts[n - size], t)):
-                return t
-        raise ValueError(f"no token ends {prefix!r}")
-
     def whole(self, t: int) -> bool:
         """Whether BPE makes the token t of its own bytes."""
         left, right = self.split[t]
@@ -128,45 +154,48 @@ class WordBpe:
             self.merged[left, right] = held
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words by one depth-first walk over their trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w[:-1]:
-                node = node.setdefault(b, {})
-            node.setdefault(None, []).append(w)
+        """Encodings of distinct words by one depth-first walk over their trie.
+
+        The trie is held as the sorted words: their order is its depth-first order, and the part that a
+        word shares with the one before is the path that the walk stays on.
+        """
         out: dict[bytes, tuple[int, ...]] = {}
-        lasts: list[int] = [-1]
-        stack: list[tuple[dict, bytes]] = [(root, b"")]
-        while stack:
-            node, prefix = stack.pop()
-            del lasts[max(len(prefix), 1) :]
-            if prefix:
-                lasts.append(self.last_token(prefix, lasts, self.inner))
-            for w in node.get(None, ()):
-                out[w] = self._tokens(w, lasts)
-            stack.extend((child, prefix + bytes((b,))) for b, child in node.items() if b is not None)
+        lasts, states, before = [-1], [0], b""  # of each prefix of the word before
+        ids, sizes, go, back, ends, fits = self.ids, self.sizes, self.go, self.back, self.ends, self.fits
+        for w in sorted(words):
+            n = len(w)
+            shared, most = 0, min(len(before), n) - 1
+            while shared < most and before[shared] == w[shared]:
+                shared += 1
+            del lasts[shared + 1 :], states[shared + 1 :]
+            for k in range(shared + 1, n + 1):
+                symbol, state = w[k - 1] + (k == n and 256), states[-1]
+                while symbol not in go[state]:
+                    state = back[state]
+                state = go[state][symbol]
+                for size, t in ends[state]:
+                    if size == k:
+                        break
+                    pair = lasts[k - size] << 20 | t
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = self._fit(pair >> 20, t)
+                    if fit:
+                        break
+                else:
+                    raise ValueError(f"no token ends {w[:k]!r}")
+                lasts.append(t)
+                states.append(state)
+            before, coded = w, []
+            while n > 0:
+                t = lasts[n]
+                coded.append(ids[t])
+                n -= sizes[t]
+            out[w] = tuple(coded[::-1])
+        if len(fits) > CACHE_PAIRS:
+            fits.clear()
         return out
 
-    def _tokens(self, word: bytes, lasts: list[int]) -> tuple[int, ...]:
-        t, n, back = self.last_token(word, lasts, self.ending), len(word), []
-        sizes = self.sizes
-        while True:
-            back.append(self.ids[t])
-            n -= sizes[t]
-            if n <= 0:
-                return tuple(reversed(back))
-            t = lasts[n]
-
-    @property
-    def sizes(self) -> list[int]:
-        if not hasattr(self, "_sizes"):
-            self._sizes = [0] * len(self.split)
-            for bag in (self.inner, self.ending):
-                for s, n in bag.items():
-                    self._sizes[n] = len(s)
-        return self._sizes
-
     def chunks(self, text: str) -> list[str | int]:
         """White-space separated, normalised words, and the ids of special tokens written in the text."""
         out: list[str | int] = []
@@ -179,32 +208,30 @@ class WordBpe:
             out += re.split(r"[\x20\x09-\x0D\x85\xa0]+", part) if re.search("[\x1c-\x1f]", part) else part.split()
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Puts the encodings of new words into the cache."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        pieces = {w: [p.encode() for p in self.pieces.findall(w)] for w in new}
-        coded = self.encode_words({p for ps in pieces.values() for p in ps})
-        for w, ps in pieces.items():
-            self.words[w] = tuple(i for p in ps for i in coded[p])
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.chunks(t or "") for t in texts]
         known = self.words
-        out = []
-        for k in range(0, len(split), 256):  # words are learnt in blocks, so the cache stays bounded
-            block = split[k : k + 256]
-            self.learn({w for ws in block for w in ws if not isinstance(w, int)})
-            for ws in block:
-                ids: list[int] = []
-                for w in ws:
-                    ids.append(w) if isinstance(w, int) else ids.extend(known[w])
-                out.append(ids)
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = [w for w in words if w not in known]
+        pieces = [[w.encode()] if w.isalpha() else [p.encode() for p in self.pieces.findall(w)] for w in new]
+        coded = self.encode_words(set(chain.from_iterable(pieces)))
+        for w, ps in zip(new, pieces, strict=True):
+            known[w] = coded[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in coded[p])
+
+    def encode(self, texts: list[str | None]) -> list[array]:
+        split = [self.chunks(t or "") for t in texts]
+        self.learn({w for w in set(chain.from_iterable(split)) if isinstance(w, str)})
+        known, out = self.words, []
+        for t, ws in zip(texts, split, strict=True):
+            coded = (known[w] if isinstance(w, str) else (w,) for w in ws) if "<|" in (t or "") else map(known.__getitem__, ws)
+            out.append(array("i", chain.from_iterable(coded)))
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.text[i] for i in ids])
+    def decode(self, ids: pa.ListArray) -> pa.StringArray:
+        """Texts of lists of ids: the tokens with a space between; null for null."""
+        tokens = pa.ListArray.from_arrays(ids.offsets, self.texts.take(ids.values), mask=ids.is_null() if ids.null_count else None)
+        return pc.binary_join(tokens, " ")
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -216,19 +243,24 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id_column and ids (array<int>) of every row's whole text."""
+def encode(
+    docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False
+) -> DataFrame:
+    """id_column and ids (array<int>) of every row's whole text; on demand also decoded, the ids' text."""
     path = path or vocabulary_path()
-    id_type = docs.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, id_type), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    fields = [T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = pa.array(bpe.encode(part.column(1).to_pylist()), pa.list_(pa.field("element", pa.int32(), nullable=False)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_column, "ids"])
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                coded = bpe.encode(part.column(1).to_pylist())
+                ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.frombuffer(c, np.int32) for c in coded])))
+                columns = [part.column(0), ids] + ([bpe.decode(ids)] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
@@ -241,9 +273,9 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = pa.array([bpe.decode(ids or ()) for ids in part.column(1).to_pylist()], pa.string())
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, BLOCK_ROWS).columns], names=[id_column, "ids"])
+                texts = pc.fill_null(bpe.decode(part.column(1)), "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=[id_column, "ids", "decoded"])
 
     return encoded.select(id_column, "ids").mapInArrow(run, schema)
@@ -251,8 +283,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    return encode(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
