@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quietcount.llm import bpe, exact_dedup, ngram_join, quality_rules, toxicity, warc
+from quietcount.llm import bpe, exact_dedup, ngram_join, quality_rules, secrets, toxicity, warc
 
-MODULES = (quality_rules, ngram_join, bpe, warc, exact_dedup, toxicity)
+MODULES = (quality_rules, secrets, ngram_join, bpe, warc, exact_dedup, toxicity)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
