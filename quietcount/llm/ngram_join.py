@@ -8,14 +8,13 @@ order of n-grams. Two texts with n and m shingles link when 19 * |difference| <=
    joined on its own: equal segments are found by their hash, each counts its size as
    a partial overlap, and the partial overlaps of a pair are summed. (A fragment that is empty
    counts only together with another empty one, so no key gathers texts that share nothing.)
-2. Of each bucket of equal segments the most central member is the pivot; a text is compared with
-   the pivot of its largest summed overlap: one pair per text however large the group. The check
-   of a pair is exact and keeps the symmetric difference to the pivot.
+2. Of each bucket of equal segments the most central member is the pivot, and every other member is
+   compared with it: a pair per text and pivot, however large the bucket. The check of a pair is exact
+   and keeps the symmetric difference to the pivot.
 3. Texts of one pivot differ as their differences do. Those not linked to the pivot need a
    common element in their differences with any partner; a rare-first prefix join over these few
-   elements finds all of them without pairing the group.
-4. Texts of one bucket with different pivots are paired only where steps 2 and 3 left them in
-   different components.
+   elements finds all of them without pairing the bucket. As any two linked texts share a bucket, and
+   with it a pivot, no link between components is lost.
 Components come from alternating large-star and small-star rounds over the links.
 
 Exact copies of a set collapse (map-side first) before step 1. Nothing but counts reaches the driver.
@@ -131,7 +130,9 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, linked, delta (hashes in one of the two sets only) of each pair of ids (a, b)."""
+    """a, b, n_a, n_b, linked, delta (hashes in one of the two sets only) of each pair of ids (a, b).
+
+    Both texts of a pair meet in one row; a text is read again rather than its set stored."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -211,18 +212,25 @@ def within_families(stars: DataFrame) -> DataFrame:
     # elements of no other text come first in the rare-first order
     at = F.col("d") - F.count(F.lit(1)).over(by_x) + F.row_number().over(by_x.orderBy("c", "e"))
     el = el.withColumn("at", at)
-    short = el.where("at <= d - ceil(9 * d / 19) + 1")
+    short = el.where("at <= d - greatest(ceil(9 * d / 19), CASE WHEN linked THEN 0 ELSE d - n div 9 END) + 1")
     long = el.where("NOT linked AND at <= least(d, n div 9 + 1)")
-    u, v = (short.where("NOT linked").select("p", "e", F.col("x").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
-    near = F.expr("10 * n_a >= 9 * n_b AND 10 * n_b >= 9 * n_a")
+    u, v = (short.where("NOT linked").select("p", "e", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}")) for k in ("a", "b"))
+    near = F.expr("19 * abs(d_a - d_b) <= n_a + n_b AND 19 * abs(n_a - n_b) <= n_a + n_b")
     unlinked = u.join(v, ["p", "e"]).where(near & F.expr("a < b")).select("p", "a", "b")
-    w = short.where("linked").select("p", "e", F.col("x").alias("b"), F.col("n").alias("n_b"))
-    mixed_pairs = long.select("p", "e", F.col("x").alias("a"), F.col("n").alias("n_a")).join(w, ["p", "e"]).where(near).select("p", "a", "b")
-    pairs = unlinked.union(mixed_pairs).distinct()
+    w = short.where("linked").select("p", "e", F.col("x").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"))
+    mixed_pairs = long.select("p", "e", F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a")).join(w, ["p", "e"]).where(near).select("p", "a", "b")
     sides = [fam.select("p", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"d_{k}")) for k in ("a", "b")]
-    held = pairs.join(sides[0], ["p", "a"]).join(sides[1], ["p", "b"])
-    differ = "size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))"
-    return held.where(f"19 * ({differ}) <= n_a + n_b").select("a", "b")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sides[0], ["p", "a"]).join(sides[1], ["p", "b"])
+        differ = "size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))"
+        return both.where(f"19 * ({differ}) <= n_a + n_b").select("p", "a", "b")
+
+    # who links to any text that is linked to the pivot is in the pivot's component
+    reached = written(held(mixed_pairs).select(F.col("a").alias("x"), "p").distinct(), "reached")
+    apart = [reached.select("p", F.col("x").alias(k), F.lit(True).alias(f"r_{k}")) for k in ("a", "b")]
+    open_pairs = unlinked.join(apart[0], ["p", "a"], "left").join(apart[1], ["p", "b"], "left").where("r_a IS NULL OR r_b IS NULL")
+    return held(open_pairs.select("p", "a", "b")).select("a", "b").union(reached.select(F.col("x").alias("a"), F.col("p").alias("b")))
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -240,32 +248,10 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     pivots = pivots.select("bucket", (-F.col("m.i")).alias("p"))
     partial = met.select("bucket", "id").join(pivots, "bucket").where("id <> p")
     # low 6 bits: the segment's size, its partial overlap
-    summed = partial.groupBy("id", "p").agg(F.sum(F.col("bucket").bitwiseAND(63) + 1).alias("overlap"))
-    best = summed.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("p")).alias("i"))).alias("m"))
-    # a pair that both sides chose is checked once
-    chosen = written(best.select(F.col("id").alias("a"), (-F.col("m.i")).alias("b")), "pairs")
-    stars = written(compared(chosen, docs), "stars")
+    summed = partial.groupBy(F.col("id").alias("a"), F.col("p").alias("b")).agg(F.sum(F.col("bucket").bitwiseAND(63)).alias("overlap"))
+    stars = written(compared(written(summed, "pairs"), docs), "stars")
     links = stars.where("linked").select("a", "b").union(within_families(stars))
-    links = written(links, "links")
     comps = written(components(links), "components")
-
-    # texts of one bucket but different pivots, still apart
-    seen = labelled(met.select("bucket", "id"), comps, "id", "comp").join(
-        stars.select(F.col("a").alias("id"), F.col("b").alias("p"), F.col("n_a").alias("n")), "id", "left"
-    )
-    seen = seen.withColumn("p", F.coalesce("p", "id"))
-    apart = seen.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"))
-    apart = apart.where("c0 < c1 AND p0 < p1").select("bucket")
-    left = written(seen.join(apart, "bucket", "left_semi"), "apart")
-    sides = [left.select("bucket", F.col("id").alias(k), F.col("comp").alias(f"c_{k}"), F.col("p").alias(f"p_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
-    cross = sides[0].join(sides[1], "bucket").where(
-        "a < b AND c_a <> c_b AND p_a <> p_b AND p_a <> b AND p_b <> a"
-        " AND (n_a IS NULL OR n_b IS NULL OR (10 * n_a >= 9 * n_b AND 10 * n_b >= 9 * n_a))"
-    )
-    cross = written(cross.select("a", "b").distinct(), "cross")
-    if not cross.isEmpty():
-        more = compared(cross, docs).where("linked").select("a", "b")
-        comps = written(components(links.union(more)), "components")
     reps = labelled(classes.select("n_shingles", "k1", "k2", "rep"), comps, "rep", "component_id").drop("rep")
     out = sets.drop("segs").join(reps, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
