@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quietcount.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, secrets, toxicity, warc
+from quietcount.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, secrets, toxicity, url_filter, warc
 
-MODULES = (quality_rules, secrets, ngram_join, bpe, warc, exact_dedup, mixing, pii, toxicity)
+MODULES = (quality_rules, secrets, ngram_join, bpe, warc, url_filter, exact_dedup, mixing, pii, toxicity)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
