@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quietcount.plans import behaviour, traffic
+from quietcount.plans import behaviour, money, traffic
 
-MODULES = (traffic, behaviour)
+MODULES = (traffic, behaviour, money)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
