@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from quietcount.llm.common import documents
 
-CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 400_000, 1_000_000, 1024
+CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 200_000, 300_000, 1024
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary file's pattern for pieces of a word.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

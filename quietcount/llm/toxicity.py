@@ -34,7 +34,7 @@ BITS = 18
 SIZES = (3, 4, 5)
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 THRESHOLD = 0.7
-CACHE_WORDS = 500_000
+CACHE_WORDS, FIT_WORDS, BLOCK_ROWS = 200_000, 100_000, 1_024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,24 +56,37 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80, rate: float = 100
     size, share = 1 << BITS, float(toxic.mean()) if len(toxic) else 0.5
     if len(set(toxic.tolist())) < 2:
         return np.zeros(size, np.float32), math.log(min(max(share, 1e-6), 1 - 1e-6) / (1 - min(max(share, 1e-6), 1 - 1e-6))), share
-    memo: dict[str, list[int]] = {}
-    row, col, val = [], [], []
-    for i, text in enumerate(texts):
+    y = toxic.astype(float)
+    memo: dict[str, np.ndarray] = {}
+
+    def values(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of a text's n-grams and their values."""
         bag = set(text.lower().split())
+        if len(memo) > FIT_WORDS:
+            memo.clear()
         for w in bag:
             if w not in memo:
-                memo[w] = slots(w)
-        c, n = np.unique(np.array([s for w in bag for s in memo[w]], np.int64), return_counts=True)
-        row.append(np.full(len(c), i))
-        col.append(c)
-        val.append(n / math.sqrt(max(1, len(bag))))
-    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-    y = toxic.astype(float)
-    seen = [1 + np.bincount(col[y[row] == k], minlength=size) for k in (1, 0)]
+                memo[w] = np.array(slots(w), np.int32)
+        if not bag:
+            return np.empty(0, np.int32), np.empty(0, np.float32)
+        c, n = np.unique(np.concatenate([memo[w] for w in bag]), return_counts=True)
+        return c, (n / math.sqrt(len(bag))).astype(np.float32)
+
+    # twice over the texts, so only n-grams that get a weight are held
+    seen = np.ones((2, size))
+    for text, label in zip(texts, toxic.tolist(), strict=True):
+        seen[0 if label else 1, values(text)[0]] += 1
     ratio = np.log(seen[0] / (y.sum() + 2)) - np.log(seen[1] / ((1 - y).sum() + 2))
     ratio[(seen[0] + seen[1] - 2 < support) | (np.abs(ratio) < least_ratio)] = 0
-    use = ratio[col] != 0
-    row, col, val = row[use], col[use], val[use] * ratio[col[use]]
+    row, col, val = [], [], []
+    for i, text in enumerate(texts):
+        c, v = values(text)
+        use = ratio[c] != 0
+        row.append(np.full(use.sum(), i, np.int32))
+        col.append(c[use])
+        val.append(v[use])
+    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
+    val = val * ratio[col].astype(np.float32)
     weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, b, step_w, step_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for _ in range(rounds):  # gradient descent with momentum; stopping early keeps the weights small
@@ -144,9 +157,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
-            scores = pa.array([scorer.text(t) for t in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                scores = pa.array([scorer.text(t) for t in batch.column(1).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -162,12 +177,14 @@ def classify(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns; a filter inside the scan."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, marks))
-    at = docs.columns.index("text")
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer.text(t) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                yield batch.filter(pa.array([scorer.text(t) < THRESHOLD for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
