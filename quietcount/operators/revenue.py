@@ -55,11 +55,13 @@ def movements(log: DataFrame) -> DataFrame:
     )
     amount = F.when(F.col("kind") == CHURN, -F.abs("mrr_cents")).otherwise(F.col("_delta"))
     made = rows.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("amount_cents", amount)
-    object_id = F.concat_ws(":", "subscription_id", F.unix_timestamp("event_at"))
-    return made.select(
+    made = made.withColumn("object_id", F.concat_ws(":", "subscription_id", F.unix_timestamp("event_at")))
+    # of one kind within a second, the first counts
+    once = Window.partitionBy("site_id", "object_id", "kind").orderBy("event_at", "event_id")
+    return made.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(
         "site_id", "customer_id", "kind", "amount_cents", "currency", F.col("amount_cents").alias("mrr_delta_cents"),
-        object_id.alias("object_id"), F.col("event_at").alias("occurred_at"),
-    ).dropDuplicates(["site_id", "object_id", "kind"])
+        "object_id", F.col("event_at").alias("occurred_at"),
+    )
 
 
 def cash_events(invoices: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quietcount.plans import behaviour, intake, money, traffic
+from quietcount.plans import behaviour, intake, money, streams, traffic
 
-MODULES = (traffic, behaviour, money, intake)
+MODULES = (traffic, behaviour, money, intake, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -86,9 +86,9 @@ CTES = f"""cust AS (
   SELECT *, coalesce(max(starts) OVER (PARTITION BY site_id, customer_id ORDER BY event_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS conv FROM mv2
 ), mv AS (
   SELECT site_id, customer_id, CASE WHEN churned THEN 'churn' WHEN nw = bef THEN NULL WHEN bef = 0 THEN CASE WHEN conv THEN 'reactivation' ELSE 'new' END WHEN nw > bef THEN 'expansion' ELSE 'contraction' END AS kind,
-    CASE WHEN churned THEN -abs(mrr_cents) ELSE nw - bef END AS amount_cents, currency, subscription_id || ':' || epoch(event_at)::BIGINT AS object_id, event_at AS occurred_at FROM mv3
+    CASE WHEN churned THEN -abs(mrr_cents) ELSE nw - bef END AS amount_cents, currency, subscription_id || ':' || epoch(event_at)::BIGINT AS object_id, event_at AS occurred_at, event_id FROM mv3
 ), cash AS (
   SELECT site_id, o_custkey AS customer_id, CASE o_orderstatus WHEN 'F' THEN 'payment' ELSE 'one_time' END AS kind, cents AS amount_cents, {_CUR}, 'in_' || o_orderkey AS object_id, placed AS occurred_at FROM ord WHERE o_orderstatus IN ('F', 'P') AND cents <> 0
   UNION ALL SELECT site_id, o_custkey, 'refund', -abs(back), {_CUR}, 're_' || o_orderkey, placed FROM ord JOIN (SELECT l_orderkey AS o_orderkey, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS back FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) USING (o_orderkey) WHERE back <> 0
-), mvd AS (SELECT DISTINCT ON (site_id, object_id, kind) * FROM mv WHERE kind IS NOT NULL),
+), mvd AS (SELECT * EXCLUDE (event_id) FROM mv WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site_id, object_id, kind ORDER BY occurred_at, event_id) = 1),
 rev AS (SELECT r.*, CASE WHEN currency = base_currency THEN amount_cents END AS normalized_cents FROM (SELECT * FROM mvd UNION ALL SELECT * FROM cash) r JOIN sites USING (site_id))"""
