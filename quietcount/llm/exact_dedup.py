@@ -116,11 +116,10 @@ def deduplicate(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     index = build_index(docs, capacity)
     stays = index.select("keep_id", "text_sha256")
     sha = F.sha2(normalised(F.col("text")), 256)
-    marked = docs.withColumn("_sha", sha)
-    kept = marked.join(
-        stays, marked["doc_id"].eqNullSafe(stays["keep_id"]) & (marked["_sha"] == stays["text_sha256"]), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    # rows travel as one struct, so no column of docs can clash with these
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    kept = marked.join(stays, marked["id"].eqNullSafe(stays["keep_id"]) & (marked["sha"] == stays["text_sha256"]), "left_semi")
+    return kept.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,15 +109,14 @@ def take(docs: DataFrame, domain: str = DOMAIN, percent: int = BUDGET_PERCENT, e
     """The rows of docs as often as they are taken, with all their columns."""
     keys = ["doc_id", *[c for c, _ in LEVELS], "n_tokens"]
     copies = mixed(docs, domain, percent, epochs, seed).groupBy(*keys).agg(F.max("copies").alias("copies")).where("copies > 0")
-    named = copies.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("copies").alias("_copies"))
-    marked = docs.withColumns(
-        {
-            "_d": F.coalesce(F.expr(domain), F.lit(NONE)), "_l": F.coalesce("lang", F.lit(NONE)),
-            "_s": F.coalesce("source", F.lit(NONE)), "_n": F.size(words(F.col("text"))).cast("long"),
-        }
+    copies = copies.select(*[F.col(k).alias(f"c_{k}") for k in keys], "copies")
+    # rows travel as one struct, so no column of docs can clash with these
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce(F.expr(domain), F.lit(NONE)).alias("d"), F.coalesce("lang", F.lit(NONE)).alias("l"),
+        F.coalesce("source", F.lit(NONE)).alias("s"), F.size(words(F.col("text"))).cast("long").alias("n"),
     )
-    on = F.expr("doc_id <=> _doc_id AND _d = _domain AND _l = _lang AND _s = _source AND _n = _n_tokens")
-    return marked.join(named, on).select(*docs.columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_copy")).drop("_copy")
+    on = F.expr("doc_id <=> c_doc_id AND d = c_domain AND l = c_lang AND s = c_source AND n = c_n_tokens")
+    return marked.join(copies, on).select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

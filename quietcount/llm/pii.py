@@ -136,8 +136,13 @@ def rendered() -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text, and n_entities, n_email, n_ip, n_phone, n_card, n_person."""
+    """docs with surrogates in text, and n_entities, n_email, n_ip, n_phone, n_card, n_person (which
+    take the place of columns of these names)."""
     kinds = list(PATTERNS)
+    docs = docs.drop("n_entities", *[f"n_{k}" for k in kinds])
+    others = [c for c in docs.columns if c != "text"]
+    # rows travel as one struct, so no column of docs can clash with those made here
+    docs = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
     hits = docs.where(holds()).withColumn("_k", F.xxhash64("text"))
     found = hits.select("doc_id", "_k", F.posexplode(F.expr(f"regexp_extract_all(text, '{quoted(ANY)}', 0)")).alias("at", "value"))
     kind = kind_of(F.col("value"))
@@ -151,10 +156,9 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     joined = hits.join(per_text, F.expr("doc_id <=> _id AND _k = _k2"))
     woven = F.expr(f"array_join(flatten(transform(split(text, '{quoted(ANY)}'), (g, i) -> CASE WHEN i < size(_m) THEN array(g, _m[i].new) ELSE array(g) END)), '')")
     counts = [F.expr(f"cast(size(filter(_m, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in kinds]
-    others = [c for c in docs.columns if c != "text"]
-    changed = joined.select(*others, woven.alias("text"), F.size("_m").cast("long").alias("n_entities"), *counts)
+    changed = joined.select("row.*", woven.alias("text"), F.size("_m").cast("long").alias("n_entities"), *counts)
     zero = F.lit(0).cast("long")
-    plain = docs.where(~holds()).select(*others, "text", zero.alias("n_entities"), *[zero.alias(f"n_{k}") for k in kinds])
+    plain = docs.where(~holds()).select("row.*", "text", zero.alias("n_entities"), *[zero.alias(f"n_{k}") for k in kinds])
     return changed.unionByName(plain)
 
 

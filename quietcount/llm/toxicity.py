@@ -123,8 +123,10 @@ def train(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, float]:
         w, b, share = fit([texts[i] for i in order], np.array([toxic[i] for i in order]))
         yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "b": [b], "share": [share]})
 
-    [row] = sample(docs, marks).repartition(1).mapInArrow(run, "w binary, b double, share double").collect()
-    return np.frombuffer(row["w"], np.float32), row["b"], row["share"]
+    rows = sample(docs, marks).repartition(1).mapInArrow(run, "w binary, b double, share double").collect()
+    if not rows:  # nothing is labelled
+        return fit([], np.array([], int))
+    return np.frombuffer(rows[0]["w"], np.float32), rows[0]["b"], rows[0]["share"]
 
 
 class Scorer:
