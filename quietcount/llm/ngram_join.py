@@ -134,7 +134,8 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     Both texts of a pair meet in one row; a text is read again rather than its set stored."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # written, so both joins read plain scans and Spark can split a pivot that many texts are compared with
+    texts = written(docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = "a long, b long, n_a long, n_b long, linked boolean, delta array<long>"
