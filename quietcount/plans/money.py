@@ -12,6 +12,7 @@ from quietcount.sources import adapter
 from quietcount.sources import revenue_adapter as money
 from quietcount.sources.adapter import CTES as EVENT_CTES
 from quietcount.sources.revenue_adapter import CTES
+from quietcount.sources.shared import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,7 +151,14 @@ rl AS (SELECT site_id, date, source, medium, campaign, coalesce(visitors, 0)::BI
 
 
 def rollup(spark, sf_dir) -> DataFrame:
-    return revenue.attribution_rollup(adapter.events(spark, sf_dir).drop("timezone"), recalculated(spark, sf_dir), last_states(log(spark, sf_dir)), all_revenue(spark, sf_dir), adapter.sites(spark))
+    # the change log and the revenue events are tables of their own: three parts of the rollup read them
+    rows = money.orders(spark, sf_dir)
+    changes = stored(revenue.change_log(money.subscription_changes(rows)), "changes")
+    cash = revenue.cash_events(money.invoices(spark, sf_dir, rows))
+    events = stored(revenue.normalised(revenue.movements(changes).unionByName(cash), adapter.sites(spark)), "revenue")
+    states = last_states(changes)
+    who = revenue.recalculated(money.customers(spark, sf_dir), states, events)
+    return revenue.attribution_rollup(adapter.events(spark, sf_dir), who, states, events, adapter.sites(spark))
 
 
 @query("attribution_rollup", f"{WITH}, {_LAST}, {_ROLL} SELECT * REPLACE (date::VARCHAR AS date) FROM rl")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from quietcount.plans import behaviour, intake, money, traffic
 from quietcount.plans.traffic import stamp
 from quietcount.sources import adapter
 from quietcount.sources import revenue_adapter
+from quietcount.sources.shared import folder
 from quietcount.streaming import jobs
 
 QUERIES: dict = {}
@@ -29,12 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared one (a temporary folder only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quietcount-")
-    return f"{base.rstrip('/')}/quietcount-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, str]:
     """table as a stream that arrives in time order: three parts, written one after the other, read one per trigger."""
     base = folder(spark)
