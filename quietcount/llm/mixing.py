@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietcount.llm.common import documents, words
+from quietcount.llm.common import documents, words, written
 
-SEED, MAX_EPOCHS, BUDGET_PERCENT = 20_240_607, 2, 60
+SEED, MAX_EPOCHS, BUDGET_PERCENT, BROADCAST_LEAVES = 20_240_607, 2, 60, 100_000
 DOMAIN = "CASE WHEN source RLIKE '^src[0-9]$' THEN 'web' ELSE 'books' END"
 #: Target weights; names that are not listed weigh 1.
 DOMAIN_WEIGHTS = {"web": 3, "books": 2}
@@ -89,13 +89,15 @@ def budgets(rows: DataFrame, percent: int = BUDGET_PERCENT, epochs: int = MAX_EP
 
 def mixed(docs: DataFrame, domain: str = DOMAIN, percent: int = BUDGET_PERCENT, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies (times taken) of every row."""
-    rows = leaves(docs, domain)
+    rows = written(leaves(docs, domain), "leaves")  # thin, so the texts are read once
     keys = [c for c, _ in LEVELS]
-    plan = budgets(rows, percent, epochs)
+    plan = written(budgets(rows, percent, epochs), "budgets")
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("allotted") / F.col("tokens"))).otherwise(0).cast("long")
     plan = plan.withColumn("epoch", whole).withColumn("rest", F.col("allotted") - F.col("epoch") * F.col("tokens")).drop("tokens", "allotted")
-    placed = rows.join(plan, keys).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary")))
-    placed = placed.withColumn("range", F.substring("h", 1, 3))
+    # leaves are few next to rows; a tree of more than BROADCAST_LEAVES is shuffled instead
+    placed = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan, keys).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary")))
+    # dealt by leaf and range: dealt by leaf, as a join may leave them, a large source would be one task's
+    placed = placed.withColumn("range", F.substring("h", 1, 3)).repartition(*keys, "range")
     ranges = placed.groupBy(*keys, "range").agg(F.sum("n_tokens").alias("t"))
     ahead = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*keys, "range", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("ahead"))
