@@ -49,7 +49,7 @@ RULES = (
     Rule("mean_word_chars", "(word_chars / greatest(n_words, 1L))", 2.0, 12.0),
     Rule("symbols_per_word", "(n_symbols / greatest(n_words, 1L))", None, 0.1),
     Rule("distinct_stop_words", "n_stop_words", 2, None),
-    Rule("duplicate_line_share", "(n_dup_lines / greatest(n_lines, 1L))", None, 0.3),
+    Rule("duplicate_line_share", "(n_dup_lines / greatest(n_lines, 1L))", None, 0.5),
 )
 
 
@@ -146,7 +146,7 @@ WITH a AS (
          word_chars / greatest(n_words, 1) BETWEEN 2 AND 12 AS r1,
          n_symbols / greatest(n_words, 1) <= 0.1::DOUBLE AS r2,
          n_stop_words >= 2 AS r3,
-         n_dup_lines / greatest(n_lines, 1) <= 0.3::DOUBLE AS r4
+         n_dup_lines / greatest(n_lines, 1) <= 0.5::DOUBLE AS r4
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
