@@ -76,3 +76,15 @@ def stream_movements(spark, sf_dir):
     stream, base = streamed(spark, changes)
     jobs.to_table(jobs.movements(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query(
+    "stream_hourly_counts",
+    f"""WITH {adapter.CTES} SELECT site_id, strftime(date_trunc('hour', occurred_at), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM ev
+    WHERE date_trunc('hour', occurred_at) + INTERVAL 1 HOUR <= (SELECT max(occurred_at) - INTERVAL 3 DAY FROM ev) GROUP BY site_id, date_trunc('hour', occurred_at)""",
+)
+def stream_hourly_counts(spark, sf_dir):
+    """Hours that the watermark has passed are final and written once."""
+    stream, base = streamed(spark, adapter.events(spark, sf_dir).select("site_id", "occurred_at"))
+    jobs.to_table(jobs.hourly_counts(stream, ["site_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("site_id", stamp("hour"), "n")
