@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.common import documents
+from quietcount.llm.common import documents, in_arrow
 
 CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 200_000, 300_000, 1024
 VOCABULARY = "word_bpe_49k.json"
@@ -262,7 +262,7 @@ def encode(
                 columns = [part.column(0), ids] + ([bpe.decode(ids)] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return in_arrow(docs.select(id_column, text_column), run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id") -> DataFrame:
@@ -278,7 +278,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
                 texts = pc.fill_null(bpe.decode(part.column(1)), "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=[id_column, "ids", "decoded"])
 
-    return encoded.select(id_column, "ids").mapInArrow(run, schema)
+    return in_arrow(encoded.select(id_column, "ids"), run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

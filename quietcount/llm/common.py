@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as a Java regex class, and the same characters for trim().
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = "\t\n\x0b\x0c\r "
+ARROW_BYTES = 16 * 1024 * 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with Arrow batches of ARROW_BYTES at most, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

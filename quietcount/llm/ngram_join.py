@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quietcount.llm.common import documents, written
+from quietcount.llm.common import documents, in_arrow, written
 
 BROADCAST_ROWS = 1_000_000
 #: Odd multipliers for mixing hashes.
@@ -121,7 +121,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 longs = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *longs, lists], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "n_a", "n_b", "linked", "delta"])
 
     rows = both.select(F.col("a").cast("long"), F.col("b").cast("long"), "text_a", "text_b")
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

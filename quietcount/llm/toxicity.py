@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.common import documents, labels
+from quietcount.llm.common import documents, in_arrow, labels
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, float]:
         w, b, share = fit([texts[i] for i in order], np.array([toxic[i] for i in order]))
         yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "b": [b], "share": [share]})
 
-    rows = sample(docs, marks).repartition(1).mapInArrow(run, "w binary, b double, share double").collect()
+    rows = in_arrow(sample(docs, marks).repartition(1), run, "w binary, b double, share double").collect()
     if not rows:  # nothing is labelled
         return fit([], np.array([], int))
     return np.frombuffer(rows[0]["w"], np.float32), rows[0]["b"], rows[0]["share"]
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
                 scores = pa.array([scorer.text(t) for t in batch.column(1).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def classify(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 batch = whole.slice(at, BLOCK_ROWS)
                 yield batch.filter(pa.array([scorer.text(t) < THRESHOLD for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietcount.llm.common import new_path, pages
+from quietcount.llm.common import in_arrow, new_path, pages
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -126,7 +126,7 @@ def write_archive(table: DataFrame, folder: str) -> None:
                     out += page_records(page_id, url, payload, base32(sha1), first)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    records = in_arrow(marked, run, "value binary").select(F.col("value").cast("string"))
     writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
     writer.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder)
 
@@ -189,7 +189,7 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = False) -
             raise ValueError(f"payload digest differs from {digest}")
         return payload
 
-    parts = files.mapInArrow(unpack, schema)
+    parts = in_arrow(files, unpack, schema)
     # equal records of repeated rows are told by their copies of segment 1
     per_segment = parts.groupBy("origin", "number").agg(
         F.count(F.lit(1)).alias("copies"), *[F.first(c, True).alias(c) for c in ("page_id", "kind", "digest", "refers", "total", "block", "n_bytes", "payload")]
@@ -216,8 +216,8 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = False) -
                         row |= {"n_bytes": len(payload), "payload": payload if with_payload else None}
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in wire_out.names} for r in rows], schema=wire_out)
 
-    done = whole.mapInArrow(
-        reassemble, "origin string, copies long, page_id long, kind string, digest string, refers string, n_bytes long, payload binary"
+    done = in_arrow(
+        whole, reassemble, "origin string, copies long, page_id long, kind string, digest string, refers string, n_bytes long, payload binary"
     )
     responses = done.where("kind = 'response'").select(F.col("origin").alias("refers"), F.col("page_id").alias("refers_to"), F.col("n_bytes").alias("n"))
     out = done.join(responses, "refers", "left").select(
