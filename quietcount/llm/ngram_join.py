@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A text's set is its distinct 3-word shingles, as 64-bit hashes; the hashes' order is the global
-order of n-grams. Two texts with n and m shingles link when 19 * |difference| <= n + m (Jaccard 0.9).
+A text's set is its distinct shingles of `words` words, as 64-bit hashes; the hashes' order is the global
+order of n-grams. Two texts with n and m shingles link at a Jaccard of `percent` or more, that is
+when (100 + percent) * |difference| <= (100 - percent) * (n + m). The query takes 3 words and 90,
+the pipeline's stage 5 words and 80.
 
 1. Vertical partitioning. The global order is cut into k fragments, k by size level, so that linked
    texts of a level differ in at most k - 2 fragments and agree in two at least. Every fragment is
    joined on its own: equal segments are found by their hash, each counts its size as
-   a partial overlap, and the partial overlaps of a pair are summed. (A fragment that is empty
-   counts only together with another empty one, so no key gathers texts that share nothing.)
+   a partial overlap, and the partial overlaps of a pair are summed. (A fragment that is empty counts
+   only together with another empty one, and only in a text that could differ in all its others, so
+   no key gathers texts that share nothing.)
 2. Of each bucket of equal segments the most central member is the pivot, and every other member is
    compared with it: a pair per text and pivot, however large the bucket. The check of a pair is exact
    and keeps the symmetric difference to the pivot.
@@ -28,6 +31,8 @@ nobody's; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -49,55 +54,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's 3-word shingles (of the whole sequence where it is shorter)."""
+def folded(parts: list[np.ndarray]) -> np.ndarray:
+    out = parts[0]
+    for part in parts[1:]:
+        out = mix(out * M1 + part)
+    return mix(out * M2)
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of `width` words (of the whole sequence where it is shorter)."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) < 3:
-        return mix(np.array([np.bitwise_xor.reduce(h * np.array([M1, M2][: len(h)])) + M3 * np.uint64(len(h))], np.uint64))
-    return np.unique(mix(h[:-2] * M1 + mix(h[1:-1]) * M2 + h[2:] * M3))
+    if len(words) < width:
+        return folded([h[i : i + 1] for i in range(len(h))]) + M3 * np.uint64(len(h))
+    return np.unique(folded([h[i : len(h) - width + 1 + i] for i in range(width)]))
+
+
+@dataclass(frozen=True)
+class Near:
+    """When two texts link: shingles of `words` words, Jaccard of `percent` hundredths or more."""
+
+    words: int
+    percent: int
+
+    def __post_init__(self) -> None:
+        # below, sets two levels apart could link
+        if self.words < 1 or not 67 <= self.percent <= 99:
+            raise ValueError(f"not a shingle length and percentage of 67 to 99: {self}")
 
+    def differ(self, both: int) -> int:
+        """Most elements in which two linked sets with `both` elements together differ."""
+        return (100 - self.percent) * both // (100 + self.percent)
 
-def bounds(most: int) -> list[int]:
-    """Largest sizes of the size levels. Sets of up to 9 shingles link only when equal."""
-    out = [9]
-    while out[-1] < most:
-        out.append(out[-1] * 3 // 2 + 1)
-    return out
+    def holds(self, difference: str, both: str) -> str:
+        """SQL: sets that differ in so many elements and have so many together are linked."""
+        return f"{100 + self.percent} * ({difference}) <= {100 - self.percent} * ({both})"
 
+    @cached_property
+    def bounds(self) -> list[int]:
+        """Largest sizes of the size levels. Sets of the first level link only when equal."""
+        out = [(99 + self.percent) // (2 * (100 - self.percent))]
+        while out[-1] < 1 << 40:
+            out.append(out[-1] * 3 // 2 + 1)
+        return out
 
-LEVELS = bounds(1 << 40)
+    def levels(self, n: int) -> list[tuple[int, int, int]]:
+        """(level, fragments, most differences) under which a set of n shingles meets sets of its size and larger ones."""
+        at = next(i for i, b in enumerate(self.bounds) if n <= b)
+        out = []
+        for i in [at] + [at + 1] * (100 * n >= self.percent * (self.bounds[at] + 1)):
+            if i:
+                most = self.differ(2 * self.bounds[i])
+                out.append((i, most + most // 16 + 2, self.differ(n + min(self.bounds[i], 100 * n // self.percent))))
+        return out
 
 
-def levels(n: int) -> list[tuple[int, int]]:
-    """(level, fragments) under which a set of n shingles meets sets of its size and larger ones."""
-    at = next(i for i, b in enumerate(LEVELS) if n <= b)
-    both = [at] + [at + 1] * (10 * n >= 9 * (LEVELS[at] + 1))
-    return [(i, 2 * LEVELS[i] // 19 + 2) for i in both if i]
+#: The contract of the query, and that of the pipeline's stage.
+QUERY, STAGE = Near(3, 90), Near(5, 80)
 
 
-def segments(u: np.ndarray) -> np.ndarray:
+def segments(u: np.ndarray, near: Near) -> np.ndarray:
     """Bucket keys of a set: a hash of each fragment's segment, whose low 6 bits are its size (63: or more)."""
     out = []
     with np.errstate(over="ignore"):
-        for level, k in levels(len(u)):
+        for level, k, most in near.levels(len(u)):
             f = ((u >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(f, prepend=np.uint64(k)))
             sizes = np.diff(starts, append=len(u))
             keys = mix(np.add.reduceat(u, starts) + f[starts] * M1 + np.uint64(level) * M2)
             out.append(keys & ~np.uint64(63) | np.minimum(sizes, 63).astype(np.uint64))
             empty = sorted(set(range(k)) - set(f.tolist()))
-            if len(empty) > 1:
+            if len(empty) > 1 and len(starts) <= most:
                 i, j = np.array(list(combinations(empty, 2)), np.uint64).T
                 out.append(mix(i * M1 + j * M3 + np.uint64(level) * M2 + np.uint64(1)) & ~np.uint64(63))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (128-bit hash of the set), segs (bucket keys)."""
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()),
@@ -111,11 +148,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 n, k1, k2, segs = [], [], [], []
                 with np.errstate(over="ignore"):
                     for text in batch.column(1).cast(pa.binary()).to_pylist():
-                        u = shingles(text)
+                        u = shingles(text, near.words)
                         n.append(len(u))
                         k1.append(np.add.reduce(mix(u + M1)).view(np.int64) if len(u) else 0)
                         k2.append(np.add.reduce(mix(u ^ M2)).view(np.int64) if len(u) else 0)
-                        segs.append(segments(u) if len(u) else np.empty(0, np.int64))
+                        segs.append(segments(u, near) if len(u) else np.empty(0, np.int64))
                 ends = np.cumsum([0] + [len(s) for s in segs]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(segs)))
                 longs = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
@@ -129,7 +166,7 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     """a, b, n_a, n_b, linked, delta (hashes in one of the two sets only) of each pair of ids (a, b).
 
     Both texts of a pair meet in one row; a text is read again rather than its set stored."""
@@ -141,21 +178,21 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     schema = "a long, b long, n_a long, n_b long, linked boolean, delta array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (b"", shingles(b""))
+        last: tuple[bytes | None, np.ndarray] = (b"", shingles(b"", near.words))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n_a, n_b, linked, delta = [], [], [], []
                 texts_a, texts_b = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
                 for x, y in zip(texts_a, texts_b, strict=True):
-                    u = shingles(x)
+                    u = shingles(x, near.words)
                     if y != last[0]:  # rows come sorted by b, so a pivot's set is made once
-                        last = (y, shingles(y))
+                        last = (y, shingles(y, near.words))
                     v = last[1]
                     d = np.setxor1d(u, v, assume_unique=True)
                     n_a.append(len(u))
                     n_b.append(len(v))
-                    linked.append(0 < 19 * len(d) <= len(u) + len(v) or (len(d) == 0 and len(u) > 0))
+                    linked.append(len(u) > 0 and len(d) <= near.differ(len(u) + len(v)))
                     delta.append(d.view(np.int64))
                 ends = np.cumsum([0] + [len(s) for s in delta]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta)))
@@ -199,7 +236,7 @@ def labelled(nodes: DataFrame, comps: DataFrame, id_column: str, name: str) -> D
     return found.withColumn(name, F.coalesce(name, id_column))
 
 
-def within_families(stars: DataFrame) -> DataFrame:
+def within_families(stars: DataFrame, near: Near) -> DataFrame:
     """Links (a, b) between texts that were compared with one pivot, at least one of them not linked to it."""
     fam = stars.select(
         F.col("b").alias("p"), F.col("a").alias("x"), F.col("n_a").alias("n"), "linked", "delta", F.size("delta").cast("long").alias("d")
@@ -213,19 +250,20 @@ def within_families(stars: DataFrame) -> DataFrame:
     # elements of no other text come first in the rare-first order
     at = F.col("d") - F.count(F.lit(1)).over(by_x) + F.row_number().over(by_x.orderBy("c", "e"))
     el = el.withColumn("at", at)
-    short = el.where("at <= d - greatest(ceil(9 * d / 19), CASE WHEN linked THEN 0 ELSE d - n div 9 END) + 1")
-    long = el.where("NOT linked AND at <= least(d, n div 9 + 1)")
+    p, alone = near.percent, f"{100 - near.percent} * n div {near.percent}"  # alone: most elements that no linked text's difference shares
+    short = el.where(f"at <= d - greatest(ceil({p} * d / {100 + p}), CASE WHEN linked THEN 0 ELSE d - {alone} END) + 1")
+    long = el.where(f"NOT linked AND at <= least(d, {alone} + 1)")
     u, v = (short.where("NOT linked").select("p", "e", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}")) for k in ("a", "b"))
-    near = F.expr("19 * abs(d_a - d_b) <= n_a + n_b AND 19 * abs(n_a - n_b) <= n_a + n_b")
-    unlinked = u.join(v, ["p", "e"]).where(near & F.expr("a < b")).select("p", "a", "b")
+    close = F.expr(f"{near.holds('abs(d_a - d_b)', 'n_a + n_b')} AND {near.holds('abs(n_a - n_b)', 'n_a + n_b')}")
+    unlinked = u.join(v, ["p", "e"]).where(close & F.expr("a < b")).select("p", "a", "b")
     w = short.where("linked").select("p", "e", F.col("x").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"))
-    mixed_pairs = long.select("p", "e", F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a")).join(w, ["p", "e"]).where(near).select("p", "a", "b")
+    mixed_pairs = long.select("p", "e", F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a")).join(w, ["p", "e"]).where(close).select("p", "a", "b")
     sides = [fam.select("p", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"d_{k}")) for k in ("a", "b")]
 
     def held(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(sides[0], ["p", "a"]).join(sides[1], ["p", "b"])
         differ = "size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))"
-        return both.where(f"19 * ({differ}) <= n_a + n_b").select("p", "a", "b")
+        return both.where(near.holds(differ, "n_a + n_b")).select("p", "a", "b")
 
     # who links to any text that is linked to the pivot is in the pivot's component
     reached = written(held(mixed_pairs).select(F.col("a").alias("x"), "p").distinct(), "reached")
@@ -234,9 +272,9 @@ def within_families(stars: DataFrame) -> DataFrame:
     return held(open_pairs.select("p", "a", "b")).select("a", "b").union(reached.select(F.col("x").alias("a"), F.col("p").alias("b")))
 
 
-def similar_sets(docs: DataFrame) -> DataFrame:
+def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    sets = written(signed(docs), "sets")
+    sets = written(signed(docs, near), "sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("segs").alias("segs"))
     classes = classes.where("rep IS NOT NULL")
     rows = classes.select(F.col("rep").alias("id"), F.explode("segs").alias("bucket"))
@@ -250,17 +288,17 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     partial = met.select("bucket", "id").join(pivots, "bucket").where("id <> p")
     # low 6 bits: the segment's size, its partial overlap
     summed = partial.groupBy(F.col("id").alias("a"), F.col("p").alias("b")).agg(F.sum(F.col("bucket").bitwiseAND(63)).alias("overlap"))
-    stars = written(compared(written(summed, "pairs"), docs), "stars")
-    links = stars.where("linked").select("a", "b").union(within_families(stars))
+    stars = written(compared(written(summed, "pairs"), docs, near), "stars")
+    links = stars.where("linked").select("a", "b").union(within_families(stars, near))
     comps = written(components(links), "components")
     reps = labelled(classes.select("n_shingles", "k1", "k2", "rep"), comps, "rep", "component_id").drop("rep")
     out = sets.drop("segs").join(reps, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, near: Near = STAGE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns."""
-    stays = similar_sets(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stays = similar_sets(docs, near).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
 
 
