@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from quietcount.operators import rollups
 from quietcount.plans import behaviour, intake, money, traffic
@@ -27,45 +30,46 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def streamed(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, str]:
-    """table as a stream that arrives in time order: three parts, written one after the other, read one per trigger."""
+def drained(spark: SparkSession, table: DataFrame, start: Callable[[DataFrame, str], StreamingQuery]) -> str:
+    """The folder in which start(stream, folder) has drained table as a stream that arrives in time order: three parts,
+    each written after the one before is drained. A restart from the checkpoint takes all files of a part in one trigger."""
     base = folder(spark)
     cuts = table.select(F.percentile_approx(F.unix_micros("occurred_at"), [0.33, 0.66]).alias("q")).first()["q"] or [0, 0]
     at = F.unix_micros("occurred_at")
     for part in (at <= cuts[0], (at > cuts[0]) & (at <= cuts[1]), at > cuts[1]):
         table.where(part).write.mode("append").parquet(f"{base}/in")
-    schema = spark.read.parquet(f"{base}/in").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+        schema = spark.read.parquet(f"{base}/in").schema
+        start(spark.readStream.schema(schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
 
 
 @query("stream_sessions", intake.ORACLES["sessions_30_minutes"])
 def stream_sessions(spark, sf_dir):
     jobs.with_state_store(spark)
-    stream, base = streamed(spark, adapter.events(spark, sf_dir).select("user_id", "event_id", "occurred_at"))
-    jobs.to_table(jobs.sessions(stream, ["user_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = adapter.events(spark, sf_dir).select("user_id", "event_id", "occurred_at")
+    base = drained(spark, rows, lambda stream, base: jobs.to_table(jobs.sessions(stream, ["user_id"]), f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out")
 
 
 @query("stream_rollup_hourly", traffic.ORACLES["rollup_hourly"])
 def stream_rollup_hourly(spark, sf_dir):
     columns = ["occurred_at", "site_id", "event_name", "visitor_hash", "session_hash", "is_entry", "revenue_cents"]
-    stream, base = streamed(spark, adapter.events(spark, sf_dir).select(*columns))
-    jobs.incremental_rollup(stream, f"{base}/events", f"{base}/rollup", f"{base}/checkpoint", rollups.hourly).awaitTermination()
+    rows = adapter.events(spark, sf_dir).select(*columns)
+    base = drained(spark, rows, lambda stream, base: jobs.incremental_rollup(stream, f"{base}/events", f"{base}/rollup", f"{base}/checkpoint", rollups.hourly))
     return spark.read.parquet(f"{base}/rollup").drop("day").withColumn("bucket", stamp("bucket"))
 
 
 @query("stream_quota", behaviour.ORACLES["event_quota"])
 def stream_quota(spark, sf_dir):
     rows = adapter.events(spark, sf_dir).select("event_id", "site_id", "occurred_at").join(F.broadcast(adapter.sites(spark).select("site_id", "account_id")), "site_id")
-    stream, base = streamed(spark, rows)
-    jobs.quota(stream, adapter.accounts(spark), f"{base}/counters", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    base = drained(spark, rows, lambda stream, base: jobs.quota(stream, adapter.accounts(spark), f"{base}/counters", f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
 @query("stream_first_events", f"WITH {adapter.CTES} SELECT site_id, strftime(min(occurred_at), '%Y-%m-%d %H:%M:%S') AS first_event_at FROM ev GROUP BY 1")
 def stream_first_events(spark, sf_dir):
-    stream, base = streamed(spark, adapter.events(spark, sf_dir).select("site_id", "occurred_at"))
-    jobs.first_events(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = adapter.events(spark, sf_dir).select("site_id", "occurred_at")
+    base = drained(spark, rows, lambda stream, base: jobs.first_events(stream, f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("site_id", stamp("first_event_at"))
 
 
@@ -73,8 +77,7 @@ def stream_first_events(spark, sf_dir):
 def stream_movements(spark, sf_dir):
     jobs.with_state_store(spark)
     changes = revenue_adapter.subscription_changes(revenue_adapter.orders(spark, sf_dir)).withColumn("occurred_at", F.col("event_at"))
-    stream, base = streamed(spark, changes)
-    jobs.to_table(jobs.movements(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    base = drained(spark, changes, lambda stream, base: jobs.to_table(jobs.movements(stream), f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out")
 
 
@@ -85,6 +88,6 @@ def stream_movements(spark, sf_dir):
 )
 def stream_hourly_counts(spark, sf_dir):
     """Hours that the watermark has passed are final and written once."""
-    stream, base = streamed(spark, adapter.events(spark, sf_dir).select("site_id", "occurred_at"))
-    jobs.to_table(jobs.hourly_counts(stream, ["site_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = adapter.events(spark, sf_dir).select("site_id", "occurred_at")
+    base = drained(spark, rows, lambda stream, base: jobs.to_table(jobs.hourly_counts(stream, ["site_id"]), f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("site_id", stamp("hour"), "n")

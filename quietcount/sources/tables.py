@@ -30,9 +30,14 @@ def scan_events(spark: SparkSession, path: str, schema: T.StructType | None = No
     return rows.where(F.col("site_id").isin(site_ids)) if site_ids is not None else rows
 
 
-def replace_days(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Replaces the partitions of `keys` that rows have, and no others."""
-    rows.repartition(*keys).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def replace_days(rows: DataFrame, path: str, keys: list[str], files_per_key: int = 4) -> None:
+    """Replaces the partitions of `keys` that rows have, and no others.
+
+    A partition is dealt over several files by row, a whole batch is written as it comes: no busy one lands in one task."""
+    if keys != ["batch_id"]:
+        hashed = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        rows = rows.repartition(*keys, F.pmod(F.xxhash64(*hashed), F.lit(files_per_key)))
+    rows.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def split_storable(rows: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
