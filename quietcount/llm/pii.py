@@ -6,7 +6,10 @@ only), gets one surrogate for the whole corpus, so mentions stay coreferent; it
 and keeps the type: digits stay digits, letters stay letters of their script, octets stay octets of
 their length, a person gets a name of the form of address's gender. Each mention is then written in its
 own format and case. A surrogate that two entities share, or that is itself an entity of the corpus,
-is drawn again with the next salt until none is left, so distinct entities stay distinct.
+is drawn again with the next salt until none is left, so distinct entities stay distinct. Where many are
+drawn again the kind's space is crowded, and it grows with the salt: from NAME_SALT on a surname gets a
+further part each time, from WIDE_SALT on an e-mail address gets letters in front and a phone number of
+less than 10 digits gets digits at its end, octets take three digits and then all values.
 
 Only texts with a hit are shuffled; the rest pass through the scan. Entities are counted map-side before
 they meet, and the join back to mentions is thin, so an entity in a third of the rows costs no more.
@@ -24,6 +27,8 @@ from quietcount.llm.common import documents, written
 
 KEY = "quietcount-surrogates-1"
 MAX_ROUNDS = 40
+#: Salts from which a crowded space grows; before, surrogates keep the entity's lengths.
+NAME_SALT, WIDE_SALT, ALL_OCTETS_SALT = 3, 4, 7
 #: Forms of address by gender, and names that surrogates are drawn from.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Don")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña")
@@ -88,20 +93,25 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         WHEN c RLIKE '[\\\\p{{L}}]' THEN substring('abcdefghijklmnopqrstuvwxyz', 1 + cast({pick.format(26)} AS int), 1)
         ELSE c END"""
     # the top-level name of an address stays, so the format does
-    email = f"concat(array_join(transform(split(regexp_extract(canonical, '^(.*)\\\\.[^.]*$', 1), ''), (c, i) -> {letters}), ''), '.', regexp_extract(canonical, '([^.]*)$', 1))"
-    octet = f"CASE length(c) WHEN 1 THEN 1 + {pick.format(9)} WHEN 2 THEN 10 + {pick.format(90)} ELSE 100 + {pick.format(155)} END"
+    more = f"greatest(salt - {WIDE_SALT - 1}, 0)"
+    # an address grows by its own first letter or digit, so in its script
+    first = "coalesce(nullif(regexp_extract(canonical, '[\\\\p{L}0-9]', 0), ''), 'a')"
+    email = f"concat(array_join(transform(split(concat(repeat({first}, {more}), regexp_extract(canonical, '^(.*)\\\\.[^.]*$', 1)), ''), (c, i) -> {letters}), ''), '.', regexp_extract(canonical, '([^.]*)$', 1))"
+    octet = f"CASE WHEN salt >= {ALL_OCTETS_SALT} THEN 1 + {pick.format(254)} WHEN salt >= {WIDE_SALT} THEN 100 + {pick.format(155)} ELSE CASE length(c) WHEN 1 THEN 1 + {pick.format(9)} WHEN 2 THEN 10 + {pick.format(90)} ELSE 100 + {pick.format(155)} END END"
     ip = f"array_join(transform(split(canonical, '\\\\.'), (c, i) -> cast({octet} AS string)), '.')"
     # a country code and a card's issuer digit stay
-    digits = f"concat(substring(canonical, 1, 1), array_join(transform(split(substring(canonical, 2), ''), (c, i) -> cast({pick.format(10)} AS string)), ''))"
+    # up to 6 more digits always fit the pattern's last groups
+    longer = f"CASE WHEN kind = 'phone' AND length(canonical) < 10 THEN repeat('0', least({more}, 6)) ELSE '' END"
+    digits = f"concat(substring(canonical, 1, 1), array_join(transform(split(concat(substring(canonical, 2), {longer}), ''), (c, i) -> cast({pick.format(10)} AS string)), ''))"
 
-    def names(options: tuple[str, ...], at: int) -> str:
+    def names(options: tuple[str, ...], at: int | str) -> str:
         listed = ", ".join(f"'{n}'" for n in options)
         return f"element_at(array({listed}), 1 + cast({_digit(str(at)).format(len(options))} AS int))"
 
     title = "regexp_extract(canonical, '^([\\\\p{L}]+)', 1)"
     listed = {g: ", ".join(f"'{t}'" for t in ts) for g, ts in (("m", MALE_TITLES), ("f", FEMALE_TITLES))}
     given = f"CASE WHEN {title} IN ({listed['m']}) THEN {names(MALE_NAMES, 0)} WHEN {title} IN ({listed['f']}) THEN {names(FEMALE_NAMES, 0)} ELSE {names(MALE_NAMES + FEMALE_NAMES, 0)} END"
-    surname = f"concat({names(SURNAME_STARTS, 1)}, {names(SURNAME_ENDS, 2)}, CASE WHEN salt < 3 THEN '' ELSE {names(SURNAME_ENDS, 3)} END)"
+    surname = f"concat({names(SURNAME_STARTS, 1)}, {names(SURNAME_ENDS, 2)}, CASE WHEN salt < {NAME_SALT} THEN '' ELSE array_join(transform(sequence({NAME_SALT}, salt), i -> {names(SURNAME_ENDS, 'i')}), '') END)"
     person = f"concat({title}, ' ', CASE WHEN canonical RLIKE ' .* ' THEN concat({given}, ' ') ELSE '' END, {surname})"
     form = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'person' THEN {person} ELSE {digits} END"
     return hashed.withColumn("surrogate", F.expr(form)).drop("h")
@@ -126,10 +136,10 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def rendered() -> Column:
     """The surrogate in the format and case of the mention `value`."""
-    # a number's digits are set into the mention's places, from its first to its last
+    # a number's digits are set into the mention's places, from its first to its last; further ones follow
     number = """aggregate(split(value, ''), named_struct('at', 0, 'out', ''),
         (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN named_struct('at', a.at + 1, 'out', concat(a.out, substring(surrogate, a.at + 1, 1)))
-                  ELSE named_struct('at', a.at, 'out', concat(a.out, c)) END, a -> a.out)"""
+                  ELSE named_struct('at', a.at, 'out', concat(a.out, c)) END, a -> concat(a.out, substring(surrogate, a.at + 1)))"""
     same = "CASE WHEN value = upper(value) AND value <> lower(value) THEN upper(surrogate) ELSE surrogate END"
     person = "CASE WHEN value RLIKE '^[^ ]+[.] ' THEN regexp_replace(surrogate, '^([^ ]+) ', '$1. ') ELSE surrogate END"
     return F.expr(f"CASE WHEN kind IN ('phone', 'card') THEN {number} WHEN kind = 'person' THEN {person} ELSE {same} END")
