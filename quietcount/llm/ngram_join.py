@@ -297,9 +297,23 @@ def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, near: Near = STAGE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns."""
-    stays = similar_sets(docs, near).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns.
+
+    A row without doc_id is a document of its own that comes after all others."""
+
+    def kept(ids: DataFrame) -> DataFrame:
+        return similar_sets(ids, near).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return docs.join(kept(docs), F.col("doc_id") == F.col("_stays"), "left_semi").select(*docs.columns)
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    # rows travel as one struct, so no column of docs can clash; written, so a row's number stays
+    number = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
+    numbered = written(nameless.select(F.struct("*").alias("row"), number.alias("doc_id"), "text"), "nameless")
+    named = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = named.unionByName(numbered)
+    return both.join(kept(both), F.col("doc_id") == F.col("_stays"), "left_semi").select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

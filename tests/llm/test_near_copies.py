@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quietcount.llm import ngram_join
 from tests.llm.test_operators import TEXTS, clashing, near_copies, table
@@ -37,3 +38,13 @@ def test_stage_against_brute_force(spark, words, edits, copies):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_stage_keeps_rows_without_ids(spark):
+    """A row without doc_id stays unless an earlier document is near it."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(3, long), (None, long + " end"), (None, "only one of its kind here"), (None, None), (None, ""), (None, "x y z " * 9 + long[:200]), (None, "x y z " * 9 + long[:200]), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "_stay": F.lit(2)})
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(3, long), (-1, rows[2][1]), (-1, ""), (-1, ""), (-1, rows[5][1]), (7, "")])
