@@ -20,10 +20,10 @@ empty result; further columns are not archived.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -160,7 +160,7 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = False) -
         for batch in batches:
             for content in batch.column(0):
                 rows: list[dict] = []
-                for f, block in walk(zlib.decompress(content.as_py(), 31)):
+                for f, block in walk(gzip.decompress(content.as_py())):
                     number = f.get("warc-segment-number")
                     row = {
                         "origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "kind": f["warc-type"],
