@@ -1,31 +1,34 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A text's set is its distinct shingles of `words` words, as 64-bit hashes; the hashes' order is the global
-order of n-grams. Two texts with n and m shingles link at a Jaccard of `percent` or more, that is
-when (100 + percent) * |difference| <= (100 - percent) * (n + m). The query takes 3 words and 90,
-the pipeline's stage 5 words and 80.
-
-1. Vertical partitioning. The global order is cut into k fragments, k by size level, so that linked
-   texts of a level differ in at most k - 2 fragments and agree in two at least. Every fragment is
-   joined on its own: equal segments are found by their hash, each counts its size as
-   a partial overlap, and the partial overlaps of a pair are summed. (A fragment that is empty counts
-   only together with another empty one, and only in a text that could differ in all its others, so
-   no key gathers texts that share nothing.)
-2. Of each bucket of equal segments the most central member is the pivot, and every other member is
-   compared with it: a pair per text and pivot, however large the bucket. The check of a pair is exact
-   and keeps the symmetric difference to the pivot.
-3. Texts of one pivot differ as their differences do. Those not linked to the pivot need a
-   common element in their differences with any partner; a rare-first prefix join over these few
-   elements finds all of them without pairing the bucket. As any two linked texts share a bucket, and
-   with it a pivot, no link between components is lost.
+order of n-grams. Two texts with n and m shingles and `overlap` common ones link when
+100 * overlap >= percent * (n + m - overlap). The query takes 3 words and 90, the pipeline's stage 5 words and 80.
+
+1. Candidates. The global order is cut into k fragments, k by size level, so that linked texts of a level differ
+   in fewer fragments than they have; equal segments are found by their hash (a bucket). A text shows one more
+   non-empty segment than a linked text can change, so one of them is equal in both. (A text with fewer segments
+   also shows its pairs of empty fragments.) A large set shows KEYS segments of a finer cut instead: more than 45
+   in 100 of them stay equal between linked texts, so the chance that a link shows no equal one is below
+   0.55 ** KEYS, 4e-13, the order of a collision of the 64-bit hashes in two sets of 3,000 shingles.
+2. Partial overlaps. The first member of a bucket is its pivot, and every other member is joined with it:
+   a pair per text and pivot, however large the bucket. The order is cut into PARTS fragments; each is joined on its
+   own by (pivot, fragment) and counts the partial overlap of each pair there; the sum per pair decides the link. What one of
+   the two texts alone has in a fragment is their partial difference.
+3. Texts of one pivot differ as their differences do. Those not linked to the pivot need a common element in
+   their differences with any partner. Rare elements first, each such element is a bucket of its own with a leader,
+   and every text is compared with the leaders of its few elements. Only texts that are then in different
+   components, share an element and are near enough by their distances to the pivot are compared with each other.
+   As any two linked texts share a bucket, and with it a pivot, no link between components is lost.
 Components come from alternating large-star and small-star rounds over the links.
 
 Exact copies of a set collapse (map-side first) before step 1. Nothing but counts reaches the driver.
-Join sides are broadcast only below BROADCAST_ROWS rows of two integers.
+Join sides are broadcast only below BROADCAST_ROWS rows of a few integers; beyond, they are shuffled and AQE splits
+hot keys.
 
-Defined results: null and blank texts have no shingles and are linked with nothing; doc_id
-names a document, so rows that repeat it are one; a null id takes its copies' component and is
-nobody's; an empty table gives an empty result; further columns are ignored.
+Defined results: null and blank texts have no shingles and are linked with nothing; rows that repeat a doc_id are
+linked by their own texts; a null id takes its copies' component and is nobody's; very long texts are cut into
+shingles whole; of ties (equal sets, equal ranks) the smallest number leads; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ from pyspark.sql.window import Window
 
 from quietcount.llm.common import documents, in_arrow, written
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+#: Segments that a large set shows; fragments in which overlaps are counted; elements of an Arrow batch of fragments.
+KEYS, PARTS, BATCH_ELEMENTS = 48, 8, 1_000_000
 #: Odd multipliers for mixing hashes.
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 
@@ -103,13 +108,16 @@ class Near:
         return out
 
     def levels(self, n: int) -> list[tuple[int, int, int]]:
-        """(level, fragments, most differences) under which a set of n shingles meets sets of its size and larger ones."""
+        """(level, fragments, segments shown) under which a set of n shingles meets sets of its size and larger ones."""
         at = next(i for i, b in enumerate(self.bounds) if n <= b)
         out = []
         for i in [at] + [at + 1] * (100 * n >= self.percent * (self.bounds[at] + 1)):
             if i:
                 most = self.differ(2 * self.bounds[i])
-                out.append((i, most + most // 16 + 2, self.differ(n + min(self.bounds[i], 100 * n // self.percent))))
+                if most < KEYS:
+                    out.append((i, most + 2, self.differ(n + min(self.bounds[i], 100 * n // self.percent)) + 1))
+                else:
+                    out.append((i, 2 * most, KEYS))
         return out
 
 
@@ -118,22 +126,30 @@ QUERY, STAGE = Near(3, 90), Near(5, 80)
 
 
 def segments(u: np.ndarray, near: Near) -> np.ndarray:
-    """Bucket keys of a set: a hash of each fragment's segment, whose low 6 bits are its size (63: or more)."""
+    """Bucket keys of a set: hashes of the segments that it shows."""
     out = []
     with np.errstate(over="ignore"):
-        for level, k, most in near.levels(len(u)):
+        for level, k, show in near.levels(len(u)):
             f = ((u >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(f, prepend=np.uint64(k)))
-            sizes = np.diff(starts, append=len(u))
-            keys = mix(np.add.reduceat(u, starts) + f[starts] * M1 + np.uint64(level) * M2)
-            out.append(keys & ~np.uint64(63) | np.minimum(sizes, 63).astype(np.uint64))
-            empty = sorted(set(range(k)) - set(f.tolist()))
-            if len(empty) > 1 and len(starts) <= most:
-                i, j = np.array(list(combinations(empty, 2)), np.uint64).T
-                out.append(mix(i * M1 + j * M3 + np.uint64(level) * M2 + np.uint64(1)) & ~np.uint64(63))
+            first = starts[:show]
+            end = starts[show] if show < len(starts) else len(u)
+            out.append(mix(np.add.reduceat(u[:end], first) + f[first] * M1 + np.uint64(level) * M2))
+            if len(starts) < show:  # a linked text can differ in all of them, and then shares two empty fragments
+                empty = sorted(set(range(k)) - set(f.tolist()))
+                i, j = np.array(list(combinations(empty, 2)) or np.empty((0, 2)), np.uint64).T
+                out.append(mix(i * M1 + j * M3 + np.uint64(level) * M2 + np.uint64(1)))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def set_key(u: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set."""
+    if not len(u):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(np.add.reduce(mix(u + M1)).view(np.int64)), int(np.add.reduce(mix(u ^ M2)).view(np.int64))
+
+
 def signed(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (128-bit hash of the set), segs (bucket keys)."""
     schema = T.StructType(
@@ -150,8 +166,9 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
                     for text in batch.column(1).cast(pa.binary()).to_pylist():
                         u = shingles(text, near.words)
                         n.append(len(u))
-                        k1.append(np.add.reduce(mix(u + M1)).view(np.int64) if len(u) else 0)
-                        k2.append(np.add.reduce(mix(u ^ M2)).view(np.int64) if len(u) else 0)
+                        x, y = set_key(u)
+                        k1.append(x)
+                        k2.append(y)
                         segs.append(segments(u, near) if len(u) else np.empty(0, np.int64))
                 ends = np.cumsum([0] + [len(s) for s in segs]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(segs)))
@@ -166,41 +183,57 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def compared(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """a, b, n_a, n_b, linked, delta (hashes in one of the two sets only) of each pair of ids (a, b).
+def fragments(docs: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
+    """node, pivot, n, g, part: the hashes of each wanted text in each of PARTS fragments, once for each of its pivots.
 
-    Both texts of a pair meet in one row; a text is read again rather than its set stored."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # written, so both joins read plain scans and Spark can split a pivot that many texts are compared with
-    texts = written(docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    schema = "a long, b long, n_a long, n_b long, linked boolean, delta array<long>"
+    wanted: node, doc_id, k1, pivots (array<long>, as many as the text has bucket keys at most)."""
+    schema = "node long, pivot long, n long, g int, part array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (b"", shingles(b"", near.words))
+        cut = (np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)).astype(np.uint64)
+        rows: list[tuple[int, int, int, int]] = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            ends = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            node, pivot, n, g = zip(*rows, strict=True)
+            cols = [pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(n, pa.int64()), pa.array(g, pa.int32()), lists]
+            return pa.RecordBatch.from_arrays(cols, names=["node", "pivot", "n", "g", "part"])
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                n_a, n_b, linked, delta = [], [], [], []
-                texts_a, texts_b = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-                for x, y in zip(texts_a, texts_b, strict=True):
-                    u = shingles(x, near.words)
-                    if y != last[0]:  # rows come sorted by b, so a pivot's set is made once
-                        last = (y, shingles(y, near.words))
-                    v = last[1]
-                    d = np.setxor1d(u, v, assume_unique=True)
-                    n_a.append(len(u))
-                    n_b.append(len(v))
-                    linked.append(len(u) > 0 and len(d) <= near.differ(len(u) + len(v)))
-                    delta.append(d.view(np.int64))
-                ends = np.cumsum([0] + [len(s) for s in delta]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta)))
-                cols = [pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_()), lists]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "n_a", "n_b", "linked", "delta"])
-
-    rows = both.select(F.col("a").cast("long"), F.col("b").cast("long"), "text_a", "text_b")
-    return in_arrow(rows, run, schema)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                texts = batch.column(0).cast(pa.binary()).to_pylist()
+                for text, node, k1, pivots in zip(texts, *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    u = shingles(text, near.words)
+                    if set_key(u)[0] != k1:  # another text under the same doc_id
+                        continue
+                    pieces = np.split(u, np.searchsorted(u, cut))
+                    for pivot in pivots:
+                        rows += [(node, pivot, len(u), g) for g in range(PARTS)]
+                        parts += pieces
+                        held += len(u)
+                        if held >= BATCH_ELEMENTS:
+                            yield batch_of()
+                            rows, parts, held = [], [], 0
+        if rows:
+            yield batch_of()
+
+    return in_arrow(docs.select("doc_id", "text").join(few(wanted), "doc_id").select("text", "node", "k1", "pivots"), run, schema)
+
+
+def partial_overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """a, p, n_a, n_p, g, overlap, delta (hashes in one of the two only) of each pair (a, p) in each fragment g."""
+    named = nodes.select("node", F.col("rep").alias("doc_id"), "k1")
+    by_text = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("p").alias("pivots")).join(named, "node")
+    by_pivot = pairs.select(F.col("p").alias("node")).distinct().join(named, "node").withColumn("pivots", F.array("node"))
+    left = fragments(docs, by_text, near).select(F.col("node").alias("a"), F.col("pivot").alias("p"), F.col("n").alias("n_a"), "g", F.col("part").alias("u"))
+    right = fragments(docs, by_pivot, near).select(F.col("node").alias("p"), F.col("n").alias("n_p"), "g", F.col("part").alias("v"))
+    delta = F.concat(F.array_except("u", "v"), F.array_except("v", "u"))
+    overlap = F.size(F.array_intersect("u", "v")).cast("long")
+    return left.join(right, ["p", "g"]).select("a", "p", "n_a", "n_p", "g", overlap.alias("overlap"), delta.alias("delta"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,69 +263,99 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def labelled(nodes: DataFrame, comps: DataFrame, id_column: str, name: str) -> DataFrame:
-    """nodes with the component of id_column, itself where it has no link."""
-    found = nodes.join(comps.select(F.col("node").alias(id_column), F.col("comp").alias(name)), id_column, "left")
-    return found.withColumn(name, F.coalesce(name, id_column))
+def differing(pairs: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
+    """The links among pairs (p, a, b) of texts of the family p, by their differences to p."""
+    sides = [fam.select("p", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"d_{k}")) for k in ("a", "b")]
+    both = pairs.distinct().join(sides[0], ["p", "a"]).join(sides[1], ["p", "b"])
+    return both.where(near.holds("size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))", "n_a + n_b")).select("a", "b")
 
 
-def within_families(stars: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) between texts that were compared with one pivot, at least one of them not linked to it."""
-    fam = stars.select(
-        F.col("b").alias("p"), F.col("a").alias("x"), F.col("n_a").alias("n"), "linked", "delta", F.size("delta").cast("long").alias("d")
-    )
-    mixed = fam.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("linked").alias("all_linked")).where("c > 1 AND NOT all_linked")
-    fam = written(fam.join(mixed.select("p"), "p", "left_semi"), "families")
+def family_prefixes(fam: DataFrame, near: Near) -> DataFrame:
+    """p, e, x, n, d, linked, short: the elements e under which a text x of the family p can meet a partner that it links to.
+
+    Two texts of which one isn't linked to the pivot share `percent` / (100 + percent) of the other's difference at
+    least, and leave out at most `alone` elements; rare elements come first."""
     el = fam.select("p", "x", "n", "d", "linked", F.explode("delta").alias("e"))
-    common = el.groupBy("p", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    el = el.join(common, ["p", "e"])
+    common = el.groupBy("p", "e").agg(F.count(F.lit(1)).alias("c"), F.min("linked").alias("all_linked")).where("c > 1 AND NOT all_linked")
+    el = el.join(common.drop("all_linked"), ["p", "e"])
     by_x = Window.partitionBy("p", "x")
     # elements of no other text come first in the rare-first order
     at = F.col("d") - F.count(F.lit(1)).over(by_x) + F.row_number().over(by_x.orderBy("c", "e"))
-    el = el.withColumn("at", at)
-    p, alone = near.percent, f"{100 - near.percent} * n div {near.percent}"  # alone: most elements that no linked text's difference shares
-    short = el.where(f"at <= d - greatest(ceil({p} * d / {100 + p}), CASE WHEN linked THEN 0 ELSE d - {alone} END) + 1")
-    long = el.where(f"NOT linked AND at <= least(d, {alone} + 1)")
-    u, v = (short.where("NOT linked").select("p", "e", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}")) for k in ("a", "b"))
-    close = F.expr(f"{near.holds('abs(d_a - d_b)', 'n_a + n_b')} AND {near.holds('abs(n_a - n_b)', 'n_a + n_b')}")
-    unlinked = u.join(v, ["p", "e"]).where(close & F.expr("a < b")).select("p", "a", "b")
-    w = short.where("linked").select("p", "e", F.col("x").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"))
-    mixed_pairs = long.select("p", "e", F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a")).join(w, ["p", "e"]).where(close).select("p", "a", "b")
-    sides = [fam.select("p", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"d_{k}")) for k in ("a", "b")]
-
-    def held(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sides[0], ["p", "a"]).join(sides[1], ["p", "b"])
-        differ = "size(d_a) + size(d_b) - 2 * size(array_intersect(d_a, d_b))"
-        return both.where(near.holds(differ, "n_a + n_b")).select("p", "a", "b")
-
-    # who links to any text that is linked to the pivot is in the pivot's component
-    reached = written(held(mixed_pairs).select(F.col("a").alias("x"), "p").distinct(), "reached")
-    apart = [reached.select("p", F.col("x").alias(k), F.lit(True).alias(f"r_{k}")) for k in ("a", "b")]
-    open_pairs = unlinked.join(apart[0], ["p", "a"], "left").join(apart[1], ["p", "b"], "left").where("r_a IS NULL OR r_b IS NULL")
-    return held(open_pairs.select("p", "a", "b")).select("a", "b").union(reached.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    t, alone = near.percent, f"{100 - near.percent} * n div {near.percent}"
+    short = f"at <= d - greatest(ceil({t} * d / {100 + t}), CASE WHEN linked THEN 0 ELSE d - {alone} END) + 1"
+    rows = el.withColumn("at", at).withColumn("short", F.expr(short))
+    return rows.where(f"CASE WHEN linked THEN short ELSE short OR at <= least(d, {alone} + 1) END").drop("at", "c")
+
+
+def led(rows: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) of each text that isn't linked to its pivot with the leaders of its elements: the least different text
+    of those not linked to the pivot, and of those linked to it."""
+    nearest = F.struct("d", "x")
+    leaders = rows.groupBy("p", "e").agg(
+        F.min(F.when(F.expr("NOT linked AND short"), nearest)).alias("u"), F.min(F.when(F.col("linked"), nearest)).alias("l")
+    )
+    met = rows.where("NOT linked").join(leaders, ["p", "e"])
+    pairs = met.select("p", F.col("x").alias("a"), F.explode(F.expr("array(CASE WHEN short THEN u.x END, l.x)")).alias("b")).where("a <> b")
+    return differing(pairs, fam, near)
+
+
+def left_apart(rows: DataFrame, comps: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between texts of a family in different components."""
+    rows = rows.join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    open_ = rows.groupBy("p", "e").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    rows = written(rows.join(open_.select("p", "e"), ["p", "e"], "left_semi"), "apart")
+    if rows.isEmpty():
+        return rows.select(F.col("x").alias("a"), F.col("x").alias("b"))
+
+    def side(k: str, which: str) -> DataFrame:
+        return rows.where(which).select("p", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d", "comp")])
+
+    close = F.expr(f"{near.holds('abs(d_a - d_b)', 'n_a + n_b')} AND {near.holds('abs(n_a - n_b)', 'n_a + n_b')} AND comp_a <> comp_b")
+    unlinked = side("a", "NOT linked AND short").join(side("b", "NOT linked AND short"), ["p", "e"]).where(close & F.expr("x_a < x_b"))
+    mixed = side("a", "NOT linked").join(side("b", "linked"), ["p", "e"]).where(close)
+    pairs = unlinked.unionByName(mixed).select("p", F.col("x_a").alias("a"), F.col("x_b").alias("b"))
+    return differing(pairs, fam, near)
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """node, comp of every node with a link. nodes: node, rep, k1, segs."""
+    rows = nodes.select("node", F.explode("segs").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("last")).where("p <> last").drop("last")
+    pairs = rows.join(few(written(shared, "shared")), "bucket").where("node <> p").select(F.col("node").alias("a"), "p").distinct()
+    partial = written(partial_overlaps(written(pairs, "pairs"), nodes, docs, near), "partial")
+    # distinct: rows that repeat doc_id and text count once
+    summed = partial.select("a", "p", "n_a", "n_p", "g", "overlap").distinct().groupBy("a", "p", "n_a", "n_p").agg(F.sum("overlap").alias("overlap"))
+    linked = F.expr(f"100 * overlap >= {near.percent} * (n_a + n_p - overlap)")
+    stars = written(summed.select("a", "p", "n_a", (F.col("n_a") + F.col("n_p") - 2 * F.col("overlap")).alias("d"), linked.alias("linked")), "stars")
+    links = stars.where("linked").select("a", F.col("p").alias("b"))
+    mixed = stars.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("linked").alias("all_linked")).where("c > 1 AND NOT all_linked")
+    mixed = few(written(mixed.select("p"), "mixed"))
+    deltas = partial.join(mixed, "p", "left_semi").groupBy("a", "p").agg(F.collect_set(F.struct("g", "delta")).alias("ds"))
+    deltas = deltas.select("a", "p", F.flatten(F.col("ds.delta")).alias("delta"))
+    fam = written(stars.join(deltas, ["a", "p"]).select("p", F.col("a").alias("x"), F.col("n_a").alias("n"), "d", "linked", "delta"), "families")
+    if fam.isEmpty():
+        return written(components(links), "components")
+    rows = written(family_prefixes(fam, near), "prefixes")
+    links = written(links.unionByName(led(rows, fam, near)), "links")
+    comps = written(components(links), "components")
+    more = written(left_apart(rows, comps, fam, near), "more")
+    return comps if more.isEmpty() else written(components(links.unionByName(more)), "components")
 
 
 def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = written(signed(docs, near), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("segs").alias("segs"))
-    classes = classes.where("rep IS NOT NULL")
-    rows = classes.select(F.col("rep").alias("id"), F.explode("segs").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = written(rows.join(shared, "bucket"), "buckets")
-
-    # the pivot of a bucket is its member whose buckets hold most others
-    central = met.groupBy("id").agg(F.sum("c").alias("s"))
-    pivots = met.select("bucket", "id").join(central, "id").groupBy("bucket").agg(F.max(F.struct("s", (-F.col("id")).alias("i"))).alias("m"))
-    pivots = pivots.select("bucket", (-F.col("m.i")).alias("p"))
-    partial = met.select("bucket", "id").join(pivots, "bucket").where("id <> p")
-    # low 6 bits: the segment's size, its partial overlap
-    summed = partial.groupBy(F.col("id").alias("a"), F.col("p").alias("b")).agg(F.sum(F.col("bucket").bitwiseAND(63)).alias("overlap"))
-    stars = written(compared(written(summed, "pairs"), docs, near), "stars")
-    links = stars.where("linked").select("a", "b").union(within_families(stars, near))
-    comps = written(components(links), "components")
-    reps = labelled(classes.select("n_shingles", "k1", "k2", "rep"), comps, "rep", "component_id").drop("rep")
-    out = sets.drop("segs").join(reps, ["n_shingles", "k1", "k2"], "left")
+    same = ["n_shingles", "k1", "k2"]
+    classes = sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("segs").alias("segs"))
+    # written, so a set keeps its number
+    nodes = written(classes.where("rep IS NOT NULL").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    comps = linked_sets(nodes, docs, near)
+    placed = nodes.select(*same, "rep", "node").join(comps, "node")
+    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    alone = nodes.select(*same, "rep").withColumnRenamed("rep", "own")
+    reps = alone.join(placed.join(least, "comp").select(*same, "component_id"), same, "left")
+    reps = reps.select(*same, F.coalesce("component_id", "own").alias("component_id"))
+    out = sets.drop("segs").join(reps, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from quietcount.llm import bpe, mixing, toxicity
 from quietcount.llm.common import documents, labels
-from tests.llm.test_operators import components, shingle_set
+from tests.llm.test_near_copies import roots, shingle_set
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,8 +27,8 @@ def test_stages_and_rows(spark):
     for i in sorted(rows):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i].text or ""), i)
     kept = sorted(first.values())
-    roots = components([shingle_set(rows[i].text) for i in kept])
-    kept = [i for k, i in enumerate(kept) if roots[k] == k]
+    at = roots([shingle_set(rows[i].text, 5) for i in kept], 80)
+    kept = [i for k, i in enumerate(kept) if at[k] == k]
     left = spark.createDataFrame([rows[i] for i in kept], docs.schema)
     copies = {r.doc_id: r.copies for r in mixing.mixed(left).collect()}
     lib = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
