@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 #: ASCII white space as a Java regex class, and the same characters for trim().
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = "\t\n\x0b\x0c\r "
-ARROW_BYTES = 16 * 1024 * 1024
+ARROW_BYTES = 4 * 1024 * 1024
+#: Rows of a few numbers up to which a join side is broadcast, after they were counted.
+BROADCAST_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,3 +59,8 @@ def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df (thin rows) with a broadcast hint if a count shows it to be small; otherwise Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

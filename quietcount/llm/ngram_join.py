@@ -45,9 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quietcount.llm.common import documents, in_arrow, written
+from quietcount.llm.common import documents, few, in_arrow, written
 
-BROADCAST_ROWS = 500_000
 #: Segments that a large set shows; fragments in which overlaps are counted; elements of an Arrow batch of fragments.
 KEYS, PARTS, BATCH_ELEMENTS = 48, 8, 1_000_000
 #: Odd multipliers for mixing hashes.
@@ -178,11 +177,6 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if a count shows it to be small; otherwise Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def fragments(docs: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
     """node, pivot, n, g, part: the hashes of each wanted text in each of PARTS fragments, once for each of its pivots.
 

@@ -61,10 +61,26 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
 
 
 def test_directory_splits_overfull_buckets_only():
-    slots = exact_dedup.directory({0: 50, 1: 50, 1023: 1}, 60)
+    slots = exact_dedup.directory({0: 50, 1: 50, 1023: 1}, 60, 10)
     buckets = {b: d for _, b, d in slots}
     assert len(slots) == 1024 and max(buckets.values()) == 10 and len(buckets) == 11
-    assert exact_dedup.directory({}, 5) == [(0, 0, 0)]
+    assert exact_dedup.directory({}, 5, 4) == [(0, 0, 0)]
+    many = exact_dedup.directory({p: 3 for p in range(1 << 13)}, 5, 13)
+    assert len(many) == 1 << 13 and len({b for _, b, _ in many}) == 1 << 13
+
+
+def test_a_wrong_directory_finds_nothing(spark):
+    docs = table(spark, [f"text {i % 40}" for i in range(60)])
+    rows = exact_dedup.keyed(docs, F.xxhash64)
+    right, wrong = (exact_dedup.Directory(rows, 4) for _ in range(2))
+    assert right.depth >= 3 and len({b for _, b, _ in right.slots}) >= 10
+    index = exact_dedup.build_index(docs, rows, right)
+    assert exact_dedup.look_up(docs, rows, index, right).count() == 60
+    turned = [(s, (b + 1) % len(wrong.slots)) for s, b, _ in wrong.slots]
+    wrong.table = spark.createDataFrame(turned, "slot long, bucket int")
+    assert exact_dedup.look_up(docs, rows, index, wrong).count() < 30
+    strange = table(spark, ["a text that isn't in the index"])
+    assert exact_dedup.look_up(strange, exact_dedup.keyed(strange, F.xxhash64), index, right).count() == 0
 
 
 def brute_quality(text):
