@@ -4,14 +4,15 @@ A text's set is its distinct shingles of `words` words, as 64-bit hashes; the ha
 order of n-grams. Two texts with n and m shingles and `overlap` common ones link when
 100 * overlap >= percent * (n + m - overlap). The query takes 3 words and 90, the pipeline's stage 5 words and 80.
 
-1. Candidates. The global order is cut into k fragments, k by size level, so that linked texts of a level differ
-   in fewer fragments than they have; equal segments are found by their hash (a bucket). A text shows one more
-   non-empty segment than a linked text can change, so one of them is equal in both. (A text with fewer segments
-   also shows its pairs of empty fragments.) A large set shows KEYS segments of a finer cut instead: more than 45
-   in 100 of them stay equal between linked texts, so the chance that a link shows no equal one is below
-   0.55 ** KEYS, 4e-13, the order of a collision of the 64-bit hashes in two sets of 3,000 shingles.
-2. Partial overlaps. The first member of a bucket is its pivot, and every other member is joined with it:
-   a pair per text and pivot, however large the bucket. The order is cut into PARTS fragments; each is joined on its
+1. Candidates. The global order is cut into k fragments, k by size level; equal segments are found by their hash (a
+   bucket). A text shows SHARED more non-empty segments than a linked text can change, so linked texts have SHARED
+   buckets in common. (A text with fewer segments shows all and, if a linked text could change them all, its pairs of
+   empty fragments.) A large set shows KEYS segments of a finer cut instead: each stays equal between linked texts with
+   a chance over 0.58, so a link has fewer than SHARED of KEYS in common with a chance below 5e-13: about that of
+   a collision among the 64-bit hashes of two such sets.
+2. Partial overlaps. The most central member of a bucket (whose buckets hold most others) is its pivot, and every other
+   member is joined with it: a pair per text and pivot, however large the bucket. A text leaves out the pivots with which it has least in common, as
+   long as they stand for under half of SHARED buckets: two linked texts still keep a pivot in common. The order is cut into PARTS fragments; each is joined on its
    own by (pivot, fragment) and counts the partial overlap of each pair there; the sum per pair decides the link. What one of
    the two texts alone has in a fragment is their partial difference.
 3. Texts of one pivot differ as their differences do. Those not linked to the pivot need a common element in
@@ -40,15 +41,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quietcount.llm.common import documents, few, in_arrow, written
 
-#: Segments that a large set shows; fragments in which overlaps are counted; elements of an Arrow batch of fragments.
-KEYS, PARTS, BATCH_ELEMENTS = 48, 8, 1_000_000
+#: Segments that a large set shows, buckets that linked texts have in common; fragments in which overlaps are counted; elements of an Arrow batch of fragments.
+KEYS, SHARED, PARTS, BATCH_ELEMENTS = 64, 10, 8, 1_000_000
 #: Odd multipliers for mixing hashes.
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 
@@ -106,17 +107,18 @@ class Near:
             out.append(out[-1] * 3 // 2 + 1)
         return out
 
-    def levels(self, n: int) -> list[tuple[int, int, int]]:
-        """(level, fragments, segments shown) under which a set of n shingles meets sets of its size and larger ones."""
+    def levels(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(level, fragments, most differences, segments shown) under which a set of n shingles meets sets of its size and larger ones."""
         at = next(i for i, b in enumerate(self.bounds) if n <= b)
         out = []
         for i in [at] + [at + 1] * (100 * n >= self.percent * (self.bounds[at] + 1)):
             if i:
                 most = self.differ(2 * self.bounds[i])
-                if most < KEYS:
-                    out.append((i, most + 2, self.differ(n + min(self.bounds[i], 100 * n // self.percent)) + 1))
+                own = self.differ(n + min(self.bounds[i], 100 * n // self.percent))
+                if most + SHARED < KEYS:
+                    out.append((i, most + most // 8 + SHARED, own, own + SHARED))
                 else:
-                    out.append((i, 2 * most, KEYS))
+                    out.append((i, 2 * most, own, KEYS))
         return out
 
 
@@ -124,21 +126,22 @@ class Near:
 QUERY, STAGE = Near(3, 90), Near(5, 80)
 
 
-def segments(u: np.ndarray, near: Near) -> np.ndarray:
-    """Bucket keys of a set: hashes of the segments that it shows."""
-    out = []
+def segments(u: np.ndarray, near: Near) -> tuple[np.ndarray, bool]:
+    """Bucket keys of a set: hashes of the segments that it shows; whether it shows as many as it should."""
+    out, full = [], True
     with np.errstate(over="ignore"):
-        for level, k, show in near.levels(len(u)):
+        for level, k, most, show in near.levels(len(u)):
             f = ((u >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(f, prepend=np.uint64(k)))
             first = starts[:show]
             end = starts[show] if show < len(starts) else len(u)
             out.append(mix(np.add.reduceat(u[:end], first) + f[first] * M1 + np.uint64(level) * M2))
-            if len(starts) < show:  # a linked text can differ in all of them, and then shares two empty fragments
+            full &= len(starts) >= show
+            if len(starts) <= most and show < KEYS:  # a linked text can differ in all of them, and then shares two empty fragments
                 empty = sorted(set(range(k)) - set(f.tolist()))
-                i, j = np.array(list(combinations(empty, 2)) or np.empty((0, 2)), np.uint64).T
+                i, j = np.array(list(combinations(empty, 2)), np.uint64).T
                 out.append(mix(i * M1 + j * M3 + np.uint64(level) * M2 + np.uint64(1)))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64), full
 
 
 def set_key(u: np.ndarray) -> tuple[int, int]:
@@ -150,17 +153,17 @@ def set_key(u: np.ndarray) -> tuple[int, int]:
 
 
 def signed(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (128-bit hash of the set), segs (bucket keys)."""
+    """doc_id, n_shingles, k1, k2 (128-bit hash of the set), full (all segments shown), segs (bucket keys)."""
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()),
-         T.StructField("k2", T.LongType()), T.StructField("segs", T.ArrayType(T.LongType()))]
+         T.StructField("k2", T.LongType()), T.StructField("full", T.BooleanType()), T.StructField("segs", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n, k1, k2, segs = [], [], [], []
+                n, k1, k2, full, segs = [], [], [], [], []
                 with np.errstate(over="ignore"):
                     for text in batch.column(1).cast(pa.binary()).to_pylist():
                         u = shingles(text, near.words)
@@ -168,11 +171,13 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
                         x, y = set_key(u)
                         k1.append(x)
                         k2.append(y)
-                        segs.append(segments(u, near) if len(u) else np.empty(0, np.int64))
+                        keys, all_shown = segments(u, near)
+                        full.append(all_shown)
+                        segs.append(keys)
                 ends = np.cumsum([0] + [len(s) for s in segs]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(segs)))
                 longs = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *longs, lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(full, pa.bool_()), lists], names=schema.names)
 
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 
@@ -265,7 +270,7 @@ def differing(pairs: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
 
 
 def family_prefixes(fam: DataFrame, near: Near) -> DataFrame:
-    """p, e, x, n, d, linked, short: the elements e under which a text x of the family p can meet a partner that it links to.
+    """p, e, x, n, d, linked, at, short: the elements e under which a text x of the family p can meet a partner that it links to.
 
     Two texts of which one isn't linked to the pivot share `percent` / (100 + percent) of the other's difference at
     least, and leave out at most `alone` elements; rare elements come first."""
@@ -278,33 +283,45 @@ def family_prefixes(fam: DataFrame, near: Near) -> DataFrame:
     t, alone = near.percent, f"{100 - near.percent} * n div {near.percent}"
     short = f"at <= d - greatest(ceil({t} * d / {100 + t}), CASE WHEN linked THEN 0 ELSE d - {alone} END) + 1"
     rows = el.withColumn("at", at).withColumn("short", F.expr(short))
-    return rows.where(f"CASE WHEN linked THEN short ELSE short OR at <= least(d, {alone} + 1) END").drop("at", "c")
+    return rows.where(f"CASE WHEN linked THEN short ELSE short OR at <= least(d, {alone} + 1) END").drop("c")
+
+
+def can_link(near: Near) -> str:
+    """SQL: texts a and b of a family whose first common element is at at_a and at_b can link. After it, they have no more
+    elements in common than the shorter rest of their differences."""
+    fewest = "d_a + d_b - 2 * (1 + least(d_a - at_a, d_b - at_b))"
+    return " AND ".join(near.holds(x, "n_a + n_b") for x in ("abs(d_a - d_b)", "abs(n_a - n_b)", fewest))
 
 
 def led(rows: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
     """Links (a, b) of each text that isn't linked to its pivot with the leaders of its elements: the least different text
-    of those not linked to the pivot, and of those linked to it."""
-    nearest = F.struct("d", "x")
+    of those not linked to the pivot, and of those linked to it. (What these miss, left_apart finds.)"""
+    nearest = F.struct("d", "x", "n", "at")
     leaders = rows.groupBy("p", "e").agg(
         F.min(F.when(F.expr("NOT linked AND short"), nearest)).alias("u"), F.min(F.when(F.col("linked"), nearest)).alias("l")
     )
-    met = rows.where("NOT linked").join(leaders, ["p", "e"])
-    pairs = met.select("p", F.col("x").alias("a"), F.explode(F.expr("array(CASE WHEN short THEN u.x END, l.x)")).alias("b")).where("a <> b")
-    return differing(pairs, fam, near)
+    met = rows.where("NOT linked").join(leaders, ["p", "e"]).select("p", *own_side("a"), F.explode(F.expr("array(CASE WHEN short THEN u END, l)")).alias("q"))
+    pairs = met.select("*", *[F.col(f"q.{c}").alias(f"{c}_b") for c in ("x", "n", "d", "at")]).where(f"x_a <> x_b AND {can_link(near)}")
+    return differing(pairs.select("p", F.col("x_a").alias("a"), F.col("x_b").alias("b")), fam, near)
 
 
-def left_apart(rows: DataFrame, comps: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) between texts of a family in different components."""
+def own_side(k: str, *more: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d", "at", *more)]
+
+
+def apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of elements whose texts are in several components, with comp."""
     rows = rows.join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    open_ = rows.groupBy("p", "e").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    rows = written(rows.join(open_.select("p", "e"), ["p", "e"], "left_semi"), "apart")
-    if rows.isEmpty():
-        return rows.select(F.col("x").alias("a"), F.col("x").alias("b"))
+    ends = rows.groupBy("p", "e").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    return written(rows.join(ends.select("p", "e"), ["p", "e"], "left_semi"), "apart")
+
 
+def left_apart(rows: DataFrame, fam: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between texts of a family in different components."""
     def side(k: str, which: str) -> DataFrame:
-        return rows.where(which).select("p", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d", "comp")])
+        return rows.where(which).select("p", "e", *own_side(k, "comp"))
 
-    close = F.expr(f"{near.holds('abs(d_a - d_b)', 'n_a + n_b')} AND {near.holds('abs(n_a - n_b)', 'n_a + n_b')} AND comp_a <> comp_b")
+    close = F.expr(f"{can_link(near)} AND comp_a <> comp_b")
     unlinked = side("a", "NOT linked AND short").join(side("b", "NOT linked AND short"), ["p", "e"]).where(close & F.expr("x_a < x_b"))
     mixed = side("a", "NOT linked").join(side("b", "linked"), ["p", "e"]).where(close)
     pairs = unlinked.unionByName(mixed).select("p", F.col("x_a").alias("a"), F.col("x_b").alias("b"))
@@ -312,10 +329,15 @@ def left_apart(rows: DataFrame, comps: DataFrame, fam: DataFrame, near: Near) ->
 
 
 def linked_sets(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """node, comp of every node with a link. nodes: node, rep, k1, segs."""
-    rows = nodes.select("node", F.explode("segs").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("last")).where("p <> last").drop("last")
-    pairs = rows.join(few(written(shared, "shared")), "bucket").where("node <> p").select(F.col("node").alias("a"), "p").distinct()
+    """node, comp of every node with a link. nodes: node, rep, k1, full, segs."""
+    rows = nodes.select("node", "full", F.explode("segs").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last")
+    met = written(rows.join(few(written(shared.select("bucket", "size"), "shared")), "bucket"), "met")
+    central = met.groupBy("node").agg(F.struct(F.sum("size").alias("s"), (-F.col("node")).alias("i")).alias("rank"))
+    pivots = met.join(central, "node").groupBy("bucket").agg((-F.max("rank")["i"]).alias("p"))
+    met = met.join(few(written(pivots, "pivots")), "bucket").where("node <> p").groupBy(F.col("node").alias("a"), "p", "full").agg(F.count(F.lit(1)).alias("c"))
+    least_first = Window.partitionBy("a").orderBy("c", "p")  # of one text: as many rows as it shows segments
+    pairs = met.withColumn("left_out", F.sum("c").over(least_first)).where(~F.col("full") | F.expr(f"left_out > {(SHARED - 1) // 2}")).select("a", "p")
     partial = written(partial_overlaps(written(pairs, "pairs"), nodes, docs, near), "partial")
     # distinct: rows that repeat doc_id and text count once
     summed = partial.select("a", "p", "n_a", "n_p", "g", "overlap").distinct().groupBy("a", "p", "n_a", "n_p").agg(F.sum("overlap").alias("overlap"))
@@ -332,7 +354,10 @@ def linked_sets(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     rows = written(family_prefixes(fam, near), "prefixes")
     links = written(links.unionByName(led(rows, fam, near)), "links")
     comps = written(components(links), "components")
-    more = written(left_apart(rows, comps, fam, near), "more")
+    rows = apart(rows, comps)
+    if rows.isEmpty():
+        return comps
+    more = written(left_apart(rows, fam, near), "more")
     return comps if more.isEmpty() else written(components(links.unionByName(more)), "components")
 
 
@@ -340,7 +365,7 @@ def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = written(signed(docs, near), "sets")
     same = ["n_shingles", "k1", "k2"]
-    classes = sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("segs").alias("segs"))
+    classes = sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("full").alias("full"), F.any_value("segs").alias("segs"))
     # written, so a set keeps its number
     nodes = written(classes.where("rep IS NOT NULL").withColumn("node", F.monotonically_increasing_id()), "nodes")
     comps = linked_sets(nodes, docs, near)
@@ -349,7 +374,7 @@ def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
     alone = nodes.select(*same, "rep").withColumnRenamed("rep", "own")
     reps = alone.join(placed.join(least, "comp").select(*same, "component_id"), same, "left")
     reps = reps.select(*same, F.coalesce("component_id", "own").alias("component_id"))
-    out = sets.drop("segs").join(reps, same, "left")
+    out = sets.drop("segs", "full").join(reps, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
