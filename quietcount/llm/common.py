@@ -14,6 +14,7 @@ WS_CHARS = "\t\n\x0b\x0c\r "
 ARROW_BYTES = 4 * 1024 * 1024
 #: Rows of a few numbers up to which a join side is broadcast, after they were counted.
 BROADCAST_ROWS = 500_000
+_LOCAL: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-quietcount-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-quietcount-")
+        _LOCAL[context.applicationId] = folder
     return folder.rstrip("/")
 
 
