@@ -41,7 +41,8 @@ def scrubbed_segments(segments: str) -> str:
 
 def scrub_path(path: str = "path", consumed: str = "0", matched: str = "cast(array() AS array<string>)") -> Column:
     """A path with its segments scrubbed; the first `consumed` ones are replaced by `matched` (route templates)."""
-    segments = f"split(coalesce(nullif({path}, ''), '/'), '/')"
+    # trailing slashes make no segments
+    segments = f"split(regexp_replace(coalesce({path}, ''), '/+$', ''), '/')"
     tail = scrubbed_segments(f"slice({segments}, {consumed} + 1, size({segments}))")
     joined = f"array_join(concat({matched}, {tail}), '/')"
     whole = f"CASE WHEN {joined} = '' THEN '/' ELSE {joined} END"

@@ -48,20 +48,23 @@ def goal_report(scope: DataFrame, goals: list[Goal], filters: dict | None = None
     return out.select("site_id", "goal_id", "conversions", "visitors", percent(F.col("visitors"), F.col("total")).alias("conversion_rate"), "revenue")
 
 
-PANELS = ["page", "entry_page", "source", "country", "browser", "os", "device", "screen"]
+PANELS = ["page", "entry_page", "source", "country", "device", "browser", "os", "utm_campaign"]
 
 
-def dashboard(scope: DataFrame, bounds: DataFrame, goals: list[Goal], filters: dict | None = None) -> dict[str, DataFrame]:
-    """The default dashboard: summary, panels, goals; events only where there are rows to show, properties under
-    an event or property filter, next steps under a page filter. All parts read one frame."""
+def dashboard(scope: DataFrame, bounds: DataFrame, goals: list[Goal], filters: dict | None = None, unit: str = "day", live: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The default dashboard: summary, time series, panels, goals; events only where there are rows to show, properties under
+    an event or property filter, next steps under a page filter; live: the visitors of the last minutes. All other parts read one frame."""
     kept = cleaned(filters)
     now = scope.where("window = 'cur'")
     out = {
         "summary": reports.compared(reports.summary(scope, bounds, filters)),
+        "timeseries": reports.timeseries(now, bounds, unit, filters),
         "panels": reports.panels(now, PANELS, filters),
         "events": reports.panels(now, ["event"], filters),
         "goals": goal_report(now, goals, filters),
     }
+    if live is not None:
+        out["realtime"] = live
     if "event" in kept or any(k.startswith("props:") for k in kept):
         out["properties"] = reports.property_breakdown(now, filters)
     if "page" in kept:
@@ -71,20 +74,23 @@ def dashboard(scope: DataFrame, bounds: DataFrame, goals: list[Goal], filters: d
 
 @dataclass(frozen=True)
 class Widget:
-    """A saved report: stat, breakdown or goals, with its filters and row limit."""
+    """A saved report: stat, timeseries, breakdown, goals or funnel, with its filters and row limit."""
 
     widget_id: int
     kind: str
     dimension: str | None = None
     filters: dict = field(default_factory=dict)
     row_limit: int = 5
+    funnel: sequences.Funnel | None = None
 
 
-def saved_dashboard(scope: DataFrame, widgets: list[Widget], goals: list[Goal]) -> DataFrame:
-    """Rows of all widgets: widget_id, status, site_id, label, visitors, volume.
+def saved_dashboard(scope: DataFrame, widgets: list[Widget], goals: list[Goal], bounds: DataFrame, events: DataFrame, unit: str = "day") -> DataFrame:
+    """Rows of all widgets: widget_id, status, site_id, label, visitors, volume. A time series' label is its bucket, a
+    funnel's its step, with those it lost as volume.
 
     Widgets with equal filters share a scan: their panels come from one pass, their totals from another.
-    Each panel is cut to its widget's limit after suppression. A widget that can't be drawn has status invalid.
+    Each panel is cut to its widget's limit after suppression. A widget that can't be drawn has
+    status invalid, a funnel that is gone missing_funnel.
     """
     parts: list[DataFrame] = []
     groups: dict[tuple, list[Widget]] = {}
@@ -111,11 +117,21 @@ def saved_dashboard(scope: DataFrame, widgets: list[Widget], goals: list[Goal])
             for w in measured:
                 own = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= w.row_limit)
                 parts.append(own.select(F.lit(w.widget_id).alias("widget_id"), F.lit("ok").alias("status"), "site_id", F.col("goal_id").cast("string").alias("label"), "visitors", F.col("conversions").alias("volume")))
+        series = [w for w in members if w.kind == "timeseries"]
+        if series:
+            found = reports.timeseries(scope, bounds, unit, filters)
+            ids = F.explode(F.array(*[F.lit(w.widget_id) for w in series])).alias("widget_id")
+            parts.append(found.select(ids, F.lit("ok").alias("status"), "site_id", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("label"), "visitors", "volume"))
+        funnels = [w for w in members if w.kind == "funnel" and w.funnel and w.funnel.valid]
+        for w in funnels:
+            found = sequences.funnel_report(sequences.funnel_counts(events, scope, w.funnel, filters))
+            parts.append(found.select(F.lit(w.widget_id).alias("widget_id"), F.lit("ok").alias("status"), "site_id", F.col("step").cast("string").alias("label"), "visitors", F.col("dropped").alias("volume")))
         for w in members:
-            if w not in shown + stats + measured:
+            if w not in shown + stats + measured + series + funnels:
+                status = "missing_funnel" if w.kind == "funnel" and w.funnel is None else "invalid"
                 none = scope.select("site_id").distinct()
                 nothing = F.lit(None).cast("long")
-                parts.append(none.select(F.lit(w.widget_id).alias("widget_id"), F.lit("invalid").alias("status"), "site_id", F.lit(None).cast("string").alias("label"), nothing.alias("visitors"), nothing.alias("volume")))
+                parts.append(none.select(F.lit(w.widget_id).alias("widget_id"), F.lit(status).alias("status"), "site_id", F.lit(None).cast("string").alias("label"), nothing.alias("visitors"), nothing.alias("volume")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,12 +13,31 @@ MAX_URL, MAX_NAME, MAX_WIDTH, MAX_PROPS, MAX_KEY, MAX_VALUE, MAX_REVENUE, TOKEN
 MAX_TEXT_BYTES = 4_096
 
 
+def query_beacon(query: str) -> Column:
+    """A beacon of a query string's parameters (the last of repeated ones; properties as p[key]=value)."""
+    pairs = f"""transform(filter(split(coalesce({query}, ''), '&'), x -> x <> ''), x -> struct(
+        coalesce(try_url_decode(substring_index(x, '=', 1)), '') AS k, coalesce(try_url_decode(substring(x, length(substring_index(x, '=', 1)) + 2)), '') AS v))"""
+    cells = [f"try_element_at(filter({pairs}, x -> x.k = '{f.name}'), -1).v AS {f.name}" for f in BEACON if f.name != "p"]
+    own = f"filter({pairs}, x -> x.k RLIKE '^p\\\\[[^]]+\\\\]$')"
+    last = f"filter({own}, (x, i) -> NOT exists(slice({own}, i + 2, size({own})), y -> y.k = x.k))"
+    props = f"map_from_entries(transform({last}, x -> struct(substring(x.k, 3, length(x.k) - 3) AS key, x.v AS value)))"
+    cells.insert(BEACON.names.index("p"), f"CASE WHEN size({own}) > 0 THEN {props} END AS p")
+    return F.expr(f"struct({', '.join(cells)})")
+
+
 def parsed(raw: DataFrame, body: str = "body", query: str | None = None) -> DataFrame:
-    """Beacons of a JSON body, else of the query string's JSON; whole numbers are cast leniently (bad: null)."""
-    text = F.coalesce(F.nullif(F.trim(body), F.lit("")), F.col(query)) if query else F.col(body)
-    read = raw.withColumn("_b", F.from_json(text, BEACON))
-    out = read.select(*raw.columns, "_b.*").withColumn("w", F.expr("try_cast(w AS int)")).withColumn("v", F.expr("try_cast(v AS bigint)"))
-    return out
+    """Beacons of a JSON body, else of the query string's parameters; whole numbers are cast leniently (bad: null).
+
+    nested_props tells that a property is an object or a list."""
+    usable = F.expr(f"coalesce(size(json_object_keys({body})) > 0, false)")
+    beacon = F.from_json(body, BEACON)
+    if query:
+        beacon = F.when(usable, beacon).otherwise(query_beacon(query))
+    kinds = F.from_json(body, "p map<string, variant>")["p"]
+    nested = F.exists(F.map_values(kinds), lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
+    read = raw.withColumn("_b", beacon).withColumn("nested_props", F.coalesce(usable & nested, F.lit(False)))
+    out = read.select(*raw.columns, "_b.*", "nested_props")
+    return out.withColumn("w", F.expr("try_cast(w AS int)")).withColumn("v", F.expr("try_cast(v AS bigint)"))
 
 
 def privacy_drop() -> Column:
@@ -39,7 +58,7 @@ def contract_errors() -> Column:
         F.when(F.length("n") > MAX_NAME, "n"),
         F.when(F.length("r") > MAX_URL, "r"),
         F.when((F.col("w") < 0) | (F.col("w") > MAX_WIDTH), "w"),
-        F.when((props > MAX_PROPS) | F.coalesce(F.exists(F.map_keys("p"), lambda k: F.length(k) > MAX_KEY), F.lit(False))
+        F.when(F.col("nested_props") | (props > MAX_PROPS) | F.coalesce(F.exists(F.map_keys("p"), lambda k: F.length(k) > MAX_KEY), F.lit(False))
                | F.coalesce(F.exists(F.map_values("p"), lambda v: F.length(v) > MAX_VALUE), F.lit(False)), "p"),
         F.when(F.col("c").isNotNull() & ~F.col("c").rlike("^[A-Za-z]{3}$"), "c"),
         F.when((F.col("v") < 0) | (F.col("v") > MAX_REVENUE), "v"),

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietcount.functions.matchers import Matcher
-from quietcount.operators import goals, metering, rollups, sequences
-from quietcount.plans.traffic import _HOURLY, NOW, PAGES, PCT, bounds, panels_sql, scope, scope_sql, stamp
+from quietcount.operators import goals, metering, reports, rollups, sequences
+from quietcount.plans.traffic import _HOURLY, NOW, PAGES, PCT, bounds, panels_sql, scope, scope_sql, series_sql, stamp
 from quietcount.sources import adapter
 from quietcount.sources.adapter import CTES
 
@@ -167,7 +167,9 @@ def goal_report_event_filter(spark, sf_dir):
 
 @query("dashboard_default")
 def dashboard_default(spark, sf_dir):
-    parts = goals.dashboard(scope(spark, sf_dir, "7d", True), bounds(spark, "7d"), GOALS, {"page": "/p/3"})
+    parts = goals.dashboard(
+        scope(spark, sf_dir, "7d", True), bounds(spark, "7d"), GOALS, {"page": "/p/3"}, "day", reports.realtime(adapter.events(spark, sf_dir), NOW, 3_600)
+    )
     rows = [df.select(F.lit(k).alias("part"), F.to_json(F.struct(*df.columns)).alias("row")) for k, df in sorted(parts.items())]
     return reduce(DataFrame.unionByName, rows)
 
@@ -175,21 +177,25 @@ def dashboard_default(spark, sf_dir):
 WIDGETS = [
     goals.Widget(1, "stat"), goals.Widget(2, "breakdown", "page"), goals.Widget(3, "breakdown", "country", {}, 3), goals.Widget(4, "goals", row_limit=2),
     goals.Widget(5, "stat", filters={"country": "DE"}), goals.Widget(6, "breakdown", "nothing"),
+    goals.Widget(7, "timeseries"), goals.Widget(8, "funnel", funnel=FUNNEL), goals.Widget(9, "funnel"), goals.Widget(10, "funnel", funnel=SHORT),
 ]
 
 
 @query(
     "dashboard_saved",
-    f"""WITH {scope_sql('7d')}, {goals_sql([1, 2, 3, 4], 'true')}, p AS (SELECT * FROM ({panels_sql(['page', 'country'], 'true', PAGES, 5, '7d')})), n AS (SELECT NULL::BIGINT AS x)
+    f"""WITH {scope_sql('7d')}, {chain_sql(_MASKS, 7200)}, {goals_sql([1, 2, 3, 4], 'true')}, p AS (SELECT * FROM ({panels_sql(['page', 'country'], 'true', PAGES, 5, '7d')})), n AS (SELECT NULL::BIGINT AS x)
     SELECT 2 AS widget_id, 'ok' AS status, site_id, value AS label, visitors, volume FROM p WHERE dimension = 'page' UNION ALL
     SELECT 3, 'ok', site_id, value, visitors, volume FROM p WHERE dimension = 'country' AND rank <= 3 UNION ALL
     SELECT 1, 'ok', site_id, NULL, count(DISTINCT visitor_hash), {PAGES} FROM cur GROUP BY site_id UNION ALL
     SELECT 5, 'ok', site_id, NULL, count(DISTINCT visitor_hash), {PAGES} FROM cur WHERE country_code = 'DE' GROUP BY site_id UNION ALL
     SELECT 4, 'ok', site_id, goal_id::VARCHAR, visitors, conversions FROM (SELECT * FROM gg QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY visitors DESC, goal_id) <= 2) UNION ALL
-    SELECT DISTINCT 6, 'invalid', site_id, NULL, NULL::BIGINT, NULL::BIGINT FROM cur""",
+    SELECT 7, 'ok', site_id, bucket, visitors, volume FROM ({series_sql('7d', 'day', 'true', PAGES)}) UNION ALL
+    SELECT 8, 'ok', site_id, step::VARCHAR, visitors, dropped FROM ({_REPORT}) UNION ALL
+    SELECT DISTINCT 9, 'missing_funnel', site_id, NULL, NULL::BIGINT, NULL::BIGINT FROM cur UNION ALL
+    SELECT DISTINCT i, 'invalid', site_id, NULL, NULL::BIGINT, NULL::BIGINT FROM cur, (VALUES (6), (10)) t(i)""",
 )
 def dashboard_saved(spark, sf_dir):
-    return goals.saved_dashboard(scope(spark, sf_dir, "7d"), WIDGETS, GOALS)
+    return goals.saved_dashboard(scope(spark, sf_dir, "7d"), WIDGETS, GOALS, bounds(spark, "7d"), adapter.events(spark, sf_dir))
 
 
 _USED = f"h AS ({_HOURLY}), u AS (SELECT account_id, strftime(bucket, '%Y-%m') AS month, sum(pageviews + custom_events)::BIGINT AS used FROM h JOIN sites USING (site_id) GROUP BY 1, 2)"

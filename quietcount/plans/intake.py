@@ -101,7 +101,12 @@ def hostname_policy(spark, sf_dir):
     return rows.select("page_id", *[c.alias(k) for k, c in hosts.hostname_policy().items()])
 
 
-@query("cleansed_texts")
+@query(
+    "cleansed_texts",
+    """WITH d AS (SELECT doc_id, replace(text, chr(65533), '') AS t FROM documents),
+    c AS (SELECT doc_id, CASE WHEN strlen(t) <= 4096 THEN t ELSE left(t, list_max(list_filter(range(1024, 4097), lambda n: strlen(left(t, n)) <= 4096))::BIGINT) END AS c FROM d)
+    SELECT doc_id, strlen(c)::BIGINT AS n_bytes, sha256(c) AS sha256 FROM c""",
+)
 def cleansed_texts(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.octet_length(ingest.cleansed(F.col("text"))).cast("long").alias("n_bytes"), F.sha2(ingest.cleansed(F.col("text")), 256).alias("sha256"))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir (in a temporary folder only where that is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quietcount-")
+    """A new folder in spark.checkpoint.dir (in a temporary folder only where that is unset in local mode, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-quietcount-")
     return f"{base.rstrip('/')}/quietcount-{uuid.uuid4().hex}"
 
 

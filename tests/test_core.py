@@ -170,10 +170,28 @@ def test_contract_and_privacy(spark):
     rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in ({"ok": base, "lenient": base | {"w": "wide"}} | bad).items()], "name string, body string")
     got = {r["name"]: r.e for r in ingest.parsed(rows).withColumn("e", ingest.contract_errors()).collect()}
     assert got.pop("ok") == [] and got.pop("lenient") == [] and all(k in e for k, e in got.items())
+    props = {"nested": {"k": {"n": 1}}, "list": {"k": [1, 2]}, "plain": {"k": "v", "n": 1.5, "b": True, "z": None}}
+    rows = spark.createDataFrame([(k, json.dumps(base | {"p": v})) for k, v in props.items()], "name string, body string")
+    got = {r["name"]: r.e for r in ingest.parsed(rows).withColumn("e", ingest.contract_errors()).collect()}
+    assert got == {"nested": ["p"], "list": ["p"], "plain": []}
     flags = spark.createDataFrame([("1", None, None), (None, "1", None), (None, None, "prefetch"), (None, "0", None)], "sec_gpc string, dnt string, sec_purpose string")
     assert [r[0] for r in flags.select(ingest.privacy_drop()).collect()] == [True, True, True, False]
 
 
+def test_beacon_of_a_query_string(spark):
+    q = "s=tok&u=https%3A%2F%2Fa.org%2Fx%3Fy%3D1&w=10&n=Sign+up&p[plan]=pro&p%5Bplan%5D=max&p[x]=&u=https%3A%2F%2Fb.org%2F"
+    rows = spark.createDataFrame([(None, q), ("{}", q), ("not json", q), ('{"s": "body"}', q), (None, None)], "body string, qs string")
+    got = ingest.parsed(rows, query="qs").collect()
+    for r in got[:3]:
+        assert (r.s, r.u, r.n, r.w, r.v, r.p) == ("tok", "https://b.org/", "Sign up", 10, None, {"plan": "max", "x": ""})
+    assert (got[3].s, got[3].u) == ("body", None) and (got[4].s, got[4].p) == (None, None)
+
+
+@pytest.mark.parametrize("path,want", [("/a//", "/a"), ("/a/", "/a"), ("//", "/"), ("/", "/"), ("", "/"), ("/a//b/", "/a//b")])
+def test_trailing_slashes(spark, path, want):
+    assert spark.createDataFrame([(path,)], "path string").select(paths.scrub_path().alias("p")).first().p == want
+
+
 def test_cleansed_text(spark):
     rows = spark.createDataFrame([("a\u0000b",), ("é" * 3_000,), ("x",), (None,)], "t string").select(ingest.cleansed(F.col("t")).alias("t"))
     assert [r.t for r in rows.collect()] == ["ab", "é" * 2_048, "x", None]
