@@ -73,11 +73,11 @@ def ip_number(ip: str = "ip") -> Column:
 def with_country(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     """rows with country_code from disjoint ranges (first_ip, last_ip, country, registered_country).
 
-    Ranges are cut at /8 blocks, so the join has an equal key beside the range test.
+    Ranges are cut at /16 blocks, so the join has an equal key beside the range test, and an event meets the few ranges of its block.
     """
-    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first_ip", 24), F.shiftright("last_ip", 24))))
+    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first_ip", 16), F.shiftright("last_ip", 16))))
     blocks = blocks.select("block", "first_ip", "last_ip", F.upper(F.coalesce("country", "registered_country")).alias("country_code"))
-    numbered = rows.withColumn("_n", ip_number(ip)).withColumn("_b", F.shiftright("_n", 24))
+    numbered = rows.withColumn("_n", ip_number(ip)).withColumn("_b", F.shiftright("_n", 16))
     hit = (F.col("_b") == F.col("block")) & (F.col("_n") >= F.col("first_ip")) & (F.col("_n") <= F.col("last_ip"))
     return numbered.join(blocks, hit, "left").drop("_n", "_b", "block", "first_ip", "last_ip")
 
@@ -109,6 +109,5 @@ def agent_profile(ua: str = "user_agent") -> dict[str, Column]:
 
 
 def with_agent(rows: DataFrame, ua: str = "user_agent") -> DataFrame:
-    """rows with their agent's profile, worked out once per distinct user agent."""
-    table = rows.select(F.coalesce(ua, F.lit("")).alias("_ua")).distinct().withColumns(agent_profile("_ua"))
-    return rows.join(table, F.coalesce(rows[ua], F.lit("")) == F.col("_ua")).drop("_ua")
+    """rows with their agent's profile, worked out in place: no shuffle on a user agent that many share."""
+    return rows.withColumns(agent_profile(ua))

@@ -91,7 +91,7 @@ def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges
     Order: privacy gates, contract, site, bots, hostname policy; then identity, sessions, paths, referrers. Rejects
     carry site_id, occurred_at, reason and offending_host.
     """
-    dims = F.broadcast(sites.select("site_id", "public_token", "domain", "timezone", "extra_hostnames", "enforce_hostname"))
+    dims = sites.select("site_id", "public_token", "domain", "timezone", "extra_hostnames", "enforce_hostname")
     rows = beacons.withColumn("occurred_at", F.col("received_at")).withColumn("url_host", hosts.url_part("u", "HOST"))
     rows = rows.join(dims, rows["s"] == F.col("public_token"), "left").withColumn("errors", contract_errors())
     rows = identity.with_agent(rows)
@@ -105,7 +105,7 @@ def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges
     good = judged.where("reason IS NULL").withColumn("local_date", F.expr("to_date(from_utc_timestamp(occurred_at, timezone))"))
     good = identity.with_normal_address(identity.with_country(good, ranges))
     good = sessionised(good, ["site_id", "ip", "user_agent"])
-    good = good.join(F.broadcast(salt_table), ["site_id", "local_date"]).withColumn("visitor_hash", identity.visitor_hash())
+    good = good.join(salt_table, ["site_id", "local_date"]).withColumn("visitor_hash", identity.visitor_hash())
     # the session's id is the visitor's hash of its first event with its number, so the raw key goes no further
     s = Window.partitionBy("site_id", "ip", "user_agent", "session_number").orderBy("occurred_at", "event_id")
     good = good.withColumn("session_hash", F.md5(F.concat_ws(":", F.first("visitor_hash").over(s), "session_number").cast("binary")))

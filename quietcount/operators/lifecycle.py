@@ -19,7 +19,7 @@ def cutoffs(sites: DataFrame, accounts: DataFrame, now: datetime) -> DataFrame:
 
 def enforced(events: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events that stay, count per account and day of those that go)."""
-    marked = events.join(F.broadcast(limits), "site_id", "left").withColumn("_gone", F.coalesce(F.col("occurred_at") < F.col("cutoff"), F.lit(False)))
+    marked = events.join(limits, "site_id", "left").withColumn("_gone", F.coalesce(F.col("occurred_at") < F.col("cutoff"), F.lit(False)))
     gone = marked.where("_gone").groupBy("account_id", F.to_date("occurred_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return marked.where("NOT _gone").drop("_gone", "cutoff", "account_id"), gone
 

@@ -13,13 +13,13 @@ WARNING = 0.8
 
 def usage(hours: DataFrame, sites: DataFrame) -> DataFrame:
     """Events per account and UTC month, from the hourly rollup."""
-    joined = hours.join(F.broadcast(sites.select("site_id", "account_id")), "site_id")
+    joined = hours.join(sites.select("site_id", "account_id"), "site_id")
     return joined.groupBy("account_id", F.date_format("bucket", "yyyy-MM").alias("month")).agg(F.sum(F.col("pageviews") + F.col("custom_events")).alias("used"))
 
 
 def snapshot(used: DataFrame, accounts: DataFrame, today: datetime) -> DataFrame:
     """Usage against each account's limit; a null limit is unlimited."""
-    rows = used.join(F.broadcast(accounts.select("account_id", "monthly_event_limit")), "account_id")
+    rows = used.join(accounts.select("account_id", "monthly_event_limit"), "account_id")
     limit, n = F.col("monthly_event_limit"), F.col("used")
     fraction = F.when(limit > 0, n / limit)
     day = F.lit(today.date())
@@ -44,7 +44,7 @@ def notices(snapshots: DataFrame, sent: DataFrame) -> DataFrame:
 def over_quota(events: DataFrame, sites: DataFrame, accounts: DataFrame) -> DataFrame:
     """event_id, account_id, seq (its number in the account's UTC month), refused."""
     dims = sites.select("site_id", "account_id").join(accounts.select("account_id", "monthly_event_limit"), "account_id")
-    rows = events.join(F.broadcast(dims), "site_id").withColumn("month", F.date_trunc("month", "occurred_at"))
+    rows = events.join(dims, "site_id").withColumn("month", F.date_trunc("month", "occurred_at"))
     # hours are numbered over their totals, events within their hour: no window holds an account's month
     rows = rows.withColumn("hour", F.date_trunc("hour", "occurred_at"))
     before = Window.partitionBy("account_id", "month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)

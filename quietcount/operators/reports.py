@@ -27,7 +27,7 @@ def scoped(events: DataFrame, bounds: DataFrame, previous: bool = False, pruned:
             events = events.where((F.col("event_date") >= F.lit(pruned[0].date())) & (F.col("event_date") <= F.lit(pruned[1].date())))
     lower = F.col("prev_from_ts" if previous else "from_ts")
     shared = [c for c in bounds.columns if c not in events.columns or c == "site_id"]
-    joined = events.join(F.broadcast(bounds.select(*shared)), "site_id")
+    joined = events.join(bounds.select(*shared), "site_id")
     out = joined.where((F.col("occurred_at") >= lower) & (F.col("occurred_at") < F.col("to_ts")))
     return out.withColumn("window", F.when(F.col("occurred_at") >= F.col("from_ts"), "cur").otherwise("prev")) if previous else out
 
@@ -130,7 +130,7 @@ def summary(scope: DataFrame, bounds: DataFrame, filters: dict | None = None) ->
     totals = scope.where(predicate(filters)).groupBy(*keys).agg(volume(filters).alias("volume"), F.countDistinct("visitor_hash").alias("visitors"))
     metrics = session_metrics(sessions(qualified(scope, filters), keys), keys)
     frame = bounds.select("site_id").crossJoin(bounds.sparkSession.sql("SELECT explode(array('cur', 'prev')) AS window"))
-    both = F.broadcast(frame).join(totals, keys, "left").join(metrics, keys, "left").na.fill(0)
+    both = frame.join(totals, keys, "left").join(metrics, keys, "left").na.fill(0)
     per_visit = F.when(F.col("sessions") > 0, F.floor((F.col("volume") * 200 + F.col("sessions")) / (F.col("sessions") * 2)) / 100.0).otherwise(F.lit(0.0))
     return both.withColumn("views_per_visit", per_visit)
 
@@ -165,7 +165,7 @@ def timeseries(scope: DataFrame, bounds: DataFrame, unit: str, filters: dict | N
     first = f"date_trunc('{unit}', from_utc_timestamp(from_ts, timezone))"
     last = "from_utc_timestamp(to_ts, timezone) - INTERVAL 1 SECOND"
     grid = bounds.select("site_id", F.explode(F.expr(f"sequence({first}, {last}, {step})")).alias("bucket"))
-    return F.broadcast(grid).join(counted, ["site_id", "bucket"], "left").na.fill(0, ["visitors", "volume"])
+    return grid.join(counted, ["site_id", "bucket"], "left").na.fill(0, ["visitors", "volume"])
 
 
 def realtime(events: DataFrame, now: datetime, seconds: int = 300) -> DataFrame:

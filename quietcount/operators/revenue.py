@@ -79,7 +79,7 @@ def cash_events(invoices: DataFrame) -> DataFrame:
 
 def normalised(revenue: DataFrame, sites: DataFrame) -> DataFrame:
     """revenue with normalized_cents: the amount where its currency is the site's base currency, else null."""
-    rows = revenue.join(F.broadcast(sites.select("site_id", "base_currency")), "site_id")
+    rows = revenue.join(sites.select("site_id", "base_currency"), "site_id")
     return rows.withColumn("normalized_cents", F.when(F.col("currency") == F.col("base_currency"), F.col("amount_cents"))).drop("base_currency")
 
 
@@ -165,7 +165,7 @@ def attribution_rollup(events: DataFrame, customers: DataFrame, subscriptions: D
     The whole range is one job. A row appears where there was traffic, a sign-up, a trial, a conversion or money.
     compat counts sign-ups and conversions once per subscription of the customer, as the original does.
     """
-    zones = F.broadcast(sites.select("site_id", "timezone"))
+    zones = sites.select("site_id", "timezone")
     keys = ["site_id", "date", *CHANNEL]
     traffic = events.join(zones, "site_id").select("site_id", local_day("occurred_at").alias("date"), *event_channel(), "visitor_hash")
     traffic = traffic.groupBy(*keys).agg(F.countDistinct("visitor_hash").alias("visitors"))

@@ -41,7 +41,7 @@ def session_days(events: DataFrame) -> DataFrame:
 
 
 def within(rollup: DataFrame, bounds: DataFrame) -> DataFrame:
-    joined = rollup.join(F.broadcast(bounds.select("site_id", "from_ts", "to_ts")), "site_id")
+    joined = rollup.join(bounds.select("site_id", "from_ts", "to_ts"), "site_id")
     return joined.where("bucket >= from_ts AND bucket < to_ts").drop("from_ts", "to_ts")
 
 
@@ -72,7 +72,7 @@ def daily_series(hours: DataFrame, visitors: DataFrame, bounds: DataFrame, unit:
 def site_totals(hours: DataFrame, sites: DataFrame) -> DataFrame:
     """Lifetime pageviews, custom events and visits of the listed sites, and their sum (site_id null)."""
     listed = sites.select("site_id").distinct()
-    sums = hours.join(F.broadcast(listed), "site_id", "left_semi").groupBy("site_id").agg(
+    sums = hours.join(listed, "site_id", "left_semi").groupBy("site_id").agg(
         F.sum("pageviews").alias("pageviews"), F.sum("custom_events").alias("custom_events"), F.sum("entries").alias("visits")
     )
     filled = listed.join(sums, "site_id", "left").na.fill(0)
@@ -88,7 +88,7 @@ def aligned(bounds: DataFrame, unit: str) -> bool:
 def visitors_rollup_first(events: DataFrame, visitors: DataFrame, bounds: DataFrame) -> DataFrame:
     """Exact distinct visitors of any period: whole UTC days from the rollup, only the edges from raw events."""
     edges = bounds.withColumn("lo", F.date_trunc("day", F.col("from_ts") + F.expr("INTERVAL 1 DAY - INTERVAL 1 MICROSECOND"))).withColumn("hi", F.date_trunc("day", "to_ts"))
-    few = F.broadcast(edges.select("site_id", "from_ts", "to_ts", "lo", "hi"))
+    few = edges.select("site_id", "from_ts", "to_ts", "lo", "hi")
     inner = visitors.join(few, "site_id").where("bucket >= lo AND bucket < hi").select("site_id", "visitor_hash")
     outer = events.join(few, "site_id").where("occurred_at >= from_ts AND occurred_at < to_ts AND (occurred_at < lo OR occurred_at >= hi OR lo > hi)")
     both = inner.unionByName(outer.select("site_id", "visitor_hash").distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,9 @@ class Funnel:
         return self.window_seconds > DAY
 
 
-def funnel_counts(events: DataFrame, scope: DataFrame, funnel: Funnel, filters: dict | None = None, window_from: str = "previous") -> DataFrame:
-    """site_id, step, visitors. Step 0 is a visitor's first match in the filtered period; step i the earliest match
+def funnel_counts(events: DataFrame, scope: DataFrame, funnel: Funnel, filters: dict | None = None, window_from: str = "previous", period: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """site_id, step, visitors. period: times that hold the scope; with it only events up to the last step's window after it are read.
+    Step 0 is a visitor's first match in the filtered period; step i the earliest match
     at or after step i-1's time and at most the window later, of any event of the visitor.
 
     One pass over each visitor's matching events in time order: those of one instant are merged
@@ -47,6 +49,9 @@ def funnel_counts(events: DataFrame, scope: DataFrame, funnel: Funnel, filters:
     masks = [any_of(list(s)) for s in funnel.steps]
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(m, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)])
     entered = scope.where(predicate(filters) & masks[0]).groupBy("site_id", "visitor_hash").agg(F.min("occurred_at").alias("t0"))
+    if period:
+        last = period[1] + timedelta(seconds=(len(funnel.steps) - 1) * funnel.window_seconds)
+        events = events.where((F.col("occurred_at") >= F.lit(period[0])) & (F.col("occurred_at") <= F.lit(last)))
     hits = events.withColumn("bits", bits).where("bits > 0").select("site_id", "visitor_hash", "occurred_at", "bits")
     hits = hits.join(entered, ["site_id", "visitor_hash"]).where("occurred_at >= t0")
     instants = hits.groupBy("site_id", "visitor_hash", "t0", "occurred_at").agg(F.bit_or("bits").alias("bits"))
@@ -93,14 +98,14 @@ def funnel_report(counts: DataFrame) -> DataFrame:
     )
 
 
-def funnel_summaries(events: DataFrame, scope: DataFrame, sites: DataFrame, funnels: list[Funnel]) -> DataFrame:
+def funnel_summaries(events: DataFrame, scope: DataFrame, sites: DataFrame, funnels: list[Funnel], period: tuple[datetime, datetime] | None = None) -> DataFrame:
     """Every funnel of every site with its entry, completions and rate; null where it can't be reported."""
     parts = []
     for f in funnels:
         listed = sites.where(F.col("site_id") == f.site_id) if f.site_id is not None else sites
         row = listed.select("site_id", F.lit(f.funnel_id).alias("funnel_id"), F.lit(f.valid).alias("valid"), F.lit(f.exceeds_identity).alias("exceeds_identity"))
         if f.valid:
-            c = funnel_counts(events, scope, f).groupBy("site_id").agg(
+            c = funnel_counts(events, scope, f, period=period).groupBy("site_id").agg(
                 F.max(F.when(F.col("step") == 0, F.col("visitors"))).alias("entered"),
                 F.max(F.when(F.col("step") == len(f.steps) - 1, F.col("visitors"))).alias("completed"),
             )
@@ -154,7 +159,7 @@ def flow(step_rows: DataFrame, prefix: list[tuple[str, str]], direction: str = "
         F.countDistinct("visitor_hash").alias("visitors"), F.count(F.lit(1)).alias("sessions")
     )
     total = matched.groupBy("site_id").agg(F.countDistinct("visitor_hash").alias("total"))
-    branches = branches.join(F.broadcast(total), "site_id")
+    branches = branches.join(total, "site_id")
     ties = [F.col("sessions").desc(), F.col("value").asc_nulls_last(), F.col("kind").asc_nulls_last()]
     kept = suppress(branches, ["site_id"], ties).where("NOT withheld")
     order = Window.partitionBy("site_id").orderBy(F.col("visitors").desc(), *ties)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietcount.functions.matchers import Matcher
+from quietcount.functions.period import widest
 from quietcount.operators import goals, metering, reports, rollups, sequences
 from quietcount.plans.traffic import _HOURLY, NOW, PAGES, PCT, bounds, panels_sql, scope, scope_sql, series_sql, stamp
 from quietcount.sources import adapter
@@ -55,12 +56,12 @@ _REPORT = f"""SELECT site_id, step, visitors, {PCT.format(v='visitors', w='e')}
 
 @query("funnel_ordered", f"WITH {scope_sql()}, {chain_sql(_MASKS, 7200)} {_REPORT}")
 def funnel_ordered(spark, sf_dir):
-    return sequences.funnel_report(sequences.funnel_counts(adapter.events(spark, sf_dir), scope(spark, sf_dir), FUNNEL))
+    return sequences.funnel_report(sequences.funnel_counts(adapter.events(spark, sf_dir), scope(spark, sf_dir), FUNNEL, period=widest("30d", NOW)))
 
 
 @query("funnel_filtered", f"WITH {scope_sql('7d')}, {chain_sql(_MASKS, 7200, chr(39).join(['browser = ', 'Firefox', '']))} {_REPORT}")
 def funnel_filtered(spark, sf_dir):
-    return sequences.funnel_report(sequences.funnel_counts(adapter.events(spark, sf_dir), scope(spark, sf_dir, "7d"), FUNNEL, {"browser": "Firefox"}))
+    return sequences.funnel_report(sequences.funnel_counts(adapter.events(spark, sf_dir), scope(spark, sf_dir, "7d"), FUNNEL, {"browser": "Firefox"}, period=widest("7d", NOW)))
 
 
 @query("funnel_by_joins", f"WITH {scope_sql()}, {chain_sql(_MASKS, 7200)} SELECT * FROM counts")
@@ -80,7 +81,7 @@ def _summary_sql(fid: int, masks: list[str], window: int, long: bool) -> str:
     SELECT * FROM {_summary_sql(3, ["event_name = 'pageview' AND path = '/p/2'", "event_name <> 'pageview' AND starts_with(event_name, 'Pur')"], 200000, True)}""",
 )
 def funnel_summaries(spark, sf_dir):
-    return sequences.funnel_summaries(adapter.events(spark, sf_dir), scope(spark, sf_dir), adapter.sites(spark), [FUNNEL, SHORT, LONG])
+    return sequences.funnel_summaries(adapter.events(spark, sf_dir), scope(spark, sf_dir), adapter.sites(spark), [FUNNEL, SHORT, LONG], widest("30d", NOW))
 
 
 def steps_sql(events: bool, rows: str = "cur") -> str:

@@ -32,7 +32,7 @@ def beacons(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Dat
 
 class Sessions(StatefulProcessor):
     """Numbers the sessions of a key; a gap of TIMEOUT_SECONDS or more starts one. The state is the key's
-    last time and number, and leaves the store when it can't continue a session any more."""
+    last time and number: two numbers a key that stay in the store, as a late start must find them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "last_micros long, number long")
@@ -121,8 +121,8 @@ def quota(events: DataFrame, limits: DataFrame, counters: str, out: str, checkpo
                 raise
             earlier = spark.createDataFrame([], "account_id long, month string, base long")
         within = Window.partitionBy("account_id", "hour").orderBy("occurred_at", "event_id")
-        numbered = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"]).join(F.broadcast(earlier), ["account_id", "month"], "left")
-        numbered = numbered.join(F.broadcast(limits.select("account_id", "monthly_event_limit")), "account_id")
+        numbered = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"]).join(earlier, ["account_id", "month"], "left")
+        numbered = numbered.join(limits.select("account_id", "monthly_event_limit"), "account_id")
         seq = F.coalesce("base", F.lit(0)) + F.col("ahead") + F.col("nth")
         judged = numbered.select("event_id", "account_id", seq.alias("seq"), F.coalesce(seq > F.col("monthly_event_limit"), F.lit(False)).alias("refused"), F.lit(batch_id).alias("batch_id"))
         tables.replace_days(judged, out, ["batch_id"])
@@ -139,7 +139,7 @@ def first_events(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         found = batch.groupBy("site_id").agg(F.min("occurred_at").alias("first_event_at")).withColumn("batch_id", F.lit(batch_id))
         try:
             known = spark.read.parquet(out).where(F.col("batch_id") < batch_id)
-            found = found.join(F.broadcast(known.select("site_id")), "site_id", "left_anti")
+            found = found.join(known.select("site_id"), "site_id", "left_anti")
         except Exception as e:  # nothing is known before the first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
