@@ -48,7 +48,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RULES = (
     Rule("mean_word_chars", "(word_chars / greatest(n_words, 1L))", 2.0, 12.0),
     Rule("symbols_per_word", "(n_symbols / greatest(n_words, 1L))", None, 0.1),
-    Rule("distinct_stop_words", "n_stop_words", 2, None),
+    # every good labelled text of 50 words has a share of 0.07 and more
+    Rule("stop_word_share", "(n_stop_words / greatest(n_words, 1L))", 0.05, None),
     Rule("duplicate_line_share", "(n_dup_lines / greatest(n_lines, 1L))", None, 0.5),
 )
 
@@ -81,7 +82,7 @@ def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(ST
         "aggregate(at, struct(0L AS n, -3 AS last), "
         "(s, x) -> struct(s.n + least(3, x - s.last) AS n, x AS last), s -> s.n)"
     )
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words)])
+    listed = list(dict.fromkeys(stop_words))
     return placed.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
@@ -90,7 +91,7 @@ def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(ST
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_intersect("w", stops)).cast("long").alias("n_stop_words"),
+        F.size(F.filter("w", lambda x: x.isin(listed))).cast("long").alias("n_stop_words"),
     )
 
 
@@ -139,20 +140,20 @@ WITH a AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(lines)::BIGINT AS n_lines,
-         len(list_intersect(list_distinct(w), {_LIST}))::BIGINT AS n_stop_words
+         len(list_filter(w, lambda x: list_contains({_LIST}, x)))::BIGINT AS n_stop_words
   FROM a LEFT JOIN c USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          word_chars / greatest(n_words, 1) BETWEEN 2 AND 12 AS r1,
          n_symbols / greatest(n_words, 1) <= 0.1::DOUBLE AS r2,
-         n_stop_words >= 2 AS r3,
+         n_stop_words / greatest(n_words, 1) >= 0.05::DOUBLE AS r3,
          n_dup_lines / greatest(n_lines, 1) <= 0.5::DOUBLE AS r4
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
        NOT base_failed AND r1 AND r2 AND r3 AND r4 AS kept,
        concat_ws(',', CASE WHEN NOT r1 THEN 'mean_word_chars' END, CASE WHEN NOT r2 THEN 'symbols_per_word' END,
-                 CASE WHEN NOT r3 THEN 'distinct_stop_words' END,
+                 CASE WHEN NOT r3 THEN 'stop_word_share' END,
                  CASE WHEN NOT r4 THEN 'duplicate_line_share' END) AS failed_rules
 FROM b
 """
