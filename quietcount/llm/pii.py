@@ -1,31 +1,41 @@
 """PII: surrogate generation in native expressions.
 
 Entities (e-mail addresses, IPv4 addresses, phone and card numbers, persons after a form of address)
-are found in whole texts. Every distinct entity, told by kind and canonical form (lower-cased, or digits
-only), gets one surrogate for the whole corpus, so mentions stay coreferent; it comes from a keyed hash
-and keeps the type: digits stay digits, letters stay letters of their script, octets stay octets of
-their length, a person gets a name of the form of address's gender. Each mention is then written in its
-own format and case. A surrogate that two entities share, or that is itself an entity of the corpus,
+are found in whole texts. A person's name is taken part by part: the last name is a surname, earlier ones
+are given names with a gender (that of the form of address; after Dr and Prof that of the given name).
+Every distinct entity or part, told by kind and canonical form (lower-cased, or digits only), gets one
+surrogate for the whole corpus, so mentions stay coreferent, and "Mr Smith" with "Mr John Smith" too.
+The surrogate comes from a keyed hash and keeps the type: digits stay digits, letters stay letters of their
+script, octets octets of their length, names names of their gender and script; the country code of a phone
+number stays, a card number that fulfils the Luhn rule gets a surrogate that does. Each mention is written in
+its own format and case. A surrogate that two entities share, or that is itself an entity of the corpus,
 is drawn again with the next salt until none is left, so distinct entities stay distinct. Where many are
-drawn again the kind's space is crowded, and it grows with the salt: from NAME_SALT on a surname gets a
+drawn again the kind's space is crowded, and it grows with the salt: from NAME_SALT on a name gets a
 further part each time, from WIDE_SALT on an e-mail address gets letters in front and a phone number of
 less than 10 digits gets digits at its end, octets take three digits and then all values.
 
-Only texts with a hit are shuffled; the rest pass through the scan. Entities are counted map-side before
-they meet, and the join back to mentions is thin, so an entity in a third of the rows costs no more.
+Texts with a hit are cut into mentions and what lies between once and stored so; only they are shuffled. The
+rest pass through the scan. Entities are counted map-side before they meet, and the join back to mentions
+is thin, so an entity in a third of the rows costs no more.
 
 Defined results: null text stays null and empty stays empty, with no entities; rows that repeat doc_id
-and text get the same text; empty tables give empty results; further columns are kept by `pseudonymised`.
+and text get the same text; ties don't arise, as a surrogate that several entities drew stays with the
+smallest canonical form; very long texts are read whole, in time linear in their length; empty tables give
+empty results; further columns are kept by `pseudonymised`. Four numbers after "version", "release" or the
+like are no address.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietcount.llm.common import documents, written
 
-KEY = "quietcount-surrogates-1"
+#: Setting that holds the secret key; whoever knows it can test guesses of the originals.
+KEY_SETTING = "quietcount.pii.key"
 MAX_ROUNDS = 40
 #: Salts from which a crowded space grows; before, surrogates keep the entity's lengths.
 NAME_SALT, WIDE_SALT, ALL_OCTETS_SALT = 3, 4, 7
@@ -35,18 +45,58 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña
 OTHER_TITLES = ("Dr", "Prof")
 MALE_NAMES = ("Adam", "Bruno", "Carlo", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul")
 FEMALE_NAMES = ("Anna", "Bella", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula")
+MALE_ENDS = ("us", "bert", "win", "rich", "mund", "hard", "wald", "mar")
+FEMALE_ENDS = ("ina", "ella", "issa", "ara", "ona", "ika", "etta", "linde")
 SURNAME_STARTS = ("Ash", "Berg", "Cald", "Dorn", "Elm", "Feld", "Grün", "Hart", "Ing", "Jors", "Kest", "Lind", "Mont", "Nord", "Ost", "Peters")
 SURNAME_ENDS = ("ford", "mann", "ton", "well", "berg", "son", "stein", "ville", "wood", "hall", "feld", "ley", "mere", "by", "dale", "worth")
+CYRILLIC_MALE = ("адам", "борис", "виктор", "глеб", "денис", "егор", "захар", "игорь", "кирилл", "лев", "максим", "олег", "павел", "роман", "степан", "фёдор")
+CYRILLIC_FEMALE = ("алла", "белла", "вера", "галина", "дарья", "елена", "зоя", "инна", "ксения", "лариса", "майя", "нина", "ольга", "полина", "рита", "софия")
+CYRILLIC_MALE_ENDS = ("слав", "мир", "ян", "ент", "ий", "он", "ил", "ан")
+CYRILLIC_FEMALE_ENDS = ("слава", "мира", "яна", "ента", "ия", "она", "ила", "ана")
+CYRILLIC_STARTS = ("бел", "верх", "гор", "дуб", "ерм", "жур", "зай", "кал", "лев", "мор", "ник", "ост", "пет", "род", "сав", "том")
+CYRILLIC_SURNAME_ENDS = ("енко", "чук", "юк", "ских", "ейко", "ун", "ец", "ак")
+GREEK_MALE = ("αλέξης", "βασίλης", "γιώργος", "δημήτρης", "ηλίας", "θωμάς", "κώστας", "λουκάς", "μάρκος", "νίκος", "πέτρος", "σπύρος")
+GREEK_FEMALE = ("άννα", "βάσω", "γεωργία", "δήμητρα", "ειρήνη", "ζωή", "κατερίνα", "λίνα", "μαρία", "νίκη", "σοφία", "χριστίνα")
+GREEK_MALE_ENDS = ("ανός", "ίνος", "έτος", "άριος")
+GREEK_FEMALE_ENDS = ("ανή", "ίνα", "έτα", "άρια")
+GREEK_STARTS = ("αγγελ", "βλαχ", "γεωργ", "δημητρ", "ζαχαρ", "καραμ", "λαμπρ", "μακρ", "νικολ", "παπαδ", "σταμ", "χατζ")
+GREEK_SURNAME_ENDS = ("άκη", "ίδη", "έλη", "άτου", "ώτη", "ούδη")
+#: Given names whose ending misleads; otherwise -a, -e, -а, -я, -α and -η are read as female.
+FEMALE_OTHERWISE = ("ruth", "karin", "ingrid", "helen", "susan", "carol", "sarah", "elizabeth", "elisabeth", "margaret", "jennifer", "karen", "ellen", "doris", "iris", "любовь")
+MALE_OTHERWISE = ("luca", "joshua", "george", "mike", "steve", "dave", "pierre", "andre", "philippe", "jose", "joe", "uwe", "arne", "никита", "илья", "фома")
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODE = "^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Letters by script, as Java names it; digits of other scripts become ASCII digits.
+ALPHABETS = {
+    "Latin": "abcdefghijklmnopqrstuvwxyz",
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "Armenian": "".join(map(chr, range(0x561, 0x587))),
+    "Georgian": "".join(map(chr, range(0x10D0, 0x10F1))),
+    "Devanagari": "".join(map(chr, range(0x915, 0x929))),
+    "Thai": "".join(map(chr, range(0xE01, 0xE2F))),
+    "Hiragana": "".join(map(chr, range(0x3042, 0x3083, 2))),
+    "Katakana": "".join(map(chr, range(0x30A2, 0x30E3, 2))),
+    "Hangul": "".join(map(chr, range(0xAC00, 0xD7A4, 588))),
+    "Han": "".join(map(chr, range(0x4E00, 0x9F00, 256))),
+}
 #: Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+LOCAL = r"[\p{L}\p{N}._%+-]"
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})|-(?=\p{L}))+"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    # starts where a word does, or right after the last find: long words are read once
+    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\p{L}\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\d])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {NAME}(?: {NAME}){{0,3}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What stands before four numbers of a version.
+VERSION = r"(?<!\b(?i:version|release|build|ver|v)[ .:]{0,2})"
+ANY = "|".join(f"(?:{VERSION if k == 'ip' else ''}{p})" for k, p in PATTERNS.items())
 #: Cheap test that every text with an entity passes.
 MAYBE = rf"[@0-9]|{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)}"
 
@@ -55,11 +105,20 @@ def quoted(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def values() -> Column:
+    """Array of the mentions in `text`, in their order."""
+    return F.expr(f"CASE WHEN text RLIKE '{quoted(MAYBE)}' THEN regexp_extract_all(text, '{quoted(ANY)}', 0) ELSE array() END")
+
+
 def holds() -> Column:
     """Whether `text` holds an entity."""
     return F.coalesce(F.col("text").rlike(MAYBE) & F.col("text").rlike(ANY), F.lit(False))
 
 
+def listed(options: tuple[str, ...]) -> str:
+    return ", ".join(f"'{o}'" for o in options)
+
+
 def kind_of(value: Column) -> Column:
     out = F.when(value.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for kind in ("ip", "phone", "card"):
@@ -67,13 +126,20 @@ def kind_of(value: Column) -> Column:
     return out.otherwise("person")
 
 
-def canonical(kind: Column, value: Column) -> Column:
-    """What mentions of an entity have in common."""
-    return (
-        F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"\D", ""))
-        .when(kind == "person", F.regexp_replace(value, r"^(\p{L}+)\. ", "$1 "))
-        .otherwise(F.lower(value))
-    )
+def parts() -> Column:
+    """Array of struct(part, kind, canonical, mention, lead) of a mention (kind, value): the names of a person,
+    whose kinds are given_m, given_f and surname, or the mention itself; lead is the text before the part."""
+    canonical = """CASE WHEN kind = 'phone' THEN concat(CASE WHEN value LIKE '+%' THEN '+' ELSE '' END, regexp_replace(value, '[^0-9]', ''))
+        WHEN kind = 'card' THEN regexp_replace(value, '[^0-9]', '') ELSE lower(value) END"""
+    female = f"""CASE WHEN regexp_replace(words[0], '[.]', '') IN ({listed(FEMALE_TITLES)}) THEN true
+        WHEN regexp_replace(words[0], '[.]', '') IN ({listed(MALE_TITLES)}) THEN false
+        WHEN lower(w) IN ({listed(FEMALE_OTHERWISE)}) THEN true WHEN lower(w) IN ({listed(MALE_OTHERWISE)}) THEN false
+        ELSE lower(w) RLIKE '[aeаяαη]$' END"""
+    names = f"""transform(slice(words, 2, size(words)), (w, i) -> named_struct('part', i,
+        'kind', CASE WHEN i = size(words) - 2 THEN 'surname' WHEN {female} THEN 'given_f' ELSE 'given_m' END,
+        'canonical', lower(w), 'mention', w, 'lead', CASE WHEN i = 0 THEN concat(words[0], ' ') ELSE ' ' END))"""
+    return F.expr(f"""CASE WHEN kind = 'person' THEN transform(array(split(value, ' ')), words -> {names})[0]
+        ELSE array(named_struct('part', 0, 'kind', kind, 'canonical', {canonical}, 'mention', value, 'lead', '')) END""")
 
 
 def _digit(at: str) -> str:
@@ -81,43 +147,64 @@ def _digit(at: str) -> str:
     return f"pmod(cast(conv(substring(h, 1 + pmod(4 * ({at}), 60), 4), 16, 10) AS bigint) + ({at}) div 15 * 7, {{}})"
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def _names(options: tuple[str, ...], at: int | str) -> str:
+    return f"element_at(array({listed(options)}), 1 + cast({_digit(str(at)).format(len(options))} AS int))"
+
+
+def _name(starts: tuple[str, ...], ends: tuple[str, ...], composed: bool) -> str:
+    """A name from starts (with an end if composed), longer by an end for every salt from NAME_SALT on."""
+    more = f"CASE WHEN salt < {NAME_SALT} THEN '' ELSE array_join(transform(sequence({NAME_SALT}, salt), i -> {_names(ends, 'i')}), '') END"
+    return f"lower(concat({_names(starts, 1)}, {_names(ends, 2) if composed else chr(39) * 2}, {more}))"
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canonical, salt) with `surrogate`, in canonical form."""
     hashed = entities.withColumn("h", F.sha2(F.concat_ws("\0", F.lit(key), "kind", "canonical", F.col("salt").cast("string")), 256))
     pick = _digit("i")
-    # letters keep their script: Latin by default, Greek and Cyrillic in their alphabets
-    letters = f"""CASE
-        WHEN c RLIKE '[0-9]' THEN cast({pick.format(10)} AS string)
-        WHEN c RLIKE '[\\\\p{{IsCyrillic}}]' THEN substring('абвгдежзиклмнопрстуфхцчшэюя', 1 + cast({pick.format(27)} AS int), 1)
-        WHEN c RLIKE '[\\\\p{{IsGreek}}]' THEN substring('αβγδεζηθικλμνξοπρστυφχψω', 1 + cast({pick.format(24)} AS int), 1)
-        WHEN c RLIKE '[\\\\p{{L}}]' THEN substring('abcdefghijklmnopqrstuvwxyz', 1 + cast({pick.format(26)} AS int), 1)
-        ELSE c END"""
-    # the top-level name of an address stays, so the format does
+    scripts = "\n".join(f"WHEN c RLIKE '[\\\\p{{Is{k}}}&&\\\\p{{L}}]' THEN substring('{v}', 1 + cast({pick.format(len(v))} AS int), 1)" for k, v in ALPHABETS.items())
+    latin = ALPHABETS["Latin"]
+    letters = f"""CASE WHEN c RLIKE '\\\\p{{N}}' THEN cast({pick.format(10)} AS string) {scripts}
+        WHEN c RLIKE '\\\\p{{L}}' THEN substring('{latin}', 1 + cast({pick.format(len(latin))} AS int), 1) ELSE c END"""
     more = f"greatest(salt - {WIDE_SALT - 1}, 0)"
-    # an address grows by its own first letter or digit, so in its script
+    # an address grows by its own first letter or digit, so in its script; its top-level name stays
     first = "coalesce(nullif(regexp_extract(canonical, '[\\\\p{L}0-9]', 0), ''), 'a')"
     email = f"concat(array_join(transform(split(concat(repeat({first}, {more}), regexp_extract(canonical, '^(.*)\\\\.[^.]*$', 1)), ''), (c, i) -> {letters}), ''), '.', regexp_extract(canonical, '([^.]*)$', 1))"
     octet = f"CASE WHEN salt >= {ALL_OCTETS_SALT} THEN 1 + {pick.format(254)} WHEN salt >= {WIDE_SALT} THEN 100 + {pick.format(155)} ELSE CASE length(c) WHEN 1 THEN 1 + {pick.format(9)} WHEN 2 THEN 10 + {pick.format(90)} ELSE 100 + {pick.format(155)} END END"
     ip = f"array_join(transform(split(canonical, '\\\\.'), (c, i) -> cast({octet} AS string)), '.')"
-    # a country code and a card's issuer digit stay
     # up to 6 more digits always fit the pattern's last groups
-    longer = f"CASE WHEN kind = 'phone' AND length(canonical) < 10 THEN repeat('0', least({more}, 6)) ELSE '' END"
-    digits = f"concat(substring(canonical, 1, 1), array_join(transform(split(concat(substring(canonical, 2), {longer}), ''), (c, i) -> cast({pick.format(10)} AS string)), ''))"
-
-    def names(options: tuple[str, ...], at: int | str) -> str:
-        listed = ", ".join(f"'{n}'" for n in options)
-        return f"element_at(array({listed}), 1 + cast({_digit(str(at)).format(len(options))} AS int))"
-
-    title = "regexp_extract(canonical, '^([\\\\p{L}]+)', 1)"
-    listed = {g: ", ".join(f"'{t}'" for t in ts) for g, ts in (("m", MALE_TITLES), ("f", FEMALE_TITLES))}
-    given = f"CASE WHEN {title} IN ({listed['m']}) THEN {names(MALE_NAMES, 0)} WHEN {title} IN ({listed['f']}) THEN {names(FEMALE_NAMES, 0)} ELSE {names(MALE_NAMES + FEMALE_NAMES, 0)} END"
-    surname = f"concat({names(SURNAME_STARTS, 1)}, {names(SURNAME_ENDS, 2)}, CASE WHEN salt < {NAME_SALT} THEN '' ELSE array_join(transform(sequence({NAME_SALT}, salt), i -> {names(SURNAME_ENDS, 'i')}), '') END)"
-    person = f"concat({title}, ' ', CASE WHEN canonical RLIKE ' .* ' THEN concat({given}, ' ') ELSE '' END, {surname})"
-    form = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'person' THEN {person} ELSE {digits} END"
+    longer = f"CASE WHEN length(regexp_replace(canonical, '[+]', '')) < 10 THEN repeat('0', least({more}, 6)) ELSE '' END"
+    code = f"regexp_extract(canonical, '{COUNTRY_CODE}', 0)"
+    phone = f"concat({code}, array_join(transform(split(concat(substring(canonical, 1 + length({code})), {longer}), ''), (c, i) -> cast({pick.format(10)} AS string)), ''))"
+
+    def luhn(digits: str) -> str:
+        """Sum of a number whose digit before the last check digit is doubled first."""
+        doubled = "CASE WHEN i % 2 = 1 THEN cast(d AS int) WHEN cast(d AS int) > 4 THEN 2 * cast(d AS int) - 9 ELSE 2 * cast(d AS int) END"
+        return f"aggregate(transform(split(reverse({digits}), ''), (d, i) -> {doubled}), 0, (a, x) -> a + x)"
+
+    # the issuer's digit stays
+    body = f"concat(substring(canonical, 1, 1), array_join(transform(split(substring(canonical, 2, length(canonical) - 2), ''), (c, i) -> cast({pick.format(10)} AS string)), ''))"
+    check = "cast(pmod(10 - {}, 10) AS string)"
+    valid = f"{check.format(luhn('left(canonical, length(canonical) - 1)'))} = right(canonical, 1)"
+    card = f"transform(array({body}), b -> concat(b, CASE WHEN {valid} THEN {check.format(luhn('b'))} ELSE cast({_digit('0').format(10)} AS string) END))[0]"
+    forms = {
+        "surname": [(CYRILLIC_STARTS, CYRILLIC_SURNAME_ENDS), (GREEK_STARTS, GREEK_SURNAME_ENDS), (SURNAME_STARTS, SURNAME_ENDS)],
+        "given_m": [(CYRILLIC_MALE, CYRILLIC_MALE_ENDS), (GREEK_MALE, GREEK_MALE_ENDS), (MALE_NAMES, MALE_ENDS)],
+        "given_f": [(CYRILLIC_FEMALE, CYRILLIC_FEMALE_ENDS), (GREEK_FEMALE, GREEK_FEMALE_ENDS), (FEMALE_NAMES, FEMALE_ENDS)],
+    }
+    # names of other scripts are drawn by letter, and grow by their own first letter
+    other = f"array_join(transform(split(concat(canonical, repeat(left(canonical, 1), {more})), ''), (c, i) -> {letters}), '')"
+    named = []
+    for kind, of_script in forms.items():
+        cases = " ".join(
+            f"WHEN canonical RLIKE '^\\\\p{{Is{script}}}' THEN {_name(*lists, kind == 'surname')}"
+            for script, lists in zip(("Cyrillic", "Greek", "Latin"), of_script, strict=True)
+        )
+        named.append(f"WHEN '{kind}' THEN CASE {cases} ELSE {other} END")
+    form = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} {' '.join(named)} ELSE {card} END"
     return hashed.withColumn("surrogate", F.expr(form)).drop("h")
 
 
-def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canonical, surrogate of every entity; no surrogate twice, none that is an entity."""
     now = written(surrogates(entities.withColumn("salt", F.lit(0)), key), "surrogates")
     taken = entities.select("kind", F.col("canonical").alias("surrogate"))
@@ -135,45 +222,47 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def rendered() -> Column:
-    """The surrogate in the format and case of the mention `value`."""
+    """The surrogate in the format and case of the mention, after what led to it."""
     # a number's digits are set into the mention's places, from its first to its last; further ones follow
-    number = """aggregate(split(value, ''), named_struct('at', 0, 'out', ''),
-        (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN named_struct('at', a.at + 1, 'out', concat(a.out, substring(surrogate, a.at + 1, 1)))
-                  ELSE named_struct('at', a.at, 'out', concat(a.out, c)) END, a -> concat(a.out, substring(surrogate, a.at + 1)))"""
-    same = "CASE WHEN value = upper(value) AND value <> lower(value) THEN upper(surrogate) ELSE surrogate END"
-    person = "CASE WHEN value RLIKE '^[^ ]+[.] ' THEN regexp_replace(surrogate, '^([^ ]+) ', '$1. ') ELSE surrogate END"
-    return F.expr(f"CASE WHEN kind IN ('phone', 'card') THEN {number} WHEN kind = 'person' THEN {person} ELSE {same} END")
+    number = """transform(array(regexp_replace(surrogate, '[^0-9]', '')), n -> aggregate(split(mention, ''), named_struct('at', 0, 'out', ''),
+        (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN named_struct('at', a.at + 1, 'out', concat(a.out, substring(n, a.at + 1, 1)))
+                  ELSE named_struct('at', a.at, 'out', concat(a.out, c)) END, a -> concat(a.out, substring(n, a.at + 1))))[0]"""
+    # each letter takes the case of the one it replaces; letters that an address grew by come first
+    cased = """array_join(transform(split(surrogate, ''), (c, i) -> CASE
+        WHEN substring(mention, greatest(i + 1 - length(surrogate) + length(mention), 1), 1) RLIKE '\\\\p{Lu}' THEN upper(c) ELSE c END), '')"""
+    name = "CASE WHEN mention = upper(mention) THEN upper(surrogate) ELSE concat(upper(left(surrogate, 1)), substring(surrogate, 2)) END"
+    return F.expr(f"concat(lead, CASE WHEN kind IN ('phone', 'card') THEN {number} WHEN kind IN ('email', 'ip') THEN {cased} ELSE {name} END)")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text, and n_entities, n_email, n_ip, n_phone, n_card, n_person (which
     take the place of columns of these names)."""
     kinds = list(PATTERNS)
     docs = docs.drop("n_entities", *[f"n_{k}" for k in kinds])
     others = [c for c in docs.columns if c != "text"]
     # rows travel as one struct, so no column of docs can clash with those made here
-    docs = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
-    hits = docs.where(holds()).withColumn("_k", F.xxhash64("text"))
-    found = hits.select("doc_id", "_k", F.posexplode(F.expr(f"regexp_extract_all(text, '{quoted(ANY)}', 0)")).alias("at", "value"))
-    kind = kind_of(F.col("value"))
-    found = found.withColumn("kind", kind).withColumn("canonical", canonical(F.col("kind"), F.col("value")))
-    found = written(found, "mentions")
+    docs = docs.select(F.struct(*others).alias("row"), "text")
+    cut = docs.withColumn("found", values()).where("size(found) > 0").withColumn("gaps", F.split("text", ANY))
+    cut = written(cut.select(F.monotonically_increasing_id().alias("uid"), "row", "gaps", "found"), "mentions")
+    found = cut.select("uid", F.posexplode("found").alias("at", "value")).withColumn("kind", kind_of(F.col("value")))
+    found = found.select("uid", "at", F.explode(parts()).alias("x")).select("uid", "at", "x.*")
     table = distinct_surrogates(written(found.select("kind", "canonical").distinct(), "entities"), key)
-    mentions = found.join(table, ["kind", "canonical"]).withColumn("new", rendered())
-    # a set: rows that repeat doc_id and text bring equal mentions
-    per_text = mentions.groupBy("doc_id", "_k").agg(F.sort_array(F.collect_set(F.struct("at", "kind", "new"))).alias("_m"))
-    per_text = per_text.select(F.col("doc_id").alias("_id"), F.col("_k").alias("_k2"), "_m")
-    joined = hits.join(per_text, F.expr("doc_id <=> _id AND _k = _k2"))
-    woven = F.expr(f"array_join(flatten(transform(split(text, '{quoted(ANY)}'), (g, i) -> CASE WHEN i < size(_m) THEN array(g, _m[i].new) ELSE array(g) END)), '')")
-    counts = [F.expr(f"cast(size(filter(_m, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in kinds]
-    changed = joined.select("row.*", woven.alias("text"), F.size("_m").cast("long").alias("n_entities"), *counts)
+    new = found.join(table, ["kind", "canonical"]).withColumn("new", rendered())
+    pieces = new.groupBy("uid").agg(F.collect_list(F.struct("at", "part", "kind", "new")).alias("pieces"))
+    between = "transform(gaps, (g, i) -> named_struct('at', i, 'part', -1, 'kind', '', 'new', g))"
+    woven = F.expr(f"array_join(transform(array_sort(concat({between}, pieces)), x -> x.new), '')")
+    person = "x.kind IN ('surname', 'given_m', 'given_f')"
+    counts = [F.expr(f"cast(size(filter(pieces, x -> x.part = 0 AND {person if k == 'person' else f'x.kind = {chr(39)}{k}{chr(39)}'})) AS bigint)").alias(f"n_{k}") for k in kinds]
+    changed = cut.join(pieces, "uid").select("row.*", woven.alias("text"), F.size("found").cast("long").alias("n_entities"), *counts)
     zero = F.lit(0).cast("long")
     plain = docs.where(~holds()).select("row.*", "text", zero.alias("n_entities"), *[zero.alias(f"n_{k}") for k in kinds])
     return changed.unionByName(plain)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+    """The key comes from the setting; without it every run draws one of its own and forgets it."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), key)
 
 
 QUERIES = {"op9_pii": op9_pii}

@@ -279,7 +279,7 @@ def test_mixing_gives_shortage_to_siblings_first(spark):
 def test_pii_surrogates(spark):
     text = "call +1 (017) 555-7713 or +10175557713. A.B@X.COM, a.b@x.com; Mr. John Smith met Frau Anna Berg and Mr John Smith at 10.0.0.1, 4000 1234 1234 1234, 4000123412341234!"
     docs = clashing(table(spark, [None, "", text, text, "plain words", "иван@почта.рф 1.2.3 99"]))
-    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, "key").collect()}
     assert got[0].text is None and got[1].text == "" and got[4].text == "plain words" and got[4].n_entities == 0
     new = got[2].text
     assert new == got[3].text and got[2].n_entities == 10
@@ -297,7 +297,7 @@ def test_pii_surrogates(spark):
 
 def test_pii_collisions_are_drawn_again(spark):
     entities = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)], "kind string, canonical string")
-    got = pii.distinct_surrogates(entities).collect()
+    got = pii.distinct_surrogates(entities, "key").collect()
     assert len({r.surrogate for r in got}) == len(got) == 81
     assert not {r.surrogate for r in got} & {r.canonical for r in got}
 
@@ -308,7 +308,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for df in (
         quality_rules.apply_rules(docs), secrets.scan(docs), ngram_join.similar_sets(docs), bpe.digests(docs), exact_dedup.exact_duplicates(docs),
-        exact_dedup.deduplicate(docs), mixing.mixed(docs), mixing.take(docs), pii.pseudonymised(docs), toxicity.classify(docs, none),
+        exact_dedup.deduplicate(docs), mixing.mixed(docs), mixing.take(docs), pii.pseudonymised(docs, "key"), toxicity.classify(docs, none),
         toxicity.drop_toxic(docs, none), url_filter.judged(pages),
     ):
         assert df.count() == 0
