@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,42 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+#: Letters, numbers and capitals that came with Unicode 16 (two ranges of capitals: 17), which the library
+#: knows beside those of unicodedata's version 15.1. The regex module knows others, so its classes are cut to these.
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+#: First and last capital, and the small letter of the first.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+SMALL = {c: small + c - first for first, last, small in LATER_CAPITALS for c in range(first, last + 1)}
+CAPITALS = re.compile(f"[{''.join(map(chr, SMALL))}]")
+
+
+def pieces_pattern() -> str:
+    """PIECES with the letters and numbers that the library knows."""
+    import regex
+
+    def ranges(runs: Iterable) -> str:
+        return "".join(f"\\U{r[0]:08X}-\\U{r[-1]:08X}" for r in runs)
+
+    newer = regex.compile(r"[\p{L}\p{N}]")
+    late = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and newer.match(chr(c))]
+    late = ranges(list(g) for _, g in groupby(late, key=lambda c, n=count(): c - next(n)))
+    letter = rf"[[\p{{L}}--[{late}]]||[{ranges(LATER_LETTERS)}]]"
+    number = rf"[[\p{{N}}--[{late}]]||[{ranges(LATER_NUMBERS)}]]"
+    return "(?V1)" + PIECES.replace(r"[^\s\p{L}\p{N}]+", rf"(?:(?!{letter}|{number})\S)+").replace(r"|\p{L}+", f"|{letter}+").replace(r"|\p{N}|", f"|{number}|")
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -64,7 +101,7 @@ class WordBpe:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
         back, end = {c: b for b, c in letters.items()}, model["end_of_word_suffix"]
-        self.pieces = regex.compile(PIECES)
+        self.pieces = regex.compile(pieces_pattern())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.text = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
@@ -204,6 +241,8 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if not part.isascii() and CAPITALS.search(part):
+                part = part.translate(SMALL)
             # str.split also cuts at four control characters that are not white space
             out += re.split(r"[\x20\x09-\x0D\x85\xa0]+", part) if re.search("[\x1c-\x1f]", part) else part.split()
         return out
