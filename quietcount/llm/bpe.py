@@ -111,6 +111,7 @@ class WordBpe:
         self.ids = [model["vocab"][s] for s in names]
         self.split = [(n, n) for n in range(512)] + [(number[a], number[b]) for a, b in model["merges"]]
         self.merged = {pair: n for n, pair in enumerate(self.split) if n >= 512}
+        self.edges()
         self.inner, self.ending = {}, {}
         for n, s in enumerate(names):
             into = self.ending if s.endswith(end) else self.inner
@@ -157,25 +158,24 @@ class WordBpe:
                     row_after.append(after)
             row = row_after
 
+    def edges(self) -> None:
+        """What stands at a token's two edges while BPE makes it: (token, number of the merge that takes it away)."""
+        never = len(self.split)
+        self.at_end, self.at_start = [], []
+        for n, (left, right) in enumerate(self.split):
+            for edge, half in ((self.at_end, right), (self.at_start, left)):
+                edge.append([(n, never)] + ([] if half == n else [(t, min(gone, n)) for t, gone in edge[half]]))
+
     def _fit(self, left: int, right: int) -> bool:
-        # Undo the later of the two tokens step by step; a merge across the seam that comes before
-        # the undone one would have happened first.
-        before = len(self.split) + 1
-        while True:
-            if self.merged.get((left, right), before) < before:
-                return False
-            if left > right:
-                before, left = left, self.split[left][1]
-                if left == before:
-                    before, right = right + 1, self.split[right][0]
-                    if right + 1 == before:
-                        return True
-            else:
-                before, right = right + 1, self.split[right][0]
-                if right + 1 == before:
-                    before, left = left, self.split[left][1]
-                    if left == before:
-                        return True
+        """Whether BPE leaves the two tokens side by side: merges come in the order of their numbers, so one across
+        the seam happens if its parts are there, that is, if none of them was taken before (of equal merges the
+        left one comes first)."""
+        across = self.merged.get
+        for x, x_gone in self.at_end[left]:
+            for y, y_gone in self.at_start[right]:
+                if (n := across((x, y))) is not None and n < x_gone and n <= y_gone:
+                    return False
+        return True
 
     def whole(self, t: int) -> bool:
         """Whether BPE makes the token t of its own bytes."""
