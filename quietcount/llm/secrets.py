@@ -4,8 +4,8 @@ Candidates come from three base kinds (assign, access, hex) and one of the metho
 long mixed runs outside base spans). Their positions are rebuilt from what a pattern matches and
 what it leaves between matches, only for texts that hold the kind at all. The value of every
 candidate is hashed and aggregated over the corpus: by distinct repositories and owners. A value under
-more than MAX_OWNERS owners is a widely copied example; one of few owners with a live look (length,
-digits and letters, distinct characters) is owner-specific. Base spans always stay; generic spans stay
+more than MAX_OWNERS owners or in more than MAX_REPOSITORIES repositories is a widely copied example; a rarer
+one with a live look (length, digits and letters, distinct characters) is owner-specific. Base spans always stay; generic spans stay
 only where they are owner-specific.
 
 Skew: counts are pre-aggregated by (hash, repository, owner) before they meet, so a value that a
@@ -13,7 +13,8 @@ third of the rows hold arrives as one row per task and owner; the join back is t
 
 Defined results: null text is empty; a null repository or owner counts as one of its own; repeated rows
 each get their row and their candidates count once per row; empty tables give empty results; further columns
-are ignored.
+are ignored; very long texts are read whole, with steps that don't grow with their matches; spans that start at one place are told
+apart by kind in its listed order.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ BASE = (
     Kind("hex", "[0-9a-f]{32,}", 0, 32),
 )
 GENERIC = Kind("generic", "[A-Za-z0-9+/_-]{20,}", 0, 20)
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
+BLOCK = 256
 LIVE_CHARS, LIVE_DISTINCT = 16, 8
 
 
@@ -53,16 +55,17 @@ def spans(kind: Kind, rank: int) -> Column:
     """Array of struct(s, rank, e, kind, value) of a kind's matches in `text`, in code points."""
     p = _quoted(kind.pattern)
     none = "cast(array() AS array<struct<s: int, rank: int, e: int, kind: string, value: string>>)"
-    walk = f"""aggregate(
-        arrays_zip(slice(split(text, '{p}'), 1, size(split(text, '{p}')) - 1),
-                   regexp_extract_all(text, '{p}', 0), regexp_extract_all(text, '{p}', {kind.group})),
-        named_struct('at', 0, 'out', {none}),
-        (a, x) -> named_struct(
-            'at', a.at + length(x['0']) + length(x['1']),
-            'out', CASE WHEN length(x['2']) >= {kind.least} THEN concat(a.out, array(named_struct(
-                's', a.at + length(x['0']), 'rank', {rank}, 'e', a.at + length(x['0']) + length(x['1']),
-                'kind', '{kind.name}', 'value', x['2']))) ELSE a.out END),
-        a -> a.out)"""
+    match = f"""named_struct('at', a.at + length(x['0']) + length(x['1']),
+        'out', CASE WHEN length(x['2']) >= {kind.least} THEN concat(a.out, array(named_struct(
+            's', a.at + length(x['0']), 'rank', {rank}, 'e', a.at + length(x['0']) + length(x['1']),
+            'kind', '{kind.name}', 'value', x['2']))) ELSE a.out END)"""
+    # blocks of matches keep what a step copies short, however many there are
+    walk = f"""transform(array(arrays_zip(slice(split(text, '{p}'), 1, size(split(text, '{p}')) - 1),
+                   regexp_extract_all(text, '{p}', 0), regexp_extract_all(text, '{p}', {kind.group}))),
+        z -> aggregate(sequence(1, size(z), {BLOCK}), named_struct('at', 0, 'blocks', array({none})),
+            (done, b) -> aggregate(slice(z, b, {BLOCK}), named_struct('at', done.at, 'out', {none}), (a, x) -> {match},
+                a -> named_struct('at', a.at, 'blocks', concat(done.blocks, array(a.out)))),
+            done -> flatten(done.blocks)))[0]"""
     return F.expr(f"CASE WHEN text RLIKE '{p}' THEN {walk} ELSE {none} END")
 
 
@@ -92,7 +95,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, found: array<struct<s, rank, e, kind, value, n_owners, verdict>> of every row."""
+    """doc_id, n_assign, n_access, n_hex, found: array<struct<s, rank, e, kind, value, n_repositories, n_owners, verdict>> of every row."""
     rows = written(candidates(docs, repository, owner), "candidates")
     found = rows.select("uid", "repository", "owner", F.explode(F.concat("base", "generic")).alias("x")).select(
         "uid", "repository", "owner", "x.*", F.sha2("x.value", 256).alias("h")
@@ -103,11 +106,11 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
         & F.col("value").rlike("[A-Za-z]")
         & (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_DISTINCT)
     )
-    verdict = F.when(F.col("n_owners") > MAX_OWNERS, "example").when(live, "live").otherwise("unclear")
+    verdict = F.when((F.col("n_owners") > MAX_OWNERS) | (F.col("n_repositories") > MAX_REPOSITORIES), "example").when(live, "live").otherwise("unclear")
     judged = found.join(ownership(found), "h").withColumn("verdict", verdict)
     judged = judged.where("kind <> 'generic' OR verdict = 'live'")
     per_row = judged.groupBy("uid").agg(
-        F.sort_array(F.collect_list(F.struct("s", "rank", "e", "kind", "value", "n_owners", "verdict"))).alias("found")
+        F.sort_array(F.collect_list(F.struct("s", "rank", "e", "kind", "value", "n_repositories", "n_owners", "verdict"))).alias("found")
     )
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k.name}')) AS bigint)").alias(f"n_{k.name}") for k in BASE]
     return rows.join(per_row, "uid", "left").select("doc_id", *counts, "base", "found")
@@ -117,7 +120,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(column: str) -> str:
         return f"array_join(transform({column}, x -> concat_ws(':', x.kind, x.s, x.e)), ',')"
 
-    return scan(documents(spark, sf_dir)).select(
+    # the tables name no repository: what a source holds in one language stands for one
+    docs = documents(spark, sf_dir).withColumn("repository", F.expr("concat(coalesce(source, '-'), '/', coalesce(lang, '-'))"))
+    return scan(docs, repository="repository").select(
         "doc_id", *[f"n_{k.name}" for k in BASE],
         F.expr(f"sha2({listed('base')}, 256)").alias("base_sha256"),
         F.expr(f"coalesce({listed('found')}, '')").alias("spans"),
@@ -131,19 +136,19 @@ def _sql() -> str:
     for i, k in enumerate((*BASE, GENERIC)):
         p = k.pattern.replace("'", "''")
         kinds.append(f"""
-  SELECT doc_id, source, {i} AS rank, '{k.name}' AS kind, v AS value,
+  SELECT doc_id, source, repository, {i} AS rank, '{k.name}' AS kind, v AS value,
          (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s,
          length(m[i]) AS n
-  FROM (SELECT doc_id, source, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {k.group}) AS vs FROM d),
+  FROM (SELECT doc_id, source, repository, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {k.group}) AS vs FROM d),
        unnest(range(1, len(m) + 1)) AS u(i), LATERAL (SELECT vs[i] AS v) WHERE length(v) >= {k.least}""")
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), a AS ({' UNION ALL '.join(kinds)}
+WITH d AS (SELECT doc_id, coalesce(source, '-') AS source, coalesce(source, '-') || '/' || coalesce(lang, '-') AS repository, coalesce(text, '') AS t FROM documents), a AS ({' UNION ALL '.join(kinds)}
 ), f AS (
   SELECT *, s + n AS e FROM a WHERE kind <> 'generic' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM a b WHERE b.kind <> 'generic' AND b.doc_id = a.doc_id AND a.s < b.s + b.n AND b.s < a.s + a.n))
-), o AS (SELECT value, count(DISTINCT source) AS n_owners FROM f GROUP BY value
+), o AS (SELECT value, count(DISTINCT source) AS n_owners, count(DISTINCT repository) AS n_repositories FROM f GROUP BY value
 ), j AS (
-  SELECT f.*, CASE WHEN n_owners > {MAX_OWNERS} THEN 'example'
+  SELECT f.*, CASE WHEN n_owners > {MAX_OWNERS} OR n_repositories > {MAX_REPOSITORIES} THEN 'example'
     WHEN length(value) >= {LIVE_CHARS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
       AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT} THEN 'live' ELSE 'unclear' END AS verdict
   FROM f JOIN o USING (value)
