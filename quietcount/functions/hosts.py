@@ -40,16 +40,13 @@ def known_referrers(spark: SparkSession) -> DataFrame:
 
 def with_known(rows: DataFrame, host: str = "referrer_host") -> DataFrame:
     """rows with known_name and known_channel: of the host, else of its longest known parent domain (never
-    the last label alone). The look-up runs on distinct hosts."""
-    hosts = rows.select(host).where(F.col(host).isNotNull()).distinct()
+    the last label alone). The list is fixed and small, so it is a literal map read in place: no shuffle on a host that many rows share."""
+    listed = ", ".join(f"'{h}', named_struct('name', '{n}', 'channel', '{c}')" for c, hs in KNOWN.items() for h, n in hs.items())
     labels = f"split({host}, '[.]')"
-    parents = F.expr(
-        f"transform(sequence(0, greatest(size({labels}) - 2, 0)), i -> named_struct('at', i, 'parent', array_join(slice({labels}, i + 1, size({labels})), '.')))"
-    )
-    candidates = hosts.select(host, F.inline(parents))
-    found = candidates.join(F.broadcast(known_referrers(rows.sparkSession)), F.col("parent") == F.col("host") if host != "host" else "host")
-    best = found.groupBy(host).agg(F.min_by("name", "at").alias("known_name"), F.min_by("channel", "at").alias("known_channel"))
-    return rows.join(best, host, "left")
+    parents = f"transform(sequence(0, greatest(size({labels}) - 2, 0)), i -> array_join(slice({labels}, i + 1, size({labels})), '.'))"
+    found = F.expr(f"try_element_at(filter(transform({parents}, p -> try_element_at(map({listed}), p)), x -> x IS NOT NULL), 1)")
+    marked = rows.withColumn("_known", F.when(F.col(host).isNotNull(), found))
+    return marked.withColumns({"known_name": F.col("_known.name"), "known_channel": F.col("_known.channel")}).drop("_known")
 
 
 def source() -> Column:

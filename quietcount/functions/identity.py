@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import ipaddress
-from collections.abc import Iterator
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,18 +15,20 @@ def screen_class(width: str = "w") -> Column:
     return F.when(w.isNull() | (w <= 0), None).when(w < 576, "xs").when(w < 768, "sm").when(w < 992, "md").when(w < 1200, "lg").otherwise("xl")
 
 
-def salts(spark: SparkSession, site_ids: list[int], start: date, days: int, secret: str) -> DataFrame:
-    """site_id, local_date, inner and outer pad (hex) of every site and local date: a bounded dimension.
+def salts(sites: DataFrame, start: date, days: int, secret: str) -> DataFrame:
+    """site_id, local_date, inner and outer pad (hex) of every site (of a frame with site_id) and local date.
 
     The pads are the block-sized key of HMAC-SHA256, xored with its two constants.
     """
-    rows = []
-    for site in site_ids:
-        for n in range(days):
-            day = start + timedelta(days=n)
-            key = hashlib.sha256(f"{secret}:{site}:{day}".encode()).digest().ljust(64, b"\0")
-            rows.append(f"({site}L, date '{day}', '{bytes(b ^ 0x36 for b in key).hex()}', '{bytes(b ^ 0x5C for b in key).hex()}')")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(site_id, local_date, inner_pad, outer_pad)")
+    dates = F.explode(F.sequence(F.lit(start), F.lit(start + timedelta(days=days - 1)))).alias("local_date")
+    key = F.rpad(F.sha2(F.concat_ws(":", F.lit(secret), F.col("site_id").cast("string"), F.col("local_date").cast("string")), 256), 128, "0")
+
+    def pad(constant: int) -> Column:
+        byte = f"cast(conv(substring(_key, 2 * i + 1, 2), 16, 10) AS int) ^ {constant}"
+        return F.lower(F.expr(f"array_join(transform(sequence(0, 63), i -> lpad(hex({byte}), 2, '0')), '')"))
+
+    keys = sites.select("site_id").distinct().select("site_id", dates).withColumn("_key", key)
+    return keys.select("site_id", "local_date", pad(0x36).alias("inner_pad"), pad(0x5C).alias("outer_pad"))
 
 
 def current_salts(table: DataFrame, today: date) -> DataFrame:
@@ -54,14 +54,14 @@ def normal_address(ip: str | None) -> str | None:
 
 
 def with_normal_address(rows: DataFrame, ip: str = "ip") -> DataFrame:
-    """rows with their address normalised, worked out once per distinct address."""
+    """rows with their address normalised in place: no shuffle on an address that many share."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(normal_ip=[normal_address(a) for a in frame[ip]])
+    @F.pandas_udf("string")
+    def prefix(addresses: pd.Series) -> pd.Series:
+        return addresses.map({a: normal_address(a) for a in addresses.dropna().unique()})
 
-    table = rows.select(ip).where(F.col(ip).isNotNull()).distinct().mapInPandas(run, f"{ip} string, normal_ip string")
-    return rows.join(table, ip, "left").withColumn(ip, F.col("normal_ip")).drop("normal_ip")
+    # IPv4 stays as it is and needs no Python
+    return rows.withColumn(ip, F.when(F.col(ip).contains(":"), prefix(F.col(ip))).otherwise(F.col(ip)))
 
 
 def ip_number(ip: str = "ip") -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,14 +90,19 @@ def apply_templates(root: dict, segments: list[str]) -> tuple[list[str], int]:
 
 
 def with_templates(rows: DataFrame, templates: dict[int, list[str]]) -> DataFrame:
-    """rows (site_id, path) with matched and consumed, worked out once per distinct site and path."""
+    """rows (site_id, path) with matched and consumed, worked out in place, once per distinct site and path of a batch."""
     tries = {site: compile_templates(t) for site, t in templates.items()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [apply_templates(tries.get(s, {}), (p or "/").split("/")) for s, p in zip(frame["site_id"], frame["path"], strict=True)]
-            yield frame.assign(matched=[m for m, _ in found], consumed=[n for _, n in found])
-
-    once = rows.select("site_id", "path").distinct()
-    table = once.mapInPandas(run, "site_id long, path string, matched array<string>, consumed int")
-    return rows.join(table, ["site_id", "path"])
+    @F.pandas_udf("matched array<string>, consumed int")
+    def fitted(site: pd.Series, path: pd.Series) -> pd.DataFrame:
+        found: dict = {}
+        for key in zip(site, path, strict=True):
+            if key not in found:
+                # trailing slashes make no segments
+                found[key] = apply_templates(tries.get(key[0], {}), (key[1] or "/").rstrip("/").split("/"))
+        return pd.DataFrame([found[k] for k in zip(site, path, strict=True)], columns=["matched", "consumed"])
+
+    if not any(tries.values()):
+        return rows.withColumns({"matched": F.expr("cast(array() AS array<string>)"), "consumed": F.lit(0)})
+    marked = rows.withColumn("_fit", fitted("site_id", "path"))
+    return marked.withColumns({"matched": F.col("_fit.matched"), "consumed": F.col("_fit.consumed")}).drop("_fit")

@@ -40,7 +40,7 @@ def ranges(spark: SparkSession) -> DataFrame:
 
 
 def salt_table(spark: SparkSession) -> DataFrame:
-    return salts(spark, [1, 2, 3], date(2023, 12, 31), 23, "test secret")
+    return salts(sites(spark), date(2023, 12, 31), 23, "test secret")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

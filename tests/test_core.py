@@ -145,7 +145,7 @@ def test_matchers():
 
 
 def test_visitor_hash_is_hmac(spark):
-    table = identity.salts(spark, [7], date(2024, 6, 15), 1, "s")
+    table = identity.salts(spark.range(7, 8).select(F.col("id").alias("site_id")), date(2024, 6, 15), 1, "s")
     key = hashlib.sha256(b"s:7:2024-06-15").digest()
     want = hmac.new(key, b"7\x001.2.3.4\x00agent \xc3\xa9", hashlib.sha256).hexdigest()[:32]
     row = table.withColumns({"ip": F.lit("1.2.3.4"), "user_agent": F.lit("agent é")}).select(identity.visitor_hash().alias("h")).first()
