@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietcount.sources.referrers import KNOWN
@@ -32,23 +32,29 @@ def referrer_host(url: str, site_domain: str) -> Column:
     return F.when(~own, host)
 
 
-def known_referrers(spark: SparkSession) -> DataFrame:
-    """host, name, channel: a fixed dimension of under a hundred rows."""
-    rows = ", ".join(f"('{h}', '{n}', '{c}')" for c, hosts in KNOWN.items() for h, n in hosts.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, name, channel)")
+def known(host: str) -> Column:
+    """struct(name, channel) of a host, else of its longest known parent domain (never the last label alone); null for others.
 
-
-def with_known(rows: DataFrame, host: str = "referrer_host") -> DataFrame:
-    """rows with known_name and known_channel: of the host, else of its longest known parent domain (never
-    the last label alone). The list is fixed and small, so it is a literal map read in place: no shuffle on a host that many rows share."""
+    The list is fixed and small, so it is a literal map read in place: no shuffle on a host that many rows share."""
     listed = ", ".join(f"'{h}', named_struct('name', '{n}', 'channel', '{c}')" for c, hs in KNOWN.items() for h, n in hs.items())
     labels = f"split({host}, '[.]')"
     parents = f"transform(sequence(0, greatest(size({labels}) - 2, 0)), i -> array_join(slice({labels}, i + 1, size({labels})), '.'))"
-    found = F.expr(f"try_element_at(filter(transform({parents}, p -> try_element_at(map({listed}), p)), x -> x IS NOT NULL), 1)")
-    marked = rows.withColumn("_known", F.when(F.col(host).isNotNull(), found))
+    found = f"try_element_at(filter(transform({parents}, p -> try_element_at(map({listed}), p)), x -> x IS NOT NULL), 1)"
+    return F.expr(f"CASE WHEN {host} IS NOT NULL THEN {found} END")
+
+
+def with_known(rows: DataFrame, host: str = "referrer_host") -> DataFrame:
+    """rows with known_name and known_channel of their host."""
+    marked = rows.withColumn("_known", known(host))
     return marked.withColumns({"known_name": F.col("_known.name"), "known_channel": F.col("_known.channel")}).drop("_known")
 
 
+def classified(value: str) -> Column:
+    """The known name of a host or URL, as the source of events has it; anything else (a name, say) trimmed. Null for blanks."""
+    host = f"regexp_replace(substring_index(regexp_replace(lower(trim({value})), '^https?://', ''), '/', 1), '^www[.]', '')"
+    return F.when(F.expr(f"trim({value}) <> ''"), F.coalesce(known(host)["name"], F.expr(f"trim({value})")))
+
+
 def source() -> Column:
     """The source of a row with utm_source, referrer_host and known_name."""
     utm = F.trim("utm_source")

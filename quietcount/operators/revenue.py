@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quietcount.functions import hosts
+from quietcount.sources import tables
+
 #: Subscription states and kinds of revenue events.
 LIVE, PAYING = ("trialing", "active", "past_due"), ("active", "past_due")
 NEW, EXPANSION, CONTRACTION, CHURN, REACTIVATION = "new", "expansion", "contraction", "churn", "reactivation"
@@ -83,10 +88,23 @@ def normalised(revenue: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.withColumn("normalized_cents", F.when(F.col("currency") == F.col("base_currency"), F.col("amount_cents"))).drop("base_currency")
 
 
+def resolved_source(source: str = "attribution_source", referrer: str = "referrer_host") -> Column:
+    """The source that a customer is stored with: a mark as it is, else the source, else the referrer, both by the list that events are read with."""
+    given = F.nullif(F.trim(source), F.lit(""))
+    return F.when(given.isin(DIRECT, NONE, PRE_INSTALL), given).otherwise(F.coalesce(hosts.classified(source), hosts.classified(referrer)))
+
+
+#: First-touch fields that calls may carry.
+TOUCH = ["attribution_content", "attribution_term", "landing_path", "referrer_host"]
+
+
 def identified(calls: DataFrame) -> DataFrame:
     """Customers from identify calls: every field keeps its first value that isn't blank (a pre-install mark gives
-    way to a later one); first_seen_at is the earliest. calls are ordered by seq."""
-    fields = ["external_id", "processor_id", "attribution_source", "attribution_medium", "attribution_campaign"]
+    way to a later one); first_seen_at is the earliest. calls are ordered by seq; those of TOUCH that they have are kept too."""
+    touch = [c for c in TOUCH if c in calls.columns]
+    if "referrer_host" in touch:
+        calls = calls.withColumn("attribution_source", resolved_source())
+    fields = ["external_id", "processor_id", "attribution_source", "attribution_medium", "attribution_campaign", *touch]
 
     def first(c: str) -> Column:
         usable = F.trim(c) != ""
@@ -159,16 +177,31 @@ def local_day(column: str) -> Column:
     return F.expr(f"to_date(from_utc_timestamp({column}, timezone))")
 
 
-def attribution_rollup(events: DataFrame, customers: DataFrame, subscriptions: DataFrame, revenue: DataFrame, sites: DataFrame, compat: bool = False) -> DataFrame:
+def attribution_rollup(
+    events: DataFrame, customers: DataFrame, subscriptions: DataFrame, revenue: DataFrame, sites: DataFrame, compat: bool = False,
+    start: date | None = None, end: date | None = None,
+) -> DataFrame:
     """One row per site, site-local day and channel with traffic, sign-ups, trials, conversions and revenue.
 
     The whole range is one job. A row appears where there was traffic, a sign-up, a trial, a conversion or money.
+    Of site-local days [start, end) where given: times a day around them reach the scans, as no zone is further off.
     compat counts sign-ups and conversions once per subscription of the customer, as the original does.
     """
     zones = sites.select("site_id", "timezone")
+    low, high = [d and F.lit(datetime.combine(d + timedelta(days=n), time())) for d, n in ((start, -1), (end, 1))]
+
+    def near(rows: DataFrame, column: str) -> DataFrame:
+        rows = rows if low is None else rows.where(F.col(column) >= low)
+        return rows if high is None else rows.where(F.col(column) < high)
+
+    def inside(rows: DataFrame) -> DataFrame:
+        rows = rows if start is None else rows.where(F.col("date") >= F.lit(start))
+        return rows if end is None else rows.where(F.col("date") < F.lit(end))
+
+    events, revenue = near(events, "occurred_at"), near(revenue, "occurred_at")
     keys = ["site_id", "date", *CHANNEL]
     traffic = events.join(zones, "site_id").select("site_id", local_day("occurred_at").alias("date"), *event_channel(), "visitor_hash")
-    traffic = traffic.groupBy(*keys).agg(F.countDistinct("visitor_hash").alias("visitors"))
+    traffic = inside(traffic).groupBy(*keys).agg(F.countDistinct("visitor_hash").alias("visitors"))
     who = customers.join(zones, "site_id").select("site_id", "customer_id", "timezone", *customer_channel(), "identified_at", "converted_at", "lifetime_revenue_cents")
     per = ["site_id", "customer_id"]
     count = subscriptions.groupBy(*per).agg(F.count(F.lit(1)).alias("times"))
@@ -180,10 +213,10 @@ def attribution_rollup(events: DataFrame, customers: DataFrame, subscriptions: D
     )).alias("m")).select("site_id", *CHANNEL, "timezone", "m.what", F.col("m.at").alias("at"), "m.n")
     trials = subscriptions.where("status = 'trialing'").join(who.select(*per, *CHANNEL, "timezone"), per)
     marks = marks.unionByName(trials.select("site_id", *CHANNEL, "timezone", F.lit("trial").alias("what"), F.col("created_at").alias("at"), F.lit(1).alias("n")))
-    marks = marks.where("at IS NOT NULL").withColumn("date", local_day("at"))
+    marks = inside(marks.where("at IS NOT NULL").withColumn("date", local_day("at")))
     funnel = marks.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(f"{w}s") for w in ("signup", "trial", "conversion")])
     paid = revenue.join(who.select(*per, *CHANNEL, "timezone"), per).withColumn("date", local_day("occurred_at"))
-    money = paid.groupBy(*keys).agg(
+    money = inside(paid).groupBy(*keys).agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("normalized_cents"))), F.lit(0)).alias(f"_{k}") for k in MRR_KINDS],
         F.count_if(F.col("normalized_cents").isNull()).alias("unconverted_events"),
     )
@@ -197,6 +230,23 @@ def attribution_rollup(events: DataFrame, customers: DataFrame, subscriptions: D
     )
 
 
+LOOKBACK_DAYS = 3
+
+
+def sliding_days(sites: DataFrame, now: datetime) -> tuple[date, date]:
+    """[first, last) local days that a nightly run makes anew: the LOOKBACK_DAYS before today and today, over all sites' zones."""
+    today = F.to_date(F.from_utc_timestamp(F.lit(now), F.col("timezone")))
+    first, last = sites.agg(F.min(today), F.max(today)).first()
+    return first - timedelta(days=LOOKBACK_DAYS), last + timedelta(days=1)
+
+
+def write_rollup(rollup: DataFrame, path: str) -> None:
+    """Replaces the local days that the rollup has in the stored table, which is partitioned by day, and no others.
+
+    A run over the days of sliding_days takes in facts that came late; as days are made whole, repeating one changes nothing."""
+    tables.replace_days(rollup, path, ["date"])
+
+
 SORTS = {"revenue": "net_mrr_cents", "lifetime": "lifetime_revenue_cents", "visitors": "visitors", "conversions": "conversions"}
 SUMMED = ["visitors", "signups", "trials", "conversions", "new_mrr_cents", "expansion_mrr_cents", "contraction_mrr_cents", "churned_mrr_cents", "net_mrr_cents", "unconverted_events"]
 

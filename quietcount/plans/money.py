@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietcount.operators import revenue
-from quietcount.plans.traffic import stamp
+from quietcount.plans.traffic import NOW, stamp
 from quietcount.sources import adapter
 from quietcount.sources import revenue_adapter as money
 from quietcount.sources.adapter import CTES as EVENT_CTES
 from quietcount.sources.revenue_adapter import CTES
-from quietcount.sources.shared import stored
+from quietcount.sources.shared import folder, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,9 +116,9 @@ def customer_matching(spark, sf_dir):
 @query(
     "customers_identified",
     f"""WITH c AS (SELECT 1 + o_custkey % 3 AS site_id, o_custkey AS customer_id, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'x' || o_orderkey END AS external_id,
-      CASE o_orderkey % 3 WHEN 0 THEN '(pre-install)' WHEN 1 THEN lower(o_orderpriority) ELSE '' END AS s, CASE WHEN o_orderkey % 2 = 0 THEN ' A' || o_orderkey || '@X.org ' END AS email, o_orderdate AS seen_at FROM orders)
+      CASE o_orderkey % 3 WHEN 0 THEN '(pre-install)' WHEN 1 THEN lower(o_orderpriority) ELSE ['Google', 'Google', 'unknown.site.test'][1 + o_orderkey % 5 % 3] END AS s, ['www.google.com', 'news.google.com', 'unknown.site.test'][1 + o_orderkey % 5 % 3] AS referrer_host, CASE WHEN o_orderkey % 2 = 0 THEN ' A' || o_orderkey || '@X.org ' END AS email, o_orderdate AS seen_at FROM orders)
     SELECT site_id, customer_id, arg_min(external_id, seq) FILTER (trim(external_id) <> '') AS external_id,
-      coalesce(arg_min(s, seq) FILTER (trim(s) <> '' AND s <> '(pre-install)'), max(s) FILTER (s = '(pre-install)')) AS attribution_source,
+      coalesce(arg_min(s, seq) FILTER (trim(s) <> '' AND s <> '(pre-install)'), max(s) FILTER (s = '(pre-install)')) AS attribution_source, arg_min(referrer_host, seq) AS referrer_host,
       arg_min(sha256(lower(trim(email))), seq) FILTER (email IS NOT NULL) AS email_hash, strftime(min(seen_at), '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM c GROUP BY 1, 2""",
 )
 def customers_identified(spark, sf_dir):
@@ -127,10 +129,11 @@ def customers_identified(spark, sf_dir):
         F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.concat(F.lit("x"), "o_orderkey")).alias("external_id"), none.alias("processor_id"),
         F.when(F.col("o_orderkey") % 3 == 0, revenue.PRE_INSTALL).when(F.col("o_orderkey") % 3 == 1, F.lower("o_orderpriority")).otherwise("").alias("attribution_source"),
         none.alias("attribution_medium"), none.alias("attribution_campaign"),
+        F.expr("element_at(array('www.google.com', 'news.google.com', 'unknown.site.test'), cast(1 + o_orderkey % 5 % 3 AS int))").alias("referrer_host"),
         F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" A"), "o_orderkey", F.lit("@X.org "))).alias("email"), F.col("o_orderdate").cast("timestamp").alias("seen_at"),
     )
     out = revenue.identified(calls)
-    return out.select("site_id", "customer_id", "external_id", "attribution_source", "email_hash", stamp("first_seen_at"))
+    return out.select("site_id", "customer_id", "external_id", "attribution_source", "referrer_host", "email_hash", stamp("first_seen_at"))
 
 
 _CH = "coalesce(nullif(attribution_source, ''), 'Direct') AS source, coalesce(nullif(attribution_medium, ''), '(none)') AS medium, coalesce(nullif(attribution_campaign, ''), '(none)') AS campaign"
@@ -150,15 +153,18 @@ rl AS (SELECT site_id, date, source, medium, campaign, coalesce(visitors, 0)::BI
   FROM tr FULL JOIN fu USING (site_id, date, source, medium, campaign) FULL JOIN mo USING (site_id, date, source, medium, campaign) LEFT JOIN lf USING (site_id, source, medium, campaign))"""
 
 
-def rollup(spark, sf_dir) -> DataFrame:
-    # the change log and the revenue events are tables of their own: three parts of the rollup read them
+def facts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(customers, subscriptions, revenue): tables of their own, since several parts of the rollup read them."""
     rows = money.orders(spark, sf_dir)
     changes = stored(revenue.change_log(money.subscription_changes(rows)), "changes")
     cash = revenue.cash_events(money.invoices(spark, sf_dir, rows))
     events = stored(revenue.normalised(revenue.movements(changes).unionByName(cash), adapter.sites(spark)), "revenue")
     states = last_states(changes)
-    who = revenue.recalculated(money.customers(spark, sf_dir), states, events)
-    return revenue.attribution_rollup(adapter.events(spark, sf_dir), who, states, events, adapter.sites(spark))
+    return stored(revenue.recalculated(money.customers(spark, sf_dir), states, events), "customers"), states, events
+
+
+def rollup(spark, sf_dir, start: date | None = None, end: date | None = None) -> DataFrame:
+    return revenue.attribution_rollup(adapter.events(spark, sf_dir), *facts(spark, sf_dir), adapter.sites(spark), start=start, end=end)
 
 
 @query("attribution_rollup", f"{WITH}, {_LAST}, {_ROLL} SELECT * REPLACE (date::VARCHAR AS date) FROM rl")
@@ -175,4 +181,14 @@ def attribution_rollup(spark, sf_dir):
       CASE WHEN visitors > 0 THEN floor(lifetime_revenue_cents / visitors)::BIGINT END AS value_per_visitor_cents, false AS truncated FROM g""",
 )
 def attribution_report(spark, sf_dir):
-    return revenue.attribution_report(rollup(spark, sf_dir), "2024-01-05", "2024-01-25")
+    return revenue.attribution_report(rollup(spark, sf_dir, date(2024, 1, 5), date(2024, 1, 25)), "2024-01-05", "2024-01-25")
+
+
+@query("attribution_nightly", f"{WITH}, {_LAST}, {_ROLL} SELECT * REPLACE (date::VARCHAR AS date) FROM rl WHERE date < DATE '2024-01-31'")
+def attribution_nightly(spark, sf_dir):
+    """The stored rollup after a backfill of the days before the 29th and two nightly runs, which replace their days."""
+    sites, known, path = adapter.sites(spark), facts(spark, sf_dir), f"{folder(spark)}/attribution"
+    days = [(None, date(2024, 1, 29)), *[revenue.sliding_days(sites, n) for n in (NOW - timedelta(days=1), NOW)]]
+    for start, end in days:
+        revenue.write_rollup(revenue.attribution_rollup(adapter.events(spark, sf_dir), *known, sites, start=start, end=end), path)
+    return spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
