@@ -47,7 +47,7 @@ def drained(spark: SparkSession, table: DataFrame, start: Callable[[DataFrame, s
 def stream_sessions(spark, sf_dir):
     jobs.with_state_store(spark)
     rows = adapter.events(spark, sf_dir).select("user_id", "event_id", "occurred_at")
-    base = drained(spark, rows, lambda stream, base: jobs.to_table(jobs.sessions(stream, ["user_id"]), f"{base}/out", f"{base}/checkpoint"))
+    base = drained(spark, rows, lambda stream, base: jobs.to_table(jobs.sessions(stream, ["user_id"], None), f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out")
 
 
@@ -69,7 +69,7 @@ def stream_quota(spark, sf_dir):
 @query("stream_first_events", f"WITH {adapter.CTES} SELECT site_id, strftime(min(occurred_at), '%Y-%m-%d %H:%M:%S') AS first_event_at FROM ev GROUP BY 1")
 def stream_first_events(spark, sf_dir):
     rows = adapter.events(spark, sf_dir).select("site_id", "occurred_at")
-    base = drained(spark, rows, lambda stream, base: jobs.first_events(stream, f"{base}/out", f"{base}/checkpoint"))
+    base = drained(spark, rows, lambda stream, base: jobs.first_events(stream, f"{base}/known", f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("site_id", stamp("first_event_at"))
 
 

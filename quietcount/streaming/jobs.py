@@ -21,6 +21,9 @@ from quietcount.sources import tables
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIMEOUT_SECONDS = 1_800
+#: A key's session state leaves the store when it was idle for so long; by then its visitor hash has rotated, so numbers may start anew.
+STATE_DAYS = 2
+COUNTER_DAYS = 45
 
 
 def beacons(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -32,10 +35,13 @@ def beacons(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Dat
 
 class Sessions(StatefulProcessor):
     """Numbers the sessions of a key; a gap of TIMEOUT_SECONDS or more starts one. The state is the key's
-    last time and number: two numbers a key that stay in the store, as a late start must find them."""
+    last time and number. With `days` it expires so long after the key's last batch, and the store holds the keys of that time only."""
+
+    def __init__(self, days: int | None = None) -> None:
+        self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "last_micros long, number long")
+        self.state = handle.getValueState("session", "last_micros long, number long", self.days and self.days * 86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # the rows of one key in one batch: what one visitor sent within a trigger
@@ -55,12 +61,16 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def sessions(events: DataFrame, keys: list[str]) -> DataFrame:
-    """event_id, is_entry, session_number of a stream; needs the RocksDB state store (see `with_state_store`)."""
+def sessions(events: DataFrame, keys: list[str], days: int | None = STATE_DAYS) -> DataFrame:
+    """event_id, is_entry, session_number of a stream; needs the RocksDB state store (see `with_state_store`).
+
+    State expires after `days`. None keeps it, for queries that drain what is available and end: expiry goes by the clock
+    and asks for batches for ever."""
     rows = events.withColumn("micros", F.unix_micros("occurred_at")).select(*keys, "event_id", "micros")
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Sessions(), outputStructType="event_id long, is_entry boolean, session_number long", outputMode="Append", timeMode="None"
-    )
+        statefulProcessor=Sessions(days), outputStructType="event_id long, is_entry boolean, session_number long",
+        outputMode="Append", timeMode="ProcessingTime" if days else "None",
+    )
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -99,12 +109,19 @@ def active_visitors(events: DataFrame, watermark: str = "10 minutes") -> DataFra
     return windows.agg(F.approx_count_distinct("visitor_hash").alias("visitors")).select(F.col("window.end").alias("at"), "site_id", "visitors")
 
 
+def _slot(path: str, batch_id: int) -> str:
+    """The folder of a batch's running totals. Two take turns: a batch reads its predecessor's and writes the other one, so
+    a replayed batch finds what it found before, and nothing grows with the number of batches."""
+    return f"{path}/slot={batch_id % 2}"
+
+
 def quota(events: DataFrame, limits: DataFrame, counters: str, out: str, checkpoint: str) -> StreamingQuery:
     """Numbers each account's events of a UTC month across batches and flags those over the limit.
 
-    events carry account_id; limits has account_id and monthly_event_limit. Counters of earlier batches are
-    one small row per account, month and batch.
+    events carry account_id; limits has account_id and monthly_event_limit. Counters are one small row per account and
+    month, carried from batch to batch until they were idle for COUNTER_DAYS.
     """
+    schema = "account_id long, month string, base long, touched timestamp"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -112,38 +129,33 @@ def quota(events: DataFrame, limits: DataFrame, counters: str, out: str, checkpo
         hours = rows.groupBy("account_id", "month", "hour").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("account_id", "month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
         hours = hours.select("account_id", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-        counted = rows.groupBy("account_id", "month").agg(F.count(F.lit(1)).alias("used")).withColumn("batch_id", F.lit(batch_id))
-        try:
-            earlier = spark.read.schema("account_id long, month string, used long, batch_id long").parquet(counters).where(F.col("batch_id") < batch_id)
-            earlier = earlier.groupBy("account_id", "month").agg(F.sum("used").alias("base"))
-        except Exception as e:  # the first batch has no counters yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            earlier = spark.createDataFrame([], "account_id long, month string, base long")
+        earlier = spark.read.schema(schema).parquet(_slot(counters, batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
         within = Window.partitionBy("account_id", "hour").orderBy("occurred_at", "event_id")
-        numbered = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"]).join(earlier, ["account_id", "month"], "left")
+        numbered = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"]).join(earlier.drop("touched"), ["account_id", "month"], "left")
         numbered = numbered.join(limits.select("account_id", "monthly_event_limit"), "account_id")
         seq = F.coalesce("base", F.lit(0)) + F.col("ahead") + F.col("nth")
         judged = numbered.select("event_id", "account_id", seq.alias("seq"), F.coalesce(seq > F.col("monthly_event_limit"), F.lit(False)).alias("refused"), F.lit(batch_id).alias("batch_id"))
         tables.replace_days(judged, out, ["batch_id"])
-        tables.replace_days(counted, counters, ["batch_id"])
+        counted = rows.groupBy("account_id", "month").agg(F.count(F.lit(1)).alias("base"), F.max("occurred_at").alias("touched"))
+        newest = rows.agg(F.max("occurred_at")).first()[0]
+        carried = earlier.unionByName(counted).groupBy("account_id", "month").agg(F.sum("base").alias("base"), F.max("touched").alias("touched"))
+        live = carried.where(F.col("touched") >= F.lit(newest) - F.expr(f"INTERVAL {COUNTER_DAYS} DAYS")) if newest else carried
+        live.write.mode("overwrite").parquet(_slot(counters, batch_id))
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_events(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """One notice per site, when its first event arrives: sites known from earlier batches are left out."""
+def first_events(events: DataFrame, known: str, out: str, checkpoint: str) -> StreamingQuery:
+    """One notice per site, when its first event arrives: sites known from earlier batches are left out.
+
+    known holds a number per site, carried from batch to batch; out the notices."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = batch.groupBy("site_id").agg(F.min("occurred_at").alias("first_event_at")).withColumn("batch_id", F.lit(batch_id))
-        try:
-            known = spark.read.parquet(out).where(F.col("batch_id") < batch_id)
-            found = found.join(known.select("site_id"), "site_id", "left_anti")
-        except Exception as e:  # nothing is known before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        tables.replace_days(found, out, ["batch_id"])
+        earlier = spark.read.schema("site_id long").parquet(_slot(known, batch_id - 1)) if batch_id else spark.createDataFrame([], "site_id long")
+        found = batch.groupBy("site_id").agg(F.min("occurred_at").alias("first_event_at")).join(earlier, "site_id", "left_anti")
+        tables.replace_days(found.withColumn("batch_id", F.lit(batch_id)), out, ["batch_id"])
+        earlier.unionByName(batch.select("site_id")).distinct().write.mode("overwrite").parquet(_slot(known, batch_id))
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
