@@ -64,8 +64,8 @@ class Sessions(StatefulProcessor):
 def sessions(events: DataFrame, keys: list[str], days: int | None = STATE_DAYS) -> DataFrame:
     """event_id, is_entry, session_number of a stream; needs the RocksDB state store (see `with_state_store`).
 
-    State expires after `days`. None keeps it, for queries that drain what is available and end: expiry goes by the clock
-    and asks for batches for ever."""
+    State expires after `days`, by the clock. None keeps it, for queries that drain what is available and end: with expiry
+    such a query was not seen to end."""
     rows = events.withColumn("micros", F.unix_micros("occurred_at")).select(*keys, "event_id", "micros")
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Sessions(days), outputStructType="event_id long, is_entry boolean, session_number long",
