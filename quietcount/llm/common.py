@@ -65,6 +65,14 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS))
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """base, or base with underscores behind it, that is no column's name (names are told apart without case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def few(df: DataFrame) -> DataFrame:
     """df (thin rows) with a broadcast hint if a count shows it to be small; otherwise Spark shuffles it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

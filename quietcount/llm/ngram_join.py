@@ -9,7 +9,7 @@ order of n-grams. Two texts with n and m shingles and `overlap` common ones link
    buckets in common. (A text with fewer segments shows all and, if a linked text could change them all, its pairs of
    empty fragments.) A large set shows KEYS segments of a finer cut instead: each stays equal between linked texts with
    a chance over 0.58, so a link has fewer than SHARED of KEYS in common with a chance below 5e-13: about that of
-   a collision among the 64-bit hashes of two such sets.
+   a collision among the 64-bit hashes of two such sets. With Near(..., every=True) they show all that counting needs.
 2. Partial overlaps. The most central member of a bucket (whose buckets hold most others) is its pivot, and every other
    member is joined with it: a pair per text and pivot, however large the bucket. A text leaves out the pivots with which it has least in common, as
    long as they stand for under half of SHARED buckets: two linked texts still keep a pivot in common. The order is cut into PARTS fragments; each is joined on its
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quietcount.llm.common import documents, few, in_arrow, written
+from quietcount.llm.common import documents, few, free_name, in_arrow, written
 
 #: Segments that a large set shows, buckets that linked texts have in common; fragments in which overlaps are counted; elements of an Arrow batch of fragments.
 KEYS, SHARED, PARTS, BATCH_ELEMENTS = 64, 10, 8, 1_000_000
@@ -81,10 +81,13 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Near:
-    """When two texts link: shingles of `words` words, Jaccard of `percent` hundredths or more."""
+    """When two texts link: shingles of `words` words, Jaccard of `percent` hundredths or more.
+
+    every: large sets too show enough segments that a link is found by counting, at 2 to 3 times the disk."""
 
     words: int
     percent: int
+    every: bool = False
 
     def __post_init__(self) -> None:
         # below, sets two levels apart could link
@@ -115,7 +118,7 @@ class Near:
             if i:
                 most = self.differ(2 * self.bounds[i])
                 own = self.differ(n + min(self.bounds[i], 100 * n // self.percent))
-                if most + SHARED < KEYS:
+                if self.every or most + SHARED < KEYS:
                     out.append((i, most + most // 8 + SHARED, own, own + SHARED))
                 else:
                     out.append((i, 2 * most, own, KEYS))
@@ -137,7 +140,7 @@ def segments(u: np.ndarray, near: Near) -> tuple[np.ndarray, bool]:
             end = starts[show] if show < len(starts) else len(u)
             out.append(mix(np.add.reduceat(u[:end], first) + f[first] * M1 + np.uint64(level) * M2))
             full &= len(starts) >= show
-            if len(starts) <= most and show < KEYS:  # a linked text can differ in all of them, and then shares two empty fragments
+            if len(starts) <= most and (near.every or show < KEYS):  # a linked text can differ in all of them, and then shares two empty fragments
                 empty = sorted(set(range(k)) - set(f.tolist()))
                 i, j = np.array(list(combinations(empty, 2)), np.uint64).T
                 out.append(mix(i * M1 + j * M3 + np.uint64(level) * M2 + np.uint64(1)))
@@ -379,23 +382,25 @@ def similar_sets(docs: DataFrame, near: Near = QUERY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, near: Near = STAGE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns.
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns, whatever their names.
 
     A row without doc_id is a document of its own that comes after all others."""
 
+    stays = free_name("_stays", [*docs.columns, "row", "doc_id", "text"])
+
     def kept(ids: DataFrame) -> DataFrame:
-        return similar_sets(ids, near).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+        return similar_sets(ids, near).where("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
 
     nameless = docs.where("doc_id IS NULL")
     if nameless.isEmpty():
-        return docs.join(kept(docs), F.col("doc_id") == F.col("_stays"), "left_semi").select(*docs.columns)
+        return docs.join(kept(docs), F.col("doc_id") == F.col(stays), "left_semi").select(*docs.columns)
     last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
     # rows travel as one struct, so no column of docs can clash; written, so a row's number stays
     number = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
     numbered = written(nameless.select(F.struct("*").alias("row"), number.alias("doc_id"), "text"), "nameless")
     named = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = named.unionByName(numbered)
-    return both.join(kept(both), F.col("doc_id") == F.col("_stays"), "left_semi").select("row.*")
+    return both.join(kept(both), F.col("doc_id") == F.col(stays), "left_semi").select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """PII: surrogate generation in native expressions.
 
-Entities (e-mail addresses, IPv4 addresses, phone and card numbers, persons after a form of address)
+Entities (e-mail addresses, IPv4 and IPv6 addresses, phone and card numbers, persons after a form of address)
 are found in whole texts. A person's name is taken part by part: the last name is a surname, earlier ones
 are given names with a gender (that of the form of address; after Dr and Prof that of the given name).
 Every distinct entity or part, told by kind and canonical form (lower-cased, or digits only), gets one
@@ -20,9 +20,11 @@ is thin, so an entity in a third of the rows costs no more.
 
 Defined results: null text stays null and empty stays empty, with no entities; rows that repeat doc_id
 and text get the same text; ties don't arise, as a surrogate that several entities drew stays with the
-smallest canonical form; very long texts are read whole, in time linear in their length; empty tables give
+smallest canonical form; very long texts and words are read whole, in time linear in their length and without recursion; empty tables give
 empty results; further columns are kept by `pseudonymised`. Four numbers after "version", "release" or the
-like are no address.
+like are no address. Up to four capitalised words after a form of address are its names (two after one in capitals), over any white space; a
+day, a month, an article or another word of ORDINARY ends them. A capitalised noun right after a surname, as German has them, can't be told
+from a further name and is replaced too.
 """
 
 from __future__ import annotations
@@ -36,13 +38,16 @@ from quietcount.llm.common import documents, written
 
 #: Setting that holds the secret key; whoever knows it can test guesses of the originals.
 KEY_SETTING = "quietcount.pii.key"
-MAX_ROUNDS = 40
+#: Rounds in which not one more entity finds a surrogate before the job gives up. Names, addresses and short phone numbers grow with the salt,
+#: so only a format of fixed length (a card number, an IPv6 address) of which the corpus holds nearly all numbers can come to that.
+IDLE_ROUNDS = 20
 #: Salts from which a crowded space grows; before, surrogates keep the entity's lengths.
 NAME_SALT, WIDE_SALT, ALL_OCTETS_SALT = 3, 4, 7
 #: Forms of address by gender, and names that surrogates are drawn from.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Don")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña")
 OTHER_TITLES = ("Dr", "Prof")
+TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 MALE_NAMES = ("Adam", "Bruno", "Carlo", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul")
 FEMALE_NAMES = ("Anna", "Bella", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula")
 MALE_ENDS = ("us", "bert", "win", "rich", "mund", "hard", "wald", "mar")
@@ -64,8 +69,8 @@ GREEK_SURNAME_ENDS = ("άκη", "ίδη", "έλη", "άτου", "ώτη", "ού
 #: Given names whose ending misleads; otherwise -a, -e, -а, -я, -α and -η are read as female.
 FEMALE_OTHERWISE = ("ruth", "karin", "ingrid", "helen", "susan", "carol", "sarah", "elizabeth", "elisabeth", "margaret", "jennifer", "karen", "ellen", "doris", "iris", "любовь")
 MALE_OTHERWISE = ("luca", "joshua", "george", "mike", "steve", "dave", "pierre", "andre", "philippe", "jose", "joe", "uwe", "arne", "никита", "илья", "фома")
-#: Country codes of one and two digits; all others have three.
-COUNTRY_CODE = "^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Country codes of one and two digits; all others have three. A national number keeps its first 0.
+COUNTRY_CODE = "^(?:[+]|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|^0"
 #: Letters by script, as Java names it; digits of other scripts become ASCII digits.
 ALPHABETS = {
     "Latin": "abcdefghijklmnopqrstuvwxyz",
@@ -85,20 +90,38 @@ ALPHABETS = {
 #: Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 LOCAL = r"[\p{L}\p{N}._%+-]"
-NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})|-(?=\p{L}))+"
+#: Repeats are possessive: Java matches those in a loop, others by recursion, which long words overflow.
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})|-(?=\p{L}))++"
+#: White space between the words of a person, line ends too.
+GAP = r"[\s\p{Z}]{1,4}+"
+#: Words that are no part of a name although they start with a capital where they follow one.
+ORDINARY = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonnabend Sonntag Januar Februar März Mai Juni Juli Oktober Dezember "
+    "Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Lunes Martes Miércoles Jueves Viernes Sábado Domingo "
+    "The A An And Or But If In On At To Of By For From With As Is Was Are Were Be Been Has Had Have Will Would Can Could Should May Might Must Do Does Did Not No "
+    "He She It They We You I His Her Their Its This That These Those There Then When Where Who What Why How Said Says Went Came Goes Left Gave Took Made "
+    "Der Die Das Den Dem Des Ein Eine Einen Und Oder Aber Wenn Im Am Zum Zur Von Vom Mit Für Auf Aus Bei Nach Als Ist War Sind Waren Hat Hatte Wird Wurde Kann Er Sie Es Wir Ihr Ich Nicht Dann Da "
+    "Le La Les Un Une Et Ou Mais Dans Sur Avec Pour Est Était Il Elle Nous Vous Ils El Los Las Una Y O Pero En Con Por Es Era Su"
+).split()
+NO_NAME = f"(?!(?:{'|'.join(dict.fromkeys(ORDINARY + [w.upper() for w in ORDINARY]))})(?![\\p{{L}}\\p{{M}}'’-]))"
+GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     # starts where a word does, or right after the last find: long words are read once
-    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
+    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{GROUP}:){{7}}{GROUP}|[0-9A-Fa-f]{{4}}(?::{GROUP}){{0,5}}::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\p{L}\d.,])00[1-9]\d{0,2}(?:[ .-]\d{2,9}){2,4}(?![\d.]\d|\d)|(?<![\p{L}\d.,])0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,4}(?![\d.,]\d|\d)",
     "card": r"(?<![\p{L}\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\d])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {NAME}(?: {NAME}){{0,3}}",
+    "person": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?{GAP}{NO_NAME}{NAME}(?:{GAP}{NO_NAME}{NAME}){{0,3}}"
+    rf"|(?:{'|'.join(t.upper() for t in TITLES)})\.?{GAP}{NO_NAME}{NAME}(?:{GAP}{NO_NAME}{NAME})?)",
 }
 #: What stands before four numbers of a version.
 VERSION = r"(?<!\b(?i:version|release|build|ver|v)[ .:]{0,2})"
 ANY = "|".join(f"(?:{VERSION if k == 'ip' else ''}{p})" for k, p in PATTERNS.items())
 #: Cheap test that every text with an entity passes.
-MAYBE = rf"[@0-9]|{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)}"
+MAYBE = rf"[@0-9]|::|{'|'.join(TITLES + tuple(t.upper() for t in TITLES))}"
 
 
 def quoted(s: str) -> str:
@@ -121,7 +144,7 @@ def listed(options: tuple[str, ...]) -> str:
 
 def kind_of(value: Column) -> Column:
     out = F.when(value.rlike(f"^(?:{PATTERNS['email']})$"), "email")
-    for kind in ("ip", "phone", "card"):
+    for kind in ("ip", "ip6", "phone", "card"):
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("person")
 
@@ -131,14 +154,14 @@ def parts() -> Column:
     whose kinds are given_m, given_f and surname, or the mention itself; lead is the text before the part."""
     canonical = """CASE WHEN kind = 'phone' THEN concat(CASE WHEN value LIKE '+%' THEN '+' ELSE '' END, regexp_replace(value, '[^0-9]', ''))
         WHEN kind = 'card' THEN regexp_replace(value, '[^0-9]', '') ELSE lower(value) END"""
-    female = f"""CASE WHEN regexp_replace(words[0], '[.]', '') IN ({listed(FEMALE_TITLES)}) THEN true
-        WHEN regexp_replace(words[0], '[.]', '') IN ({listed(MALE_TITLES)}) THEN false
+    female = f"""CASE WHEN lower(regexp_replace(words[0], '[.]', '')) IN ({listed(tuple(t.lower() for t in FEMALE_TITLES))}) THEN true
+        WHEN lower(regexp_replace(words[0], '[.]', '')) IN ({listed(tuple(t.lower() for t in MALE_TITLES))}) THEN false
         WHEN lower(w) IN ({listed(FEMALE_OTHERWISE)}) THEN true WHEN lower(w) IN ({listed(MALE_OTHERWISE)}) THEN false
         ELSE lower(w) RLIKE '[aeаяαη]$' END"""
     names = f"""transform(slice(words, 2, size(words)), (w, i) -> named_struct('part', i,
         'kind', CASE WHEN i = size(words) - 2 THEN 'surname' WHEN {female} THEN 'given_f' ELSE 'given_m' END,
-        'canonical', lower(w), 'mention', w, 'lead', CASE WHEN i = 0 THEN concat(words[0], ' ') ELSE ' ' END))"""
-    return F.expr(f"""CASE WHEN kind = 'person' THEN transform(array(split(value, ' ')), words -> {names})[0]
+        'canonical', lower(w), 'mention', w, 'lead', concat(CASE WHEN i = 0 THEN words[0] ELSE '' END, regexp_extract_all(value, '{quoted(GAP)}', 0)[i])))"""
+    return F.expr(f"""CASE WHEN kind = 'person' THEN transform(array(split(value, '{quoted(GAP)}')), words -> {names})[0]
         ELSE array(named_struct('part', 0, 'kind', kind, 'canonical', {canonical}, 'mention', value, 'lead', '')) END""")
 
 
@@ -169,6 +192,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     # an address grows by its own first letter or digit, so in its script; its top-level name stays
     first = "coalesce(nullif(regexp_extract(canonical, '[\\\\p{L}0-9]', 0), ''), 'a')"
     email = f"concat(array_join(transform(split(concat(repeat({first}, {more}), regexp_extract(canonical, '^(.*)\\\\.[^.]*$', 1)), ''), (c, i) -> {letters}), ''), '.', regexp_extract(canonical, '([^.]*)$', 1))"
+    hexed = f"array_join(transform(split(canonical, ''), (c, i) -> CASE WHEN c = ':' THEN c ELSE lower(hex({pick.format(16)})) END), '')"
     octet = f"CASE WHEN salt >= {ALL_OCTETS_SALT} THEN 1 + {pick.format(254)} WHEN salt >= {WIDE_SALT} THEN 100 + {pick.format(155)} ELSE CASE length(c) WHEN 1 THEN 1 + {pick.format(9)} WHEN 2 THEN 10 + {pick.format(90)} ELSE 100 + {pick.format(155)} END END"
     ip = f"array_join(transform(split(canonical, '\\\\.'), (c, i) -> cast({octet} AS string)), '.')"
     # up to 6 more digits always fit the pattern's last groups
@@ -200,7 +224,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             for script, lists in zip(("Cyrillic", "Greek", "Latin"), of_script, strict=True)
         )
         named.append(f"WHEN '{kind}' THEN CASE {cases} ELSE {other} END")
-    form = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} {' '.join(named)} ELSE {card} END"
+    form = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'ip6' THEN {hexed} WHEN 'phone' THEN {phone} {' '.join(named)} ELSE {card} END"
     return hashed.withColumn("surrogate", F.expr(form)).drop("h")
 
 
@@ -208,17 +232,22 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canonical, surrogate of every entity; no surrogate twice, none that is an entity."""
     now = written(surrogates(entities.withColumn("salt", F.lit(0)), key), "surrogates")
     taken = entities.select("kind", F.col("canonical").alias("surrogate"))
-    for _ in range(MAX_ROUNDS):
+    placed, idle = 0, 0
+    while True:
         first = now.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("n"))
         clash = first.join(taken.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left").where("n > 1 OR real")
         again = now.join(clash, ["kind", "surrogate"]).where("real OR canonical <> first").select("kind", "canonical", (F.col("salt") + 1).alias("salt"))
         again = written(again, "again")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             return now.select("kind", "canonical", "surrogate")
+        idle = idle + 1 if placed and left >= placed else 0
+        placed = left
+        if idle == IDLE_ROUNDS:
+            raise RuntimeError(f"{left} entities find no surrogate: every number of their format is an entity")
         fresh = surrogates(again, key).select("kind", "canonical", "salt", "surrogate")
         kept = now.select("kind", "canonical", "salt", "surrogate").join(again, ["kind", "canonical"], "left_anti")
         now = written(kept.unionByName(fresh), "surrogates")
-    raise RuntimeError(f"surrogates still clash after {MAX_ROUNDS} rounds")
 
 
 def rendered() -> Column:
@@ -228,10 +257,10 @@ def rendered() -> Column:
         (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN named_struct('at', a.at + 1, 'out', concat(a.out, substring(n, a.at + 1, 1)))
                   ELSE named_struct('at', a.at, 'out', concat(a.out, c)) END, a -> concat(a.out, substring(n, a.at + 1))))[0]"""
     # each letter takes the case of the one it replaces; letters that an address grew by come first
-    cased = """array_join(transform(split(surrogate, ''), (c, i) -> CASE
-        WHEN substring(mention, greatest(i + 1 - length(surrogate) + length(mention), 1), 1) RLIKE '\\\\p{Lu}' THEN upper(c) ELSE c END), '')"""
+    cased = """transform(array(named_struct('m', split(mention, ''), 'more', length(surrogate) - length(mention))), x ->
+        array_join(transform(split(surrogate, ''), (c, i) -> CASE WHEN x.m[greatest(i - x.more, 0)] RLIKE '\\\\p{Lu}' THEN upper(c) ELSE c END), ''))[0]"""
     name = "CASE WHEN mention = upper(mention) THEN upper(surrogate) ELSE concat(upper(left(surrogate, 1)), substring(surrogate, 2)) END"
-    return F.expr(f"concat(lead, CASE WHEN kind IN ('phone', 'card') THEN {number} WHEN kind IN ('email', 'ip') THEN {cased} ELSE {name} END)")
+    return F.expr(f"concat(lead, CASE WHEN kind IN ('phone', 'card') THEN {number} WHEN kind IN ('email', 'ip', 'ip6') THEN {cased} ELSE {name} END)")
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:

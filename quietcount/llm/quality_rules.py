@@ -54,11 +54,11 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(STOP_WORDS)) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words."""
+def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(STOP_WORDS), id_column: str = "doc_id") -> DataFrame:
+    """The column id_column and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"), lines.alias("lines"))
+    base = docs.select(id_column, text.alias("text"), words(F.col("text")).alias("w"), lines.alias("lines"))
     windows = base.withColumn(
         "g",
         F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))"),
@@ -84,7 +84,7 @@ def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(ST
     )
     listed = list(dict.fromkeys(stop_words))
     return placed.select(
-        "doc_id",
+        id_column,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -95,12 +95,12 @@ def measures(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = tuple(ST
     )
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id") -> DataFrame:
     """Measures of every document with base_failed, the names of failed rules, and kept."""
     failed = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
     held = " AND ".join(r.sql() for r in rules) or "true"
     names = ", ".join(f"CASE WHEN NOT {r.sql()} THEN '{r.name}' END" for r in rules)
-    return measures(docs).select(
+    return measures(docs, id_column=id_column).select(
         "*",
         F.expr(failed).alias("base_failed"),
         F.expr(f"NOT {failed} AND {held}").alias("kept"),
@@ -109,9 +109,9 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs with a doc_id that the rules keep."""
-    good = apply_rules(docs, rules).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """The rows of docs that the rules keep, each by its own text, with all their columns; no shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), "text")  # as one struct, so no column of docs can clash
+    return apply_rules(rows, rules, "row").where("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,14 @@ regression weighs them. N-grams are hashed to 2**BITS slots, so the model has a
 float per slot, 1 MB) and may be broadcast.
 
 Fitting reads a bounded sample: at most MOST_TOXIC and MOST_CLEAN labelled rows, those with the
-smallest hashes of their ids; only rows whose crc32(doc_id) mod 3 is not 1 may be among them. It runs
+smallest hashes of their ids, and of rows that repeat an id the one of the smallest text; only rows whose crc32(doc_id) mod 3 is not 1 may be among them. It runs
 in one task. Scoring is a map over all rows: a word's score is a sum over its n-grams, worked out for all new words of a
 block of texts at once and cached, so memory is bounded by a block and CACHE_WORDS words.
 
 Defined results: null and blank texts score the share of toxic labels (0.5 where there are no
 labels); without labels of both classes every document scores that share; several labels of a
 document count as toxic if one is; null ids and labels teach nothing; very long texts count whole; of ties in the
-sample's order the smaller id comes first; equal texts score alike, and repeated rows and further columns play no part
-in a score; an empty table gives an empty result.
+sample's order the smaller id comes first; equal texts score alike, rows that repeat an id and text play no part in a score, nor do further columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,7 +109,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80, rate: float = 100
 
 
 def sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """text and toxic of at most MOST_TOXIC + MOST_CLEAN labelled documents that are not held out."""
+    """text and toxic of at most MOST_TOXIC + MOST_CLEAN labelled documents that are not held out, one row for each id."""
     marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
     order = [F.xxhash64(F.col("doc_id"), F.lit(17)), F.col("doc_id")]
@@ -118,7 +117,9 @@ def sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
         marks.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN)
     )
     # at most MOST_TOXIC + MOST_CLEAN ids are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # of rows that repeat an id the smallest text teaches; they meet map-side first
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def train(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, float]:
