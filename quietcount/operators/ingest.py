@@ -28,13 +28,16 @@ def query_beacon(query: str) -> Column:
 def parsed(raw: DataFrame, body: str = "body", query: str | None = None) -> DataFrame:
     """Beacons of a JSON body, else of the query string's parameters; whole numbers are cast leniently (bad: null).
 
-    nested_props tells that a property is an object or a list."""
+    nested_props tells that a property is an object or a list, or that the properties are no object."""
     usable = F.expr(f"coalesce(size(json_object_keys({body})) > 0, false)")
     beacon = F.from_json(body, BEACON)
     if query:
         beacon = F.when(usable, beacon).otherwise(query_beacon(query))
     kinds = F.from_json(body, "p map<string, variant>")["p"]
     nested = F.exists(F.map_values(kinds), lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
+    # properties that are no object at all: a text, a number, a list
+    text = F.from_json(body, "p string")["p"]
+    nested = F.coalesce(nested, F.lit(False)) | (text.isNotNull() & ~F.coalesce(F.ltrim(text).startswith("{"), F.lit(False)))
     read = raw.withColumn("_b", beacon).withColumn("nested_props", F.coalesce(usable & nested, F.lit(False)))
     out = read.select(*raw.columns, "_b.*", "nested_props")
     return out.withColumn("w", F.expr("try_cast(w AS int)")).withColumn("v", F.expr("try_cast(v AS bigint)"))

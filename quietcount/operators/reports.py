@@ -128,7 +128,12 @@ def summary(scope: DataFrame, bounds: DataFrame, filters: dict | None = None) ->
     """
     keys = ["site_id", "window"]
     totals = scope.where(predicate(filters)).groupBy(*keys).agg(volume(filters).alias("volume"), F.countDistinct("visitor_hash").alias("visitors"))
-    metrics = session_metrics(sessions(qualified(scope, filters), keys), keys)
+    return summed(bounds, totals, session_metrics(sessions(qualified(scope, filters), keys), keys))
+
+
+def summed(bounds: DataFrame, totals: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Totals and session metrics of both windows of every site, zero where there are none."""
+    keys = ["site_id", "window"]
     frame = bounds.select("site_id").crossJoin(bounds.sparkSession.sql("SELECT explode(array('cur', 'prev')) AS window"))
     both = frame.join(totals, keys, "left").join(metrics, keys, "left").na.fill(0)
     per_visit = F.when(F.col("sessions") > 0, F.floor((F.col("volume") * 200 + F.col("sessions")) / (F.col("sessions") * 2)) / 100.0).otherwise(F.lit(0.0))
@@ -147,25 +152,32 @@ def compared(summary_rows: DataFrame) -> DataFrame:
     return wide.select("site_id", *[F.col(f"cur_{m}").alias(m) for m in metrics], *change)
 
 
-def bucket(unit: str) -> Column:
-    """A time's bucket in site-local time; hours step in absolute time, so a repeated hour stays two."""
-    if unit == "hour":
-        offset = "unix_timestamp(from_utc_timestamp(occurred_at, timezone)) - unix_timestamp(occurred_at)"
-        shift = f"pmod({offset}, 3600)"
-        return F.expr(f"from_utc_timestamp(timestamp_seconds((unix_timestamp(occurred_at) + {shift}) div 3600 * 3600 - {shift}), timezone)")
-    return F.expr(f"date_trunc('{unit}', from_utc_timestamp(occurred_at, timezone))")
+def bucket(unit: str | None, at: str = "occurred_at") -> str:
+    """SQL: a time's bucket in site-local time; hours step in absolute time, so a repeated hour stays two. None: the width is the column unit."""
+    offset = f"unix_timestamp(from_utc_timestamp({at}, timezone)) - unix_timestamp({at})"
+    shift = f"pmod({offset}, 3600)"
+    hour = f"from_utc_timestamp(timestamp_seconds((unix_timestamp({at}) + {shift}) div 3600 * 3600 - {shift}), timezone)"
+    if unit is None:
+        return f"CASE WHEN unit = 'hour' THEN {hour} ELSE date_trunc(unit, from_utc_timestamp({at}, timezone)) END"
+    return hour if unit == "hour" else f"date_trunc('{unit}', from_utc_timestamp({at}, timezone))"
 
 
-def timeseries(scope: DataFrame, bounds: DataFrame, unit: str, filters: dict | None = None) -> DataFrame:
-    """Visitors and volume per bucket of a period, with zeros where nothing happened."""
-    counted = scope.where(predicate(filters)).groupBy("site_id", bucket(unit).alias("bucket")).agg(
+def grid(bounds: DataFrame, unit: str | None) -> DataFrame:
+    """site_id and every bucket of its period, of one width or of each site's own (column unit)."""
+    width = "unit" if unit is None else f"'{unit}'"
+    first = f"date_trunc({width}, from_utc_timestamp(from_ts, timezone))"
+    last = "from_utc_timestamp(to_ts, timezone) - INTERVAL 1 SECOND"
+    days = f"CASE {width} WHEN 'hour' THEN INTERVAL 1 HOUR WHEN 'day' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END"
+    buckets = f"CASE WHEN {width} = 'month' THEN sequence({first}, {last}, INTERVAL 1 MONTH) ELSE sequence({first}, {last}, {days}) END"
+    return bounds.select("site_id", F.explode(F.expr(buckets)).alias("bucket"))
+
+
+def timeseries(scope: DataFrame, bounds: DataFrame, unit: str | None = None, filters: dict | None = None) -> DataFrame:
+    """Visitors and volume per bucket of a period, with zeros where nothing happened. Without a unit, each site's bounds tell its own."""
+    counted = scope.where(predicate(filters)).groupBy("site_id", F.expr(bucket(unit)).alias("bucket")).agg(
         F.countDistinct("visitor_hash").alias("visitors"), volume(filters).alias("volume")
     )
-    step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH"}[unit]
-    first = f"date_trunc('{unit}', from_utc_timestamp(from_ts, timezone))"
-    last = "from_utc_timestamp(to_ts, timezone) - INTERVAL 1 SECOND"
-    grid = bounds.select("site_id", F.explode(F.expr(f"sequence({first}, {last}, {step})")).alias("bucket"))
-    return grid.join(counted, ["site_id", "bucket"], "left").na.fill(0, ["visitors", "volume"])
+    return grid(bounds, unit).join(counted, ["site_id", "bucket"], "left").na.fill(0, ["visitors", "volume"])
 
 
 def realtime(events: DataFrame, now: datetime, seconds: int = 300) -> DataFrame:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quietcount.functions import identity
 from quietcount.operators import rollups
 from quietcount.plans import behaviour, intake, money, traffic
 from quietcount.plans.traffic import stamp
 from quietcount.sources import adapter
 from quietcount.sources import revenue_adapter
 from quietcount.sources.shared import folder
-from quietcount.streaming import jobs
+from quietcount.sources.snapshots import DAY, Snapshots
+from quietcount.streaming import jobs, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +94,71 @@ def stream_hourly_counts(spark, sf_dir):
     rows = adapter.events(spark, sf_dir).select("site_id", "occurred_at")
     base = drained(spark, rows, lambda stream, base: jobs.to_table(jobs.hourly_counts(stream, ["site_id"]), f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select("site_id", stamp("hour"), "n")
+
+
+CARRY_SECONDS = 12 * 3_600
+
+
+@query(
+    "stream_carry_over",
+    f"""WITH {adapter.CTES}, g0 AS (SELECT event_id, site_id, user_id, occurred_at, local_date AS day, 'user-' || user_id AS ip, 'agent ' || user_id % 3 AS ua FROM ev),
+    g1 AS (SELECT *, coalesce(epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER v) >= {CARRY_SECONDS * 1_000_000}, true) AS is_entry,
+      {intake._PAD.format(byte='36')} AS ipad, {intake._PAD.format(byte='5c')} AS opad FROM g0 WINDOW v AS (PARTITION BY site_id, ip, ua ORDER BY occurred_at, event_id)),
+    g2 AS (SELECT *, sum(is_entry::INT) OVER (PARTITION BY site_id, ip, ua ORDER BY occurred_at, event_id) AS nth,
+      left(sha256(opad || unhex(sha256(ipad || encode(site_id::VARCHAR) || from_hex('00') || encode(ip) || from_hex('00') || encode(ua)))), 32) AS visitor_hash FROM g1),
+    g3 AS (SELECT event_id, visitor_hash, is_entry, first(visitor_hash) OVER s AS first_hash, first(epoch_us(occurred_at)) OVER s AS began FROM g2
+      WINDOW s AS (PARTITION BY site_id, ip, ua, nth ORDER BY occurred_at, event_id))
+    SELECT event_id, visitor_hash, is_entry, md5(first_hash || ':' || began) AS session_hash FROM g3""",
+)
+def stream_carry_over(spark, sf_dir):
+    """Sessions of three zones over their midnights: state is kept under hashes that rotate, and expires."""
+    jobs.with_state_store(spark)
+    jobs.drains(spark)
+    rows = adapter.events(spark, sf_dir).select(
+        "event_id", "site_id", "occurred_at", "local_date", F.concat(F.lit("user-"), "user_id").alias("ip"), F.concat(F.lit("agent "), F.col("user_id") % 3).alias("user_agent")
+    )
+    first, last = rows.agg(F.min("local_date"), F.max("local_date")).first()
+    first, last = first or date(2024, 1, 1), last or date(2024, 1, 1)
+    salts = identity.salts(adapter.sites(spark), date.fromordinal(first.toordinal() - 1), (last - first).days + 2, "test secret")
+    # no agent's hash of the day before is of use beyond a day, so the two salts of an event's day are all that is read
+    try:
+        base = drained(spark, rows, lambda stream, base: jobs.to_table(state.carried_sessions(stream, salts, CARRY_SECONDS), f"{base}/out", f"{base}/checkpoint"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return spark.read.parquet(f"{base}/out")
+
+
+LIVE_DAYS = 10
+
+
+@query(
+    "stream_expiring_counts",
+    f"""WITH {adapter.CTES}, h AS (SELECT site_id, event_name AS kind, date_trunc('hour', occurred_at) AS hour, count(*) AS n FROM ev GROUP BY 1, 2, 3)
+    SELECT site_id, kind, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, n FROM h WHERE hour + INTERVAL {LIVE_DAYS} DAY > (SELECT max(occurred_at) - INTERVAL 1 HOUR FROM ev)""",
+)
+def stream_expiring_counts(spark, sf_dir):
+    jobs.with_state_store(spark)
+    rows = adapter.events(spark, sf_dir).select("occurred_at", "site_id", F.col("event_name").alias("kind"))
+    base = drained(spark, rows, lambda stream, base: jobs.to_table(state.expiring_counts(stream, LIVE_DAYS), f"{base}/out", f"{base}/checkpoint"))
+    return state.live_counts(spark.read.parquet(f"{base}/out")).withColumn("hour", stamp("hour"))
+
+
+@query("stream_rollup_keyed", traffic.ORACLES["rollup_hourly"])
+def stream_rollup_keyed(spark, sf_dir):
+    rows = adapter.events(spark, sf_dir).select("occurred_at", "site_id", "event_name", "visitor_hash", "session_hash", "is_entry", "revenue_cents")
+    store = Snapshots(spark, folder(spark))
+    drained(spark, rows, lambda stream, base: state.keyed_rollup(stream, store, f"{base}/checkpoint"))
+    return store.read("hourly").drop(DAY).withColumn("bucket", stamp("bucket"))
+
+
+@query(
+    "stream_active_visitors",
+    f"""WITH {adapter.CTES}, f AS (SELECT site_id, visitor_hash, date_trunc('minute', occurred_at) AS m FROM ev
+      WHERE date_trunc('minute', occurred_at) + INTERVAL 1 MINUTE <= (SELECT max(occurred_at) - INTERVAL 10 MINUTE FROM ev))
+    SELECT strftime(m + to_minutes(i), '%Y-%m-%d %H:%M:%S') AS at, site_id, count(DISTINCT visitor_hash) AS visitors FROM f, range(1, 6) r(i) GROUP BY m + to_minutes(i), site_id""",
+)
+def stream_active_visitors(spark, sf_dir):
+    """Visitors of five minutes, every minute, merged from sketches of the minutes that the watermark has passed. So few visitors are counted exactly by a sketch."""
+    rows = adapter.events(spark, sf_dir).select("occurred_at", "site_id", "visitor_hash")
+    base = drained(spark, rows, lambda stream, base: jobs.to_table(state.active_sketches(stream), f"{base}/out", f"{base}/checkpoint"))
+    return state.active_from_sketches(spark.read.parquet(f"{base}/out")).select(stamp("at"), "site_id", "visitors")

@@ -34,9 +34,9 @@ def scope(spark: SparkSession, sf_dir: str, preset: str = "30d", previous: bool
 
 def bounds_sql(preset: str = "30d") -> str:
     today = "date_trunc('day', (TIMESTAMP '2024-01-30 12:00:00' AT TIME ZONE 'UTC') AT TIME ZONE timezone)"
-    back = {"30d": 29, "7d": 6, "today": 0}[preset]
+    first = f"date_trunc('month', {today} - INTERVAL 11 MONTH)" if preset == "12mo" else f"{today} - INTERVAL {({'30d': 29, '7d': 6, 'today': 0}[preset])} DAY"
     return f"""bounds AS (
-  SELECT *, to_ts - from_ts AS span FROM (SELECT *, (({today} - INTERVAL {back} DAY) AT TIME ZONE timezone) AT TIME ZONE 'UTC' AS from_ts,
+  SELECT *, to_ts - from_ts AS span FROM (SELECT *, (({first}) AT TIME ZONE timezone) AT TIME ZONE 'UTC' AS from_ts,
     (({today} + INTERVAL 1 DAY) AT TIME ZONE timezone) AT TIME ZONE 'UTC' AS to_ts FROM sites)
 )"""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,10 @@ COUNTER_DAYS = 45
 
 
 def beacons(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream of beacon requests from JSON-lines files (body and request columns), parsed."""
-    schema = "event_id long, body string, ip string, user_agent string, origin string, sec_gpc string, dnt string, sec_purpose string, received_at timestamp"
+    """A stream of beacon requests from JSON-lines files (body, query string and request columns), parsed; the query counts where the body is of no use."""
+    schema = "event_id long, body string, query string, ip string, user_agent string, origin string, sec_gpc string, dnt string, sec_purpose string, received_at timestamp"
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return ingest.parsed(raw)
+    return ingest.parsed(raw, query="query")
 
 
 class Sessions(StatefulProcessor):
@@ -46,15 +47,13 @@ class Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # the rows of one key in one batch: what one visitor sent within a trigger
         frame = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        last, number = self.state.get() if self.state.exists() else (None, 0)
-        entries, numbers = [], []
-        for micros in frame["micros"]:
-            entry = last is None or micros - last >= TIMEOUT_SECONDS * 1_000_000
-            number += entry
-            last = micros if last is None else max(last, micros)
-            entries.append(entry)
-            numbers.append(number)
-        self.state.update((int(last), int(number)))
+        micros = frame["micros"].to_numpy()
+        gap = TIMEOUT_SECONDS * 1_000_000
+        last, number = self.state.get() if self.state.exists() else (micros[0] - gap, 0)
+        latest = np.maximum.accumulate(np.concatenate([[last], micros]))  # an event may be older than one of an earlier batch
+        entries = micros - latest[:-1] >= gap
+        numbers = number + np.cumsum(entries)
+        self.state.update((int(latest[-1]), int(numbers[-1])))
         yield pd.DataFrame({"event_id": frame["event_id"], "is_entry": entries, "session_number": numbers})
 
     def close(self) -> None:
@@ -64,8 +63,7 @@ class Sessions(StatefulProcessor):
 def sessions(events: DataFrame, keys: list[str], days: int | None = STATE_DAYS) -> DataFrame:
     """event_id, is_entry, session_number of a stream; needs the RocksDB state store (see `with_state_store`).
 
-    State expires after `days`, by the clock. None keeps it, for queries that drain what is available and end: with expiry
-    such a query was not seen to end."""
+    State expires after `days`, by the clock. None keeps it. With expiry, a query that drains what is available and ends needs `drains`."""
     rows = events.withColumn("micros", F.unix_micros("occurred_at")).select(*keys, "event_id", "micros")
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Sessions(days), outputStructType="event_id long, is_entry boolean, session_number long",
@@ -77,6 +75,11 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+def drains(spark: SparkSession) -> None:
+    """Lets queries with expiring state end when they have taken what is available; otherwise Spark plans empty batches for them without end."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def incremental_rollup(events: DataFrame, table: str, out: str, checkpoint: str, aggregate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Appends each batch to the event table and makes the rollup days that it touches anew.
 
