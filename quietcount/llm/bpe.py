@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from quietcount.llm.common import documents, in_arrow
 
-CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 200_000, 300_000, 1024
+CACHE_WORDS, CACHE_PAIRS, BLOCK_ROWS = 150_000, 200_000, 512
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary file's pattern for pieces of a word.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -124,7 +124,7 @@ class WordBpe:
                 self.sizes[n] = len(token)
         self.match_suffixes()
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.texts = pa.array([self.text.get(i, "") for i in range(max(self.text) + 1)], pa.string())
 
     def match_suffixes(self) -> None:
@@ -254,17 +254,17 @@ class WordBpe:
             known.clear()
         new = [w for w in words if w not in known]
         pieces = [[w.encode()] if w.isalpha() else [p.encode() for p in self.pieces.findall(w)] for w in new]
-        coded = self.encode_words(set(chain.from_iterable(pieces)))
+        coded = {p: array("i", ids).tobytes() for p, ids in self.encode_words(set(chain.from_iterable(pieces))).items()}
         for w, ps in zip(new, pieces, strict=True):
-            known[w] = coded[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in coded[p])
+            known[w] = coded[ps[0]] if len(ps) == 1 else b"".join([coded[p] for p in ps])
 
-    def encode(self, texts: list[str | None]) -> list[array]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.chunks(t or "") for t in texts]
         self.learn({w for w in set(chain.from_iterable(split)) if isinstance(w, str)})
         known, out = self.words, []
         for t, ws in zip(texts, split, strict=True):
-            coded = (known[w] if isinstance(w, str) else (w,) for w in ws) if "<|" in (t or "") else map(known.__getitem__, ws)
-            out.append(array("i", chain.from_iterable(coded)))
+            coded = [known[w] if isinstance(w, str) else array("i", [w]).tobytes() for w in ws] if "<|" in (t or "") else map(known.__getitem__, ws)
+            out.append(np.frombuffer(b"".join(coded), np.int32))
         return out
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
@@ -297,7 +297,7 @@ def encode(
                 part = batch.slice(at, BLOCK_ROWS)
                 coded = bpe.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.frombuffer(c, np.int32) for c in coded])))
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))
                 columns = [part.column(0), ids] + ([bpe.decode(ids)] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
