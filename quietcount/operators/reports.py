@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietcount.functions.filters import DIMENSIONS, cleaned, predicate, qualified, volume
-from quietcount.functions.suppression import percent, suppress
+from quietcount.functions.suppression import percent, top
 from quietcount.schema import PAGEVIEW
 
 NULLS_LAST = "value"
@@ -58,17 +58,12 @@ def panels(scope: DataFrame, dimensions: list[str], filters: dict | None = None,
     # two steps: a visitor counts once per value, and only sums meet in the second
     by_visitor = long.groupBy("site_id", "k", "dimension", "value", "visitor_hash").agg(volume(filters).alias("n"))
     counted = by_visitor.groupBy("site_id", "k", "dimension", "value").agg(F.count(F.lit(1)).alias("visitors"), F.sum("n").alias("volume"))
-    w = Window.partitionBy("site_id")
-    counted = counted.withColumn("total_visitors", F.max(F.when(F.col("dimension") == "", F.col("visitors"))).over(w)).where("dimension <> ''")
-    return ranked(counted, ["site_id", "dimension"], limit)
+    return ranked(counted, ["site_id", "dimension"], limit, "dimension")
 
 
-def ranked(counted: DataFrame, panel: list[str], limit: int) -> DataFrame:
-    """Suppression, percentages and the top rows of each panel."""
-    value = F.col("value").asc_nulls_last()
-    rows = suppress(counted, panel, [F.col("volume").desc(), value]).where("NOT withheld")
-    order = Window.partitionBy(*panel).orderBy(F.col("visitors").desc(), F.col("volume").desc(), value)
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+def ranked(counted: DataFrame, panel: list[str], limit: int, total_in: str | None = None) -> DataFrame:
+    """Suppression, percentages and the top rows of each panel (total_in: see `top`; else rows have total_visitors)."""
+    rows = top(counted, panel, limit, total_in=total_in)
     share = percent(F.col("visitors"), F.col("total_visitors")).alias("percentage")
     return rows.select(*panel, "value", "visitors", "volume", share, "rank", "withheld_rows", "withheld_visitors")
 
@@ -89,13 +84,12 @@ def breakdown(scope: DataFrame, dimension: str, filters: dict | None = None, lim
 def property_breakdown(scope: DataFrame, filters: dict | None = None, limit: int = 10) -> DataFrame:
     """Visitors and events per property key and value; keys are ranked by their kept visitors."""
     rows = scope.where(predicate(filters)).select("site_id", "k", "visitor_hash", F.explode("props").alias("key", "value"))
-    counted = rows.groupBy("site_id", "k", "key", "value").agg(F.countDistinct("visitor_hash").alias("visitors"), F.count(F.lit(1)).alias("volume"))
-    panel = ["site_id", "key"]
-    kept = suppress(counted, panel, [F.col("volume").desc(), F.col("value").asc_nulls_last()]).where("NOT withheld")
-    order = Window.partitionBy(*panel).orderBy(F.col("visitors").desc(), F.col("volume").desc(), F.col("value").asc_nulls_last())
-    kept = kept.withColumn("key_visitors", F.sum("visitors").over(Window.partitionBy(*panel))).withColumn("rank", F.row_number().over(order))
-    keys = Window.partitionBy("site_id").orderBy(F.col("key_visitors").desc(), "key")
-    kept = kept.withColumn("key_rank", F.dense_rank().over(keys)).where(F.col("rank") <= limit)
+    by_visitor = rows.groupBy("site_id", "k", "key", "value", "visitor_hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_visitor.groupBy("site_id", "k", "key", "value").agg(F.count(F.lit(1)).alias("visitors"), F.sum("n").alias("volume"))
+    kept = top(counted, ["site_id", "key"], limit)
+    # limit rows of each key at most are numbered
+    keys = Window.partitionBy("site_id").orderBy(F.col("kept_visitors").desc(), "key")
+    kept = kept.withColumn("key_rank", F.dense_rank().over(keys))
     return kept.select("site_id", "key", "key_rank", "value", "visitors", "volume", "rank", "withheld_rows", "withheld_visitors")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quietcount.functions.filters import predicate, qualified
 from quietcount.functions.matchers import Matcher, any_of
-from quietcount.functions.suppression import percent, suppress
+from quietcount.functions.suppression import percent, top
 from quietcount.schema import PAGEVIEW
 
 DAY, MONTH = 86_400, 30 * 86_400
@@ -98,8 +98,73 @@ def funnel_report(counts: DataFrame) -> DataFrame:
     )
 
 
+def all_counts(events: DataFrame, bounds: DataFrame, funnels: list[Funnel], pruned: tuple[datetime, datetime] | None = None, filters: dict | None = None) -> DataFrame:
+    """site_id, funnel_id, step, visitors of many funnels in one scan and one shuffle of the events.
+
+    Every step of every funnel has a bit in a mask (an array of longs, 32 steps each); an event tells the bits that it matches and
+    whether it lies in its site's period. One fold over a visitor's instants carries the times that each funnel has reached: it
+    enters a funnel at its first instant in the period, and goes on as `funnel_counts` does. pruned: times that hold all periods.
+    """
+    width = 32
+    steps_of = [(f, i, any_of(list(s))) for f in funnels for i, s in enumerate(f.steps)]
+    place = {(f.funnel_id, i): n for n, (f, i, _) in enumerate(steps_of)}
+    if pruned:
+        last = pruned[1] + timedelta(seconds=max((len(f.steps) - 1) * f.window_seconds for f in funnels))
+        events = events.where((F.col("occurred_at") >= F.lit(pruned[0])) & (F.col("occurred_at") <= F.lit(last)))
+        if "event_date" in events.columns:
+            events = events.where((F.col("event_date") >= F.lit(pruned[0].date())) & (F.col("event_date") <= F.lit(last.date())))
+    ranges = bounds.select("site_id", "from_ts", "to_ts")
+    words = []
+    for w in range(0, len(steps_of), width):
+        bits = [F.when(m, F.lit(1 << (n - w)).cast("long")).otherwise(F.lit(0).cast("long")) for n, (_, _, m) in list(enumerate(steps_of))[w : w + width]]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
+    names = [f"w{i}" for i in range(len(words))]
+    matched = events.drop("from_ts", "to_ts").join(ranges, "site_id").where(F.col("occurred_at") >= F.col("from_ts"))
+    matched = matched.select("site_id", "visitor_hash", "occurred_at", (F.col("occurred_at") < F.col("to_ts")).alias("inside"), F.coalesce(predicate(filters), F.lit(False)).alias("own"), *[w.alias(n) for w, n in zip(words, names, strict=True)])
+    any_bit = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
+    # an entry needs an event of the period that fulfils the filters, the later steps don't
+    enters = [F.when(F.col("inside") & F.col("own"), F.col(n)).otherwise(F.lit(0).cast("long")).alias(f"e{n}") for n in names]
+    hits = matched.where(any_bit).select("site_id", "visitor_hash", F.unix_micros("occurred_at").alias("t"), *names, *enters)
+    instants = hits.groupBy("site_id", "visitor_hash", "t").agg(*[F.bit_or(n).alias(n) for n in (*names, *[f"e{n}" for n in names])])
+    cells = F.struct("t", F.array(*names).alias("w"), F.array(*[f"e{n}" for n in names]).alias("e"))
+    paths = instants.groupBy("site_id", "visitor_hash").agg(F.sort_array(F.collect_list(cells)).alias("path"))
+
+    def has(mask: str, funnel: Funnel, step: int) -> str:
+        n = place[funnel.funnel_id, step]
+        return f"(x.{mask}[{n // width}] & {1 << (n % width)}L) > 0"
+
+    def fold(f: Funnel) -> str:
+        tests = " ".join(f"WHEN {i} THEN {has('w', f, i)}" for i in range(1, len(f.steps)))
+        entered = f"CASE WHEN size(r) = 0 AND {has('e', f, 0)} THEN array(x.t) ELSE r END"
+        went_on = f"""aggregate(sequence(1, {len(f.steps) - 1}), {entered}, (q, i) -> CASE WHEN size(q) = i AND i > 0 AND (CASE i {tests} END)
+            AND x.t <= q[i - 1] + {f.window_seconds * 1_000_000}L THEN concat(q, array(x.t)) ELSE q END)"""
+        return f"size(aggregate(path, cast(array() AS array<bigint>), (r, x) -> {went_on}))"
+
+    reached = paths.select("site_id", *[F.expr(fold(f)).alias(f"r{n}") for n, f in enumerate(funnels)])
+    sums = [F.count_if(F.col(f"r{n}") > i).alias(f"c{n}_{i}") for n, f in enumerate(funnels) for i in range(len(f.steps))]
+    counted = reached.groupBy("site_id").agg(*sums)
+    long = [F.struct(F.lit(f.funnel_id).alias("funnel_id"), F.lit(i).alias("step"), F.col(f"c{n}_{i}").alias("visitors")) for n, f in enumerate(funnels) for i in range(len(f.steps))]
+    return counted.select("site_id", F.explode(F.array(*long)).alias("c")).select("site_id", "c.*")
+
+
+def funnel_summaries_at_once(events: DataFrame, bounds: DataFrame, funnels: list[Funnel], pruned: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """`funnel_summaries` of the bounds' sites and periods, from one scan for all funnels."""
+    good = [f for f in funnels if f.valid]
+    cells = [F.struct(F.lit(f.funnel_id).alias("funnel_id"), F.lit(f.valid).alias("valid"), F.lit(f.exceeds_identity).alias("exceeds_identity"), F.lit(len(f.steps) - 1).alias("last"), F.lit(f.site_id).cast("long").alias("only")) for f in funnels]
+    listed = bounds.select("site_id", F.explode(F.array(*cells)).alias("f")).select("site_id", "f.*").where("only IS NULL OR only = site_id")
+    if not good:
+        none = F.lit(None).cast("long")
+        return listed.select("site_id", "funnel_id", "valid", "exceeds_identity", none.alias("entered"), none.alias("completed"), F.lit(None).cast("double").alias("rate"))
+    ends = all_counts(events, bounds, good, pruned).join(listed.where("valid").select("site_id", "funnel_id", "last"), ["site_id", "funnel_id"])
+    ends = ends.groupBy("site_id", "funnel_id").agg(F.max(F.when(F.col("step") == 0, F.col("visitors"))).alias("entered"), F.max(F.when(F.col("step") == F.col("last"), F.col("visitors"))).alias("completed"))
+    out = listed.join(ends, ["site_id", "funnel_id"], "left")
+    entered, completed = (F.when(F.col("valid"), F.coalesce(c, F.lit(0))) for c in ("entered", "completed"))
+    out = out.withColumns({"entered": entered, "completed": completed})
+    return out.select("site_id", "funnel_id", "valid", "exceeds_identity", "entered", "completed", F.when(F.col("valid"), percent(F.col("completed"), F.col("entered"))).alias("rate"))
+
+
 def funnel_summaries(events: DataFrame, scope: DataFrame, sites: DataFrame, funnels: list[Funnel], period: tuple[datetime, datetime] | None = None) -> DataFrame:
-    """Every funnel of every site with its entry, completions and rate; null where it can't be reported."""
+    """Every funnel of every site with its entry, completions and rate; null where it can't be reported. The plain form, funnel by funnel."""
     parts = []
     for f in funnels:
         listed = sites.where(F.col("site_id") == f.site_id) if f.site_id is not None else sites
@@ -160,10 +225,7 @@ def flow(step_rows: DataFrame, prefix: list[tuple[str, str]], direction: str = "
     )
     total = matched.groupBy("site_id").agg(F.countDistinct("visitor_hash").alias("total"))
     branches = branches.join(total, "site_id")
-    ties = [F.col("sessions").desc(), F.col("value").asc_nulls_last(), F.col("kind").asc_nulls_last()]
-    kept = suppress(branches, ["site_id"], ties).where("NOT withheld")
-    order = Window.partitionBy("site_id").orderBy(F.col("visitors").desc(), *ties)
-    kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    kept = top(branches, ["site_id"], limit, "sessions", ("value", "kind"))
     return kept.select(
         "site_id", "kind", "value", "visitors", "sessions", "total", percent(F.col("visitors"), F.col("total")).alias("percentage"),
         "rank", "withheld_rows", "withheld_visitors",

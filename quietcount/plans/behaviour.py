@@ -81,6 +81,11 @@ def _summary_sql(fid: int, masks: list[str], window: int, long: bool) -> str:
     SELECT * FROM {_summary_sql(3, ["event_name = 'pageview' AND path = '/p/2'", "event_name <> 'pageview' AND starts_with(event_name, 'Pur')"], 200000, True)}""",
 )
 def funnel_summaries(spark, sf_dir):
+    return sequences.funnel_summaries_at_once(adapter.events(spark, sf_dir), bounds(spark), [FUNNEL, SHORT, LONG], widest("30d", NOW))
+
+
+@query("funnel_summaries_one_by_one", ORACLES["funnel_summaries"])
+def funnel_summaries_one_by_one(spark, sf_dir):
     return sequences.funnel_summaries(adapter.events(spark, sf_dir), scope(spark, sf_dir), adapter.sites(spark), [FUNNEL, SHORT, LONG], widest("30d", NOW))
 
 
