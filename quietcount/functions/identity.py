@@ -82,6 +82,53 @@ def with_country(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFram
     return numbered.join(blocks, hit, "left").drop("_n", "_b", "block", "first_ip", "last_ip")
 
 
+def hex_address(ip: str = "ip") -> Column:
+    """An IPv6 address as its 32 hexadecimal digits, so that order and prefixes are those of the text; null for anything else."""
+    octets = "regexp_extract_all(regexp_extract(lower({ip}), '[0-9.]+$', 0), '[0-9]+', 0)"
+    tail = f"transform(array({octets.format(ip=ip)}), o -> concat(lower(hex(cast(o[0] AS int) * 256 + cast(o[1] AS int))), ':', lower(hex(cast(o[2] AS int) * 256 + cast(o[3] AS int)))))[0]"
+    mapped = f"lower({ip}) RLIKE ':(?:[0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$'"
+    text = f"CASE WHEN {mapped} THEN concat(regexp_extract(lower({ip}), '^(.*:)[0-9.]+$', 1), {tail}) ELSE lower({ip}) END"
+    groups = "filter(split({}, ':'), g -> g <> '')"
+    padded = "array_join(transform({}, g -> lpad(g, 4, '0')), '')"
+    left, right = groups.format("substring_index(a, '::', 1)"), groups.format("CASE WHEN a LIKE '%::%' THEN substring(a, instr(a, '::') + 2) ELSE '' END")
+    short = f"size({left}) + size({right})"
+    whole = f"concat({padded.format(left)}, CASE WHEN a LIKE '%::%' THEN repeat('0000', 8 - ({short})) ELSE '' END, {padded.format(right)})"
+    good = f"a RLIKE '^[0-9a-f:]+$' AND a LIKE '%:%' AND NOT a RLIKE '[0-9a-f]{{5}}' AND NOT a LIKE '%:::%' AND NOT a LIKE '%::%::%' AND CASE WHEN a LIKE '%::%' THEN {short} <= 7 ELSE {short} = 8 AND NOT a RLIKE '^:|:$' END"
+    return F.expr(f"transform(array({text}), a -> CASE WHEN {good} THEN {whole} END)[0]")
+
+
+def prefix_of(digits: str, bits: str) -> str:
+    """SQL: the first `bits` bits of hexadecimal digits, the rest of the last digit cleared."""
+    last = f"lower(hex(cast(conv(substring({digits}, {bits} div 4 + 1, 1), 16, 10) AS int) & (16 - shiftleft(1, 4 - {bits} % 4))))"
+    return f"concat(substring({digits}, 1, {bits} div 4), CASE WHEN {bits} % 4 > 0 THEN {last} ELSE '' END)"
+
+
+def with_country6(rows: DataFrame, prefixes: DataFrame, ip: str = "ip") -> DataFrame:
+    """rows with country_code (where they have none yet) of their IPv6 addresses, from nested prefixes (network, bits, country,
+    registered_country): the longest that holds an address counts.
+
+    Each distinct address is looked up once for every length that the table has (a few dozen at most) by equal keys; no range is
+    tested. Addresses of a hot prefix meet one table row each, and rows take their address's country by a join that Spark sizes."""
+    table = prefix_table(prefixes)
+    lengths = sorted(r[0] for r in table.select("bits").distinct().collect())  # 129 at most
+    is6 = F.col(ip).contains(":")
+    addresses = rows.where(is6).select(F.col(ip).alias("_ip")).distinct().withColumn("digits", hex_address("_ip")).where("digits IS NOT NULL")
+    tried = addresses.select("_ip", "digits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("bits"))
+    hit = tried.withColumn("prefix", F.expr(prefix_of("digits", "bits"))).join(table, ["bits", "prefix"])
+    best = hit.groupBy("_ip").agg(F.max_by("found", "bits").alias("_found"))
+    # other rows get keys that find nothing, spread, so that they don't meet in one task
+    key = F.when(is6, F.col(ip)).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64(*[c for c in rows.columns if c == ip or c == "event_id"]), F.lit(4096)).cast("string")))
+    country = F.coalesce("country_code", "_found") if "country_code" in rows.columns else F.col("_found")
+    return rows.withColumn("_key", key).join(best, F.col("_key") == F.col("_ip"), "left").withColumn("country_code", country).drop("_key", "_ip", "_found")
+
+
+def prefix_table(prefixes: DataFrame) -> DataFrame:
+    """Networks as text (2001:db8::) with their bits, keyed for the look-up; of equal networks the first country in the alphabet counts."""
+    rows = prefixes.withColumn("digits", hex_address("network")).withColumn("found", F.upper(F.coalesce("country", "registered_country")))
+    keyed = rows.where("digits IS NOT NULL AND bits BETWEEN 0 AND 128").select(F.expr(prefix_of("digits", "bits")).alias("prefix"), F.col("bits").cast("int").alias("bits"), "found")
+    return keyed.groupBy("prefix", "bits").agg(F.min("found").alias("found"))
+
+
 #: User-agent rules, tried in order: pattern of the name with its version, and name.
 BROWSERS = ((r"Edg(?:e|A|iOS)?/(\d+)", "Microsoft Edge"), (r"OPR/(\d+)", "Opera"), (r"SamsungBrowser/(\d+)", "Samsung Browser"), (r"Firefox/(\d+)", "Firefox"),
             (r"FxiOS/(\d+)", "Firefox Mobile iOS"), (r"CriOS/(\d+)", "Chrome Mobile iOS"), (r"Chrome/(\d+)", "Chrome"), (r"Version/(\d+)[^ ]* .*Safari", "Safari"))

@@ -88,11 +88,11 @@ def sessionised(rows: DataFrame, keys: list[str], seconds: int = 1_800, order: s
     return marked.withColumn("session_number", F.sum(F.col("is_entry").cast("int")).over(w))
 
 
-def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges: DataFrame, templates: dict[int, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges: DataFrame, templates: dict[int, list[str]] | None = None, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of parsed beacons with request columns ip, user_agent, origin, sec_gpc, dnt, sec_purpose, received_at, event_id.
 
     Order: privacy gates, contract, site, bots, hostname policy; then identity, sessions, paths, referrers. Rejects
-    carry site_id, occurred_at, reason and offending_host.
+    carry site_id, occurred_at, reason and offending_host. prefixes: countries of IPv6 networks.
     """
     dims = sites.select("site_id", "public_token", "domain", "timezone", "extra_hostnames", "enforce_hostname")
     rows = beacons.withColumn("occurred_at", F.col("received_at")).withColumn("url_host", hosts.url_part("u", "HOST"))
@@ -106,7 +106,8 @@ def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges
     judged = rows.withColumn("reason", reason).withColumn("offending_host", F.when(F.col("reason").isin("origin_mismatch", "hostname_mismatch"), policy["offending_host"]))
     rejects = judged.where("reason IS NOT NULL").select("event_id", "site_id", "occurred_at", "reason", "offending_host", "errors")
     good = judged.where("reason IS NULL").withColumn("local_date", F.expr("to_date(from_utc_timestamp(occurred_at, timezone))"))
-    good = identity.with_normal_address(identity.with_country(good, ranges))
+    good = identity.with_country(good, ranges)
+    good = identity.with_normal_address(identity.with_country6(good, prefixes) if prefixes is not None else good)
     good = sessionised(good, ["site_id", "ip", "user_agent"])
     good = good.join(salt_table, ["site_id", "local_date"]).withColumn("visitor_hash", identity.visitor_hash())
     # the session's id is the visitor's hash of its first event with its number, so the raw key goes no further

@@ -240,3 +240,30 @@ def site_erasure(spark, sf_dir):
 def purge_counts(spark, sf_dir):
     gone = tables.purge(adapter.events(spark, sf_dir), 1, datetime(2024, 1, 3), datetime(2024, 1, 9), "/p/1")[1]
     return gone.withColumn("day", F.col("day").cast("string"))
+
+
+_PREFIXES = (("2001:db8::", 32, "de", None), ("2001:DB8:40::", 42, "fr", "de"), ("2001:db8:50::", 47, None, "in"), ("2001:db8:51::", 48, "us", None), ("2001:db8:51:8000::", 49, "gb", None), ("::ffff:10.0.0.0", 104, "nl", None))
+
+
+@query(
+    "countries_of_mixed_addresses",
+    f"""WITH a AS (SELECT event_id, user_id % 128 AS g, event_id % 65536 AS h, event_id % 4 AS form FROM events)
+    SELECT event_id, CASE form WHEN 0 THEN '10.' || g % 6 || '.' || event_id % 256 || '.7' WHEN 1 THEN '2001:db8:' || lower(hex(g)) || ':' || lower(hex(h)) || '::1' WHEN 2 THEN '2001:0DB8:' || hex(g) || ':' || hex(h) || ':0:0:0:2'
+        ELSE CASE WHEN g % 2 = 0 THEN '::ffff:10.1.2.' || g ELSE '2a00::' || lower(hex(h)) END END AS ip,
+      CASE WHEN form = 0 THEN CASE WHEN g % 6 = 0 THEN 'DE' WHEN g % 6 = 1 THEN 'FR' WHEN g % 6 = 2 THEN NULL ELSE 'IN' END
+        WHEN form = 3 THEN CASE WHEN g % 2 = 0 THEN 'NL' END
+        WHEN g = 81 THEN CASE WHEN h >= 32768 THEN 'GB' ELSE 'US' END WHEN g = 80 THEN 'IN' WHEN g BETWEEN 64 AND 127 THEN 'FR' ELSE 'DE' END AS country_code FROM a""",
+)
+def countries_of_mixed_addresses(spark, sf_dir):
+    """IPv4 by ranges, IPv6 by nested prefixes, in several ways of writing."""
+    g, h = F.col("user_id") % 128, F.col("event_id") % 65_536
+    hexed = lambda c: F.lower(F.hex(c))
+    form = F.col("event_id") % 4
+    other = F.when(g % 2 == 0, F.concat(F.lit("::ffff:10.1.2."), g)).otherwise(F.concat(F.lit("2a00::"), hexed(h)))
+    ip = F.when(form == 0, F.concat_ws(".", F.lit(10), g % 6, F.col("event_id") % 256, F.lit(7))).when(form == 1, F.concat(F.lit("2001:db8:"), hexed(g), F.lit(":"), hexed(h), F.lit("::1"))).when(
+        form == 2, F.concat(F.lit("2001:0DB8:"), F.hex(g), F.lit(":"), F.hex(h), F.lit(":0:0:0:2"))
+    ).otherwise(other)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ip.alias("ip"))
+    table = ", ".join(f"('{n}', {b}, {c and repr(c) or 'NULL'}, {r and repr(r) or 'NULL'})" for n, b, c, r in _PREFIXES)
+    prefixes = spark.sql(f"SELECT * FROM VALUES {table} AS t(network, bits, country, registered_country)")
+    return identity.with_country6(identity.with_country(rows, intake.ranges(spark)), prefixes)
