@@ -77,7 +77,9 @@ _INTAKE = f"""known(host, name, channel) AS (VALUES {_KNOWN}),
       CASE WHEN page_id % 10 = 0 THEN NULL ELSE ['DE', 'FR', NULL, 'IN'][1 + page_id % 4] END AS country_code, TIMESTAMP '2024-01-01' + to_seconds((page_id * 420 % (20 * 86400))::BIGINT) AS moment,
       lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, CASE WHEN page_id % 23 <> 0 THEN site END AS site_id FROM pages),
     jd AS (SELECT rq.* EXCLUDE (site_id), st.*, regexp_replace(h, '^www[.]', '') AS bare,
-      concat_ws(',', CASE WHEN nobody THEN 's' END, CASE WHEN url IS NULL OR length(url) > 2048 OR NOT regexp_matches(url, '^(?i:https?)://') OR h = '' THEN 'u' END) AS errors FROM rq LEFT JOIN st ON rq.site_id = st.site_id),
+      concat_ws(',', CASE WHEN nobody THEN 's' END, CASE WHEN url IS NULL OR length(url) > 2048 OR NOT regexp_matches(url, '^(?i:https?)://') OR h = '' THEN 'u' END,
+        CASE WHEN id % 29 = 0 THEN 'n' END, CASE WHEN id % 37 = 0 THEN 'r' END, CASE WHEN id % 43 = 0 THEN 'w' END, CASE WHEN id % 47 = 0 OR id % 53 = 0 THEN 'p' END,
+        CASE WHEN id % 59 = 0 AND id % 61 <> 0 THEN 'c' END, CASE WHEN id % 67 = 0 AND id % 61 <> 0 THEN 'v' END, CASE WHEN id % 61 = 0 THEN 'c:required' END) AS errors FROM rq LEFT JOIN st ON rq.site_id = st.site_id),
     js AS (SELECT *, bare = domain OR ends_with(bare, '.' || domain) OR coalesce(bare = extra OR ends_with(bare, '.' || extra), false) AS own FROM jd),
     vd AS (SELECT *, CASE WHEN opted THEN 'opted_out' WHEN errors <> '' THEN 'invalid' WHEN site_id IS NULL THEN 'unknown_site' WHEN agent = 4 THEN 'bot'
       WHEN enforce AND foreign_origin THEN 'origin_mismatch' WHEN enforce AND NOT own THEN 'hostname_mismatch' END AS reason FROM js),

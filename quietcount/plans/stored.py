@@ -11,7 +11,7 @@ from quietcount.functions.period import site_bounds, widest
 from quietcount.operators import lifecycle, reports, rollups, routing
 from quietcount.plans.intake import _CUT
 from quietcount.plans.traffic import NOW, PAGES, bounds, series_sql, stamp, summary_sql
-from quietcount.sources import adapter
+from quietcount.sources import adapter, tables
 from quietcount.sources.adapter import CTES
 from quietcount.sources.shared import folder, stored
 from quietcount.sources.snapshots import DAY, Snapshots
@@ -128,3 +128,36 @@ def timeseries_routed_site_units(spark, sf_dir):
     ev = adapter.events(spark, sf_dir)
     out = routing.timeseries(ev, stored(rollups.visitor_days(ev), "visitor_days"), mixed_bounds(spark))
     return out.select("site_id", stamp("bucket"), "visitors", "volume")
+
+
+@query(
+    "events_scanned",
+    f"WITH {CTES} SELECT event_id, site_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at, visitor_hash, path FROM ev WHERE site_id IN (1, 3) AND occurred_at >= TIMESTAMP '2024-01-05 06:00:00' AND occurred_at < TIMESTAMP '2024-01-08 18:00:00'",
+)
+def events_scanned(spark, sf_dir):
+    """Events written by day and site, and read back for two sites and a range of times."""
+    path = f"{folder(spark)}/events"
+    ev = adapter.events(spark, sf_dir).drop("local_date")
+    tables.write_events(ev, path)
+    rows = tables.scan_events(spark, path, ev.schema, [1, 3], datetime(2024, 1, 5, 6), datetime(2024, 1, 8, 18))
+    return rows.select("event_id", "site_id", stamp("occurred_at"), "visitor_hash", "path")
+
+
+@query(
+    "dead_letters",
+    f"""WITH {CTES}, b AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN occurred_at END AS occurred_at, CASE WHEN event_id % 11 <> 0 THEN site_id END AS site_id,
+      CASE WHEN event_id % 5 = 0 THEN lower(country_code) ELSE country_code END AS country_code, CASE WHEN event_id % 13 = 0 THEN 'US' ELSE currency END AS currency FROM ev),
+    e AS (SELECT event_id, concat_ws(',', CASE WHEN occurred_at IS NULL THEN 'occurred_at' END, CASE WHEN site_id IS NULL THEN 'site_id' END,
+      CASE WHEN NOT regexp_matches(country_code, '^[A-Z]{{2}}$') THEN 'country_code' END, CASE WHEN NOT regexp_matches(currency, '^[A-Z]{{3}}$') THEN 'currency' END) AS errors FROM b)
+    SELECT errors, count(*) AS n, sum(event_id)::BIGINT AS event_ids FROM e GROUP BY 1""",
+)
+def dead_letters(spark, sf_dir):
+    """Rows with faults put in, split into those that can be stored and those that can't; each row is in one table."""
+    bad = lambda n: F.col("event_id") % n == 0
+    rows = adapter.events(spark, sf_dir).select(
+        "event_id", F.when(~bad(7), F.col("occurred_at")).alias("occurred_at"), F.when(~bad(11), F.col("site_id")).alias("site_id"),
+        F.when(bad(5), F.lower("country_code")).otherwise(F.col("country_code")).alias("country_code"), F.when(bad(13), "US").otherwise(F.col("currency")).alias("currency"),
+    )
+    good, dead = tables.split_storable(rows, tables.row_errors())
+    both = good.select("event_id", F.lit("").alias("errors")).unionByName(dead.select("event_id", F.array_join("errors", ",").alias("errors")))
+    return both.groupBy("errors").agg(F.count("*").alias("n"), F.sum("event_id").alias("event_ids"))

@@ -44,22 +44,28 @@ def salt_table(spark: SparkSession) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, body (JSON), received_at and request columns."""
+    """event_id, body (JSON), received_at and request columns. Some bodies break the contract, each field of it somewhere."""
+    breaks = lambda n: F.col("page_id") % n == 0
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     site = F.when(F.col("page_id") % 5 == 0, 1).when(F.col("url").contains("example.net"), 2).when(F.col("url").contains("example.org"), 3).otherwise(1)
     body = F.struct(
         F.when(F.col("page_id") % 23 == 0, "nobody").otherwise(F.concat(F.lit("sitetoken000000"), site)).alias("s"), F.col("url").alias("u"),
-        F.when(F.col("page_id") % 9 == 0, "Signup").alias("n"), _pick(REFERRERS).alias("r"),
-        F.when(F.col("page_id") % 31 == 0, "wide").otherwise((F.col("page_id") * 37 % 1500).cast("string")).alias("w"),
+        F.when(breaks(29), F.repeat(F.lit("n"), F.lit(121))).when(breaks(9), "Signup").alias("n"),
+        F.when(breaks(37), F.concat(F.lit("https://a.test/"), F.repeat(F.lit("r"), F.lit(2048)))).otherwise(_pick(REFERRERS)).alias("r"),
+        F.when(breaks(43), "20001").when(F.col("page_id") % 31 == 0, "wide").otherwise((F.col("page_id") * 37 % 1500).cast("string")).alias("w"),
         F.create_map(F.lit("k"), (F.col("page_id") % 10).cast("string")).alias("p"),
-        F.when(F.col("page_id") % 11 == 0, "usd").alias("c"), F.when(F.col("page_id") % 11 == 0, F.col("page_id").cast("string")).alias("v"),
+        F.when(~breaks(61), F.when(breaks(59), "US1").when(breaks(11) | breaks(67), "usd")).alias("c"),
+        F.when(breaks(61), "5").when(breaks(67), "-5").when(breaks(11), F.col("page_id").cast("string")).alias("v"),
     )
+    # properties that are a list, and one that is an object
+    text = F.to_json(body)
+    text = F.when(breaks(47), F.regexp_replace(text, r'"p":\{[^}]*\}', '"p":[1,2]')).when(breaks(53), F.regexp_replace(text, r'"p":\{[^}]*\}', '"p":{"k":{}}')).otherwise(text)
     ip = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("2001:db8:0:1::"), F.hex(F.col("page_id") % 50))).otherwise(
         F.concat_ws(".", F.lit(10), F.col("page_id") % 4, F.col("page_id") % 20, F.lit(7))
     )
     flag = lambda n: F.when(F.col("page_id") % n == 0, "1")
     return p.select(
-        F.col("page_id").alias("event_id"), F.to_json(body).alias("body"), ip.alias("ip"), _pick(AGENTS).alias("user_agent"),
+        F.col("page_id").alias("event_id"), text.alias("body"), ip.alias("ip"), _pick(AGENTS).alias("user_agent"),
         F.when(F.col("page_id") % 13 == 0, "https://evil.test").alias("origin"), flag(17).alias("sec_gpc"), flag(41).alias("dnt"),
         F.when(F.col("page_id") % 19 == 0, "prefetch").alias("sec_purpose"),
         F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, page_id * 420 % (20 * 86400))").alias("received_at"),
