@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +85,26 @@ class Widget:
     funnel: sequences.Funnel | None = None
 
 
+def stat_widgets(scope: DataFrame, widgets: list[Widget], bounds: DataFrame) -> DataFrame:
+    """widget_id, site_id, and each metric of the period beside its change, of all stat widgets; those of equal filters share a summary.
+
+    scope tells its windows (scoped(previous=True))."""
+    groups: dict[tuple, list[int]] = {}
+    for w in widgets:
+        if w.kind == "stat":
+            groups.setdefault(tuple(sorted(cleaned(w.filters).items())), []).append(w.widget_id)
+    parts = [
+        reports.compared(reports.summary(scope, bounds, dict(key))).select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("widget_id"), "*")
+        for key, ids in groups.items()
+    ]
+    if not parts:
+        return reports.compared(reports.summary(scope, bounds)).select(F.lit(0).alias("widget_id"), "*").limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def saved_dashboard(scope: DataFrame, widgets: list[Widget], goals: list[Goal], bounds: DataFrame, events: DataFrame, unit: str = "day") -> DataFrame:
     """Rows of all widgets: widget_id, status, site_id, label, visitors, volume. A time series' label is its bucket, a
-    funnel's its step, with those it lost as volume.
+    funnel's its step, with those it lost as volume. What a stat widget shows beside is in `stat_widgets`.
 
     Widgets with equal filters share a scan: their panels come from one pass, their totals from another.
     Each panel is cut to its widget's limit after suppression. A widget that can't be drawn has

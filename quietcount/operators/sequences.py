@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from quietcount.functions.filters import predicate, qualified
 from quietcount.functions.matchers import Matcher, any_of
 from quietcount.functions.suppression import percent, top
+from quietcount.operators import reports
 from quietcount.schema import PAGEVIEW
 
 DAY, MONTH = 86_400, 30 * 86_400
@@ -201,7 +202,7 @@ def steps(scope: DataFrame, include_events: bool = False, filters: dict | None =
     return changed.withColumn("n", F.row_number().over(w))
 
 
-def _is(step: tuple[str, str], kind: Column, value: Column) -> Column:
+def _is(step: tuple[str, str | Column], kind: Column, value: Column) -> Column:
     return F.coalesce((kind == step[0]) & (value == step[1]), F.lit(False))
 
 
@@ -232,6 +233,17 @@ def flow(step_rows: DataFrame, prefix: list[tuple[str, str]], direction: str = "
     )
 
 
+def journey_starts(scope: DataFrame) -> DataFrame:
+    """site_id and start: each site's first entry page by visitors, after suppression; where a journey begins that names no path."""
+    return reports.panels(scope, ["entry_page"], None, 1).select("site_id", F.col("value").alias("start"))
+
+
+def default_journey(scope: DataFrame, include_events: bool = False, limit: int = 8) -> DataFrame:
+    """The first branches after every site's own first entry page."""
+    rows = steps(scope, include_events).join(journey_starts(scope), "site_id")
+    return flow(rows, [("pageview", F.col("start"))], "forward", limit).withColumn("level", F.lit(1))
+
+
 def journey(step_rows: DataFrame, path: list[tuple[str, str]], limit: int = 8) -> DataFrame:
     """The branches after each prefix of a path, up to six levels deep, over one frame of steps."""
     levels = [flow(step_rows, path[:depth], "forward", limit).withColumn("level", F.lit(depth)) for depth in range(1, min(len(path), 6) + 1)]

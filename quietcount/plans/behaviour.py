@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quietcount.functions.matchers import Matcher
 from quietcount.functions.period import widest
 from quietcount.operators import goals, metering, reports, rollups, sequences
-from quietcount.plans.traffic import _HOURLY, NOW, PAGES, PCT, bounds, panels_sql, scope, scope_sql, series_sql, stamp
+from quietcount.plans.traffic import _CHANGES, _HOURLY, NOW, PAGES, PCT, bounds, compared_sql, panels_sql, scope, scope_sql, series_sql, stamp
+from quietcount.plans.traffic import ORACLES as ORACLES_OF_TRAFFIC
 from quietcount.sources import adapter
 from quietcount.sources.adapter import CTES
 
@@ -139,6 +140,15 @@ def journey(spark, sf_dir):
     return sequences.journey(sequences.steps(scope(spark, sf_dir)), PATH)
 
 
+_TOP = panels_sql(["entry_page"], "true", PAGES, 1).removeprefix(f"WITH {scope_sql()}, ")
+_FROM_TOP = flow_sql([("pageview", "@")], level=1).replace("value = '@'", "value = (SELECT tp.value FROM tp WHERE tp.site_id = l.site_id)")
+
+
+@query("journey_default", f"WITH {scope_sql()}, {steps_sql(False)}, tp AS (WITH {_TOP}) SELECT * FROM {_FROM_TOP}")
+def journey_default(spark, sf_dir):
+    return sequences.default_journey(scope(spark, sf_dir))
+
+
 GOALS = [
     goals.Goal(1, Matcher("pageview", "exact", "/p/4")),
     goals.Goal(2, Matcher("event", "exact", "Purchase")),
@@ -171,7 +181,30 @@ def goal_report_event_filter(spark, sf_dir):
     return goals.goal_report(scope(spark, sf_dir), GOALS, {"event": "Signup"})
 
 
-@query("dashboard_default")
+def json_sql(part: str, rows: str, **columns: str) -> str:
+    """Rows of a query as JSON objects, as Spark writes them: nulls are left out. columns: number, text or time of each, in order."""
+    form = {"number": "{c}::VARCHAR", "text": "'\"' || {c} || '\"'", "time": "'\"' || replace({c}, ' ', 'T') || '.000Z\"'"}
+    cells = ", ".join(f"CASE WHEN \"{c}\" IS NOT NULL THEN '\"{c}\":' || {form[kind].format(c=chr(34) + c + chr(34))} END" for c, kind in columns.items())
+    return f"SELECT '{part}' AS part, '{{' || concat_ws(',', {cells}) || '}}' AS \"row\" FROM ({rows})"
+
+
+_ON_PAGE = "path = '/p/3'"
+_SHOWN = dict(site_id="number", dimension="text", value="text", visitors="number", volume="number", percentage="number", rank="number", withheld_rows="number", withheld_visitors="number")
+_DASHBOARD = " UNION ALL ".join((
+    json_sql("summary", compared_sql(_ON_PAGE, True), site_id="number", **{m: "number" for m in _CHANGES}, **{f"change_{m}": "number" for m in _CHANGES}),
+    json_sql("timeseries", series_sql("7d", "day", _ON_PAGE, PAGES), site_id="number", bucket="time", visitors="number", volume="number"),
+    json_sql("panels", panels_sql(goals.PANELS, _ON_PAGE, PAGES, 10, "7d"), **_SHOWN),
+    json_sql("events", panels_sql(["event"], _ON_PAGE, PAGES, 10, "7d"), **_SHOWN),
+    json_sql("goals", f"WITH {scope_sql('7d')}, {goals_sql([1, 2, 3, 4], _ON_PAGE)} SELECT * FROM gg", site_id="number", goal_id="number", conversions="number", visitors="number", conversion_rate="number", revenue="text"),
+    json_sql("realtime", ORACLES_OF_TRAFFIC["realtime"], site_id="number", visitors="number"),
+    json_sql(
+        "next_steps", f"WITH {scope_sql('7d')}, q AS (SELECT * FROM cur SEMI JOIN (SELECT site_id, session_hash FROM cur WHERE {_ON_PAGE}) USING (site_id, session_hash)), {steps_sql(True, 'q')} SELECT * FROM {flow_sql(PATH[:1])}",
+        site_id="number", kind="text", value="text", visitors="number", sessions="number", total="number", percentage="number", rank="number", withheld_rows="number", withheld_visitors="number",
+    ),
+))
+
+
+@query("dashboard_default", _DASHBOARD)
 def dashboard_default(spark, sf_dir):
     parts = goals.dashboard(
         scope(spark, sf_dir, "7d", True), bounds(spark, "7d"), GOALS, {"page": "/p/3"}, "day", reports.realtime(adapter.events(spark, sf_dir), NOW, 3_600)
@@ -204,6 +237,17 @@ def dashboard_saved(spark, sf_dir):
     return goals.saved_dashboard(scope(spark, sf_dir, "7d"), WIDGETS, GOALS, bounds(spark, "7d"), adapter.events(spark, sf_dir))
 
 
+_STATS = [goals.Widget(1, "stat"), goals.Widget(5, "stat", filters={"country": "DE"}), goals.Widget(6, "stat", filters={"country": "DE", "unknown": "x"}), goals.Widget(2, "breakdown", "page")]
+
+
+@query(
+    "dashboard_stats",
+    " UNION ALL ".join(f"SELECT {i} AS widget_id, * FROM ({sql})" for i, sql in ((1, compared_sql("true", False)), (5, compared_sql("country_code = 'DE'", True)), (6, compared_sql("country_code = 'DE'", True)))),
+)
+def dashboard_stats(spark, sf_dir):
+    return goals.stat_widgets(scope(spark, sf_dir, "7d", True), _STATS, bounds(spark, "7d"))
+
+
 _USED = f"h AS ({_HOURLY}), u AS (SELECT account_id, strftime(bucket, '%Y-%m') AS month, sum(pageviews + custom_events)::BIGINT AS used FROM h JOIN sites USING (site_id) GROUP BY 1, 2)"
 _SNAP = """sn AS (SELECT account_id, month, used, monthly_event_limit::BIGINT AS monthly_event_limit,
   CASE WHEN monthly_event_limit > 0 THEN floor(least(used / monthly_event_limit, 1.0) * 100)::BIGINT END AS percent, coalesce(used > monthly_event_limit, false) AS exceeded,

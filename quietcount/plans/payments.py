@@ -87,3 +87,23 @@ def webhook_cash(spark, sf_dir):
 )
 def webhook_sweep(spark, sf_dir):
     return webhooks.sweep_report(replayed(spark, sf_dir))
+
+
+@query(
+    "checkout_attribution",
+    """SELECT o_orderkey AS order_id, 'user-' || o_custkey AS external_id, CASE o_orderkey % 3 WHEN 0 THEN 'Google' WHEN 1 THEN repeat('s', 500) END AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'cpc' END AS medium,
+      NULL::VARCHAR AS campaign, NULL::VARCHAR AS content, NULL::VARCHAR AS term, '/p/' || o_orderkey % 12 AS landing_path, CASE WHEN o_orderkey % 5 = 0 THEN 'google.com' END AS referrer_host,
+      CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00' END AS first_seen_at FROM orders""",
+)
+def checkout_attribution(spark, sf_dir):
+    """What a checkout's metadata says of its first touch: blanks, values too long and a time that can't be read among them."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    fields = {
+        "external_id": F.concat(F.lit("user-"), "o_custkey"), "source": F.when(key % 3 == 0, "Google").when(key % 3 == 1, F.repeat(F.lit("s"), F.lit(700))).otherwise(""),
+        "medium": F.when(key % 2 == 0, "cpc"), "campaign": F.lit(""), "landing_path": F.concat(F.lit("/p/"), key % 12), "referrer_host": F.when(key % 5 == 0, "google.com").otherwise(""),
+        "first_seen_at": F.when(key % 7 == 0, "yesterday").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00Z"))),
+    }
+    cells = [x for name, value in fields.items() for x in (F.lit(f"tst_{name}"), value)]
+    rows = o.select(key.alias("order_id"), F.create_map(*cells, F.lit("other"), F.lit("x")).alias("metadata"))
+    return rows.select("order_id", *revenue.checkout_attribution()).withColumn("first_seen_at", stamp("first_seen_at"))

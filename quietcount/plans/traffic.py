@@ -65,7 +65,7 @@ def ranked_sql(counted: str, panel: str, limit: int) -> str:
 
 _VALUE = {
     "page": "path", "source": "referrer_source", "country": "country_code", "browser": "browser", "device": "device_type", "utm_medium": "utm_medium",
-    "entry_page": "CASE WHEN is_entry THEN path END", "event": "CASE WHEN event_name <> 'pageview' THEN event_name END",
+    "os": "os", "utm_campaign": "utm_campaign", "entry_page": "CASE WHEN is_entry THEN path END", "event": "CASE WHEN event_name <> 'pageview' THEN event_name END",
 }
 
 
@@ -177,11 +177,12 @@ def summary_event_filter(spark, sf_dir):
 _CHANGES = ["volume", "visitors", "sessions", "bounce_rate", "avg_duration", "views_per_visit"]
 
 
-@query(
-    "summary_compared",
-    f"""WITH r AS ({summary_sql('7d', 'true', PAGES, False)}), w AS (SELECT site_id, {', '.join(f'''max({m}) FILTER ("window" = '{s}') AS {s}_{m}''' for s in ('cur', 'prev') for m in _CHANGES)} FROM r GROUP BY 1)
-    SELECT site_id, {', '.join(f'cur_{m} AS {m}' for m in _CHANGES)}, {', '.join(f'CASE WHEN prev_{m} <> 0 THEN round((cur_{m} - prev_{m}) * 100.0 / prev_{m}, 1) END AS change_{m}' for m in _CHANGES)} FROM w""",
-)
+def compared_sql(where: str, qualify: bool) -> str:
+    return f"""WITH r AS ({summary_sql('7d', where, PAGES, qualify)}), w AS (SELECT site_id, {', '.join(f'''max({m}) FILTER ("window" = '{s}') AS {s}_{m}''' for s in ('cur', 'prev') for m in _CHANGES)} FROM r GROUP BY 1)
+    SELECT site_id, {', '.join(f'cur_{m} AS {m}' for m in _CHANGES)}, {', '.join(f'CASE WHEN prev_{m} <> 0 THEN round((cur_{m} - prev_{m}) * 100.0 / prev_{m}, 1) END AS change_{m}' for m in _CHANGES)} FROM w"""
+
+
+@query("summary_compared", compared_sql("true", False))
 def summary_compared(spark, sf_dir):
     return reports.compared(summary_7d(spark, sf_dir))
 
