@@ -38,21 +38,32 @@ def deliveries(raw: DataFrame) -> DataFrame:
     )
 
 
-def _text(path: str) -> Column:
+def text_at(path: str) -> Column:
     return F.try_variant_get("object", path, "string")
 
 
-def _reference(field: str) -> Column:
+def reference(field: str) -> Column:
     """An id that is given as such or as an object with an id; null for a blank one."""
     inside = F.try_variant_get("object", f"$.{field}.id", "string")
     kind = F.schema_of_variant(F.try_variant_get("object", f"$.{field}", "variant"))
-    return F.nullif(F.coalesce(inside, F.when(kind == "STRING", _text(f"$.{field}"))), F.lit(""))
+    return F.nullif(F.coalesce(inside, F.when(kind == "STRING", text_at(f"$.{field}"))), F.lit(""))
 
 
-def _number(path: str) -> Column:
+def number_at(path: str) -> Column:
     return F.coalesce(F.try_variant_get("object", path, "bigint"), F.lit(0).cast("long"))
 
 
+def subscription_of() -> Column:
+    """The subscription of an invoice, which newer payloads hold under its parent; null for a one-time sale."""
+    return F.coalesce(reference("subscription"), reference("parent.subscription_details.subscription"))
+
+
+def items_of() -> Column:
+    """A subscription's items as `monthly_value` takes them."""
+    items = F.try_variant_get("object", "$.items.data", "array<struct<price struct<unit_amount bigint, recurring struct<interval string, interval_count bigint>>, quantity bigint>>")
+    return F.transform(items, lambda x: F.struct(x["price"]["unit_amount"].alias("unit_amount"), x["quantity"].alias("quantity"), x["price"]["recurring"]["interval"].alias("interval"), x["price"]["recurring"]["interval_count"].alias("interval_count")))
+
+
 def dispatched(log: DataFrame, sites: DataFrame) -> DataFrame:
     """log (of `deliveries`) with handler, processor_id, object_id, subscription_id, status, mrr_cents, kind, amount_cents, currency (the site's
     where none is given) and problem (malformed, no_customer, or null)."""
@@ -60,15 +71,13 @@ def dispatched(log: DataFrame, sites: DataFrame) -> DataFrame:
     handler = F.when(F.col("event_type").startswith("customer.subscription."), "subscription").otherwise(F.coalesce(F.try_element_at(known, F.col("event_type")), F.lit("ignored")))
     rows = log.join(sites.select("site_id", "base_currency"), "site_id", "left").withColumn("handler", handler)
     is_ = lambda *names: F.col("handler").isin(*names)
-    customer = F.when(is_("customer"), F.nullif(_text("$.id"), F.lit(""))).otherwise(_reference("customer"))
-    items = F.try_variant_get("object", "$.items.data", "array<struct<price struct<unit_amount bigint, recurring struct<interval string, interval_count bigint>>, quantity bigint>>")
-    flat = F.transform(items, lambda x: F.struct(x["price"]["unit_amount"].alias("unit_amount"), x["quantity"].alias("quantity"), x["price"]["recurring"]["interval"].alias("interval"), x["price"]["recurring"]["interval_count"].alias("interval_count")))
-    subscription = F.when(is_("subscription"), F.nullif(_text("$.id"), F.lit(""))).when(is_("invoice"), F.coalesce(_reference("subscription"), F.nullif(_text("$.parent.subscription_details.subscription"), F.lit(""))))
-    amount = F.when(is_("invoice"), _number("$.amount_paid")).when(is_("refund"), -F.abs(_number("$.amount_refunded"))).when(is_("dispute"), -F.abs(_number("$.amount")))
-    rows = rows.withColumn("items", flat).withColumns({
-        "processor_id": customer, "object_id": _text("$.id"), "subscription_id": subscription, "status": F.when(is_("subscription"), _text("$.status")),
+    customer = F.when(is_("customer"), F.nullif(text_at("$.id"), F.lit(""))).otherwise(reference("customer"))
+    subscription = F.when(is_("subscription"), F.nullif(text_at("$.id"), F.lit(""))).when(is_("invoice"), subscription_of())
+    amount = F.when(is_("invoice"), number_at("$.amount_paid")).when(is_("refund"), -F.abs(number_at("$.amount_refunded"))).when(is_("dispute"), -F.abs(number_at("$.amount")))
+    rows = rows.withColumn("items", items_of()).withColumns({
+        "processor_id": customer, "object_id": text_at("$.id"), "subscription_id": subscription, "status": F.when(is_("subscription"), text_at("$.status")),
         "mrr_cents": F.when(is_("subscription"), monthly_value("items")), "amount_cents": amount,
-        "currency": F.coalesce(F.nullif(F.upper(_text("$.currency")), F.lit("")), F.col("base_currency")),
+        "currency": F.coalesce(F.nullif(F.upper(text_at("$.currency")), F.lit("")), F.col("base_currency")),
     })
     kind = F.when(is_("invoice"), F.when(F.col("subscription_id").isNotNull(), "payment").otherwise("one_time")).when(is_("refund", "dispute"), F.col("handler"))
     needs = is_("customer", "checkout", "subscription", "invoice", "refund", "dispute")
