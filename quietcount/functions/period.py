@@ -42,6 +42,18 @@ def site_bounds(sites: DataFrame, preset: str, now: datetime, start: date | None
     return out.withColumn("unit", unit)
 
 
+def within(rows: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Rows of a half-open range of times; of a table that is kept by day, only the folders that hold it are listed and opened."""
+    by_day = "event_date" in rows.columns
+    if start:
+        rows = rows.where(F.col("occurred_at") >= F.lit(start))
+        rows = rows.where(F.col("event_date") >= F.lit(start.date())) if by_day else rows
+    if end:
+        rows = rows.where(F.col("occurred_at") < F.lit(end))
+        rows = rows.where(F.col("event_date") <= F.lit(end.date())) if by_day else rows
+    return rows
+
+
 def widest(preset: str, now: datetime, start: date | None = None, end: date | None = None) -> tuple[datetime, datetime]:
     """UTC times that hold the period and the one before it in every zone; for pruning files."""
     if preset == "custom" and start and end:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quietcount.functions.period import within
+
 WARNING = 0.8
 
 
@@ -41,18 +43,33 @@ def notices(snapshots: DataFrame, sent: DataFrame) -> DataFrame:
     return due.join(sent, ["account_id", "month", "level"], "left_anti")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (account_id, occurred_at, event_id) with seq, their number in the account's UTC month by time and id.
+
+    Hours of a month and seconds of an hour are numbered over their totals (744 and 3,600 rows at most), events within their second:
+    no window holds more of a busy account than one second of it.
+    """
+    account, month, hour = F.col("account_id"), F.date_trunc("month", "occurred_at"), F.date_trunc("hour", "occurred_at")
+    rows = rows.withColumn("_second", F.date_trunc("second", "occurred_at"))
+
+    def ahead(*of: str) -> Column:
+        w = Window.partitionBy("account_id", of[0]).orderBy(of[1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    seconds = rows.groupBy(account, month.alias("_month"), hour.alias("_hour"), "_second").agg(F.count(F.lit(1)).alias("n"))
+    hours = seconds.groupBy("account_id", "_month", "_hour").agg(F.sum("n").alias("n"))
+    hours = hours.select("account_id", "_hour", ahead("_month", "_hour").alias("_before_hour"))
+    seconds = seconds.select("account_id", "_hour", "_second", ahead("_hour", "_second").alias("_before")).join(hours, ["account_id", "_hour"])
+    seconds = seconds.select("account_id", "_second", (F.col("_before_hour") + F.col("_before")).alias("_ahead"))
+    order = Window.partitionBy("account_id", "_second").orderBy("occurred_at", "event_id")
+    rows = rows.withColumn("_nth", F.row_number().over(order)).join(seconds, ["account_id", "_second"])
+    return rows.withColumn("seq", F.col("_ahead") + F.col("_nth")).drop("_second", "_nth", "_ahead")
+
+
 def over_quota(events: DataFrame, sites: DataFrame, accounts: DataFrame) -> DataFrame:
     """event_id, account_id, seq (its number in the account's UTC month), refused."""
     dims = sites.select("site_id", "account_id").join(accounts.select("account_id", "monthly_event_limit"), "account_id")
-    rows = events.join(dims, "site_id").withColumn("month", F.date_trunc("month", "occurred_at"))
-    # hours are numbered over their totals, events within their hour: no window holds an account's month
-    rows = rows.withColumn("hour", F.date_trunc("hour", "occurred_at"))
-    before = Window.partitionBy("account_id", "month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = rows.groupBy("account_id", "month", "hour").agg(F.count(F.lit(1)).alias("n"))
-    hours = hours.select("account_id", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("account_id", "hour").orderBy("occurred_at", "event_id")
-    rows = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"])
-    rows = rows.withColumn("seq", F.col("ahead") + F.col("nth"))
+    rows = numbered(events.join(dims, "site_id"))
     return rows.select("event_id", "account_id", "seq", F.coalesce(F.col("seq") > F.col("monthly_event_limit"), F.lit(False)).alias("refused"))
 
 
@@ -67,13 +84,13 @@ def repaired(counters: DataFrame, recorded: DataFrame, credits: DataFrame | None
 
 def opt_outs(requests: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Opted-out requests per site and hour of a range."""
-    rows = requests.where(F.col("opted_out") & (F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end)))
+    rows = within(requests.where("opted_out"), start, end)
     return rows.groupBy("site_id", F.date_trunc("hour", "occurred_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def rejections(rejects: DataFrame, now: datetime, days: int = 30) -> DataFrame:
     """Rejected requests per site and reason in a look-back."""
-    rows = rejects.where((F.col("occurred_at") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")) & (F.col("occurred_at") < F.lit(now)))
+    rows = within(rejects, now - timedelta(days=days), now)
     return rows.groupBy("site_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,4 +108,4 @@ def first_events(events: DataFrame, sites: DataFrame) -> DataFrame:
 
 def recent_total(events: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
     """Events of the instance since `hours` before now."""
-    return events.where(F.col("occurred_at") >= F.lit(now) - F.expr(f"INTERVAL {hours} HOURS")).agg(F.count(F.lit(1)).alias("events"))
+    return within(events, now - timedelta(hours=hours)).agg(F.count(F.lit(1)).alias("events"))

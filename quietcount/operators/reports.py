@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietcount.functions.filters import DIMENSIONS, cleaned, predicate, qualified, volume
+from quietcount.functions.period import within
 from quietcount.functions.suppression import percent, top
 from quietcount.schema import PAGEVIEW
 
@@ -22,9 +23,7 @@ def scoped(events: DataFrame, bounds: DataFrame, previous: bool = False, pruned:
     reach the scan.
     """
     if pruned:
-        events = events.where((F.col("occurred_at") >= F.lit(pruned[0])) & (F.col("occurred_at") < F.lit(pruned[1])))
-        if "event_date" in events.columns:
-            events = events.where((F.col("event_date") >= F.lit(pruned[0].date())) & (F.col("event_date") <= F.lit(pruned[1].date())))
+        events = within(events, *pruned)
     lower = F.col("prev_from_ts" if previous else "from_ts")
     shared = [c for c in bounds.columns if c not in events.columns or c == "site_id"]
     joined = events.join(bounds.select(*shared), "site_id")
@@ -176,5 +175,5 @@ def timeseries(scope: DataFrame, bounds: DataFrame, unit: str | None = None, fil
 
 def realtime(events: DataFrame, now: datetime, seconds: int = 300) -> DataFrame:
     """Distinct visitors since `seconds` (an hour at most) before now."""
-    since = F.lit(now) - F.expr(f"INTERVAL {min(max(seconds, 1), 3600)} SECONDS")
-    return events.where(F.col("occurred_at") >= since).groupBy("site_id").agg(F.countDistinct("visitor_hash").alias("visitors"))
+    since = now - timedelta(seconds=min(max(seconds, 1), 3600))
+    return within(events, since).groupBy("site_id").agg(F.countDistinct("visitor_hash").alias("visitors"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietcount.functions import hosts
-from quietcount.sources import tables
+from quietcount.functions.period import within
+from quietcount.sources.snapshots import DAY, Snapshots
 
 #: Subscription states and kinds of revenue events.
 LIVE, PAYING = ("trialing", "active", "past_due"), ("active", "past_due")
@@ -188,17 +189,13 @@ def attribution_rollup(
     compat counts sign-ups and conversions once per subscription of the customer, as the original does.
     """
     zones = sites.select("site_id", "timezone")
-    low, high = [d and F.lit(datetime.combine(d + timedelta(days=n), time())) for d, n in ((start, -1), (end, 1))]
-
-    def near(rows: DataFrame, column: str) -> DataFrame:
-        rows = rows if low is None else rows.where(F.col(column) >= low)
-        return rows if high is None else rows.where(F.col(column) < high)
+    low, high = [d and datetime.combine(d + timedelta(days=n), time()) for d, n in ((start, -1), (end, 1))]
 
     def inside(rows: DataFrame) -> DataFrame:
         rows = rows if start is None else rows.where(F.col("date") >= F.lit(start))
         return rows if end is None else rows.where(F.col("date") < F.lit(end))
 
-    events, revenue = near(events, "occurred_at"), near(revenue, "occurred_at")
+    events, revenue = within(events, low, high), within(revenue, low, high)
     keys = ["site_id", "date", *CHANNEL]
     traffic = events.join(zones, "site_id").select("site_id", local_day("occurred_at").alias("date"), *event_channel(), "visitor_hash")
     traffic = inside(traffic).groupBy(*keys).agg(F.countDistinct("visitor_hash").alias("visitors"))
@@ -231,6 +228,8 @@ def attribution_rollup(
 
 
 LOOKBACK_DAYS = 3
+#: The rollup's table in a store.
+ATTRIBUTION = "attribution"
 
 
 def sliding_days(sites: DataFrame, now: datetime) -> tuple[date, date]:
@@ -240,11 +239,24 @@ def sliding_days(sites: DataFrame, now: datetime) -> tuple[date, date]:
     return first - timedelta(days=LOOKBACK_DAYS), last + timedelta(days=1)
 
 
-def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Replaces the local days that the rollup has in the stored table, which is partitioned by day, and no others.
+def write_rollup(store: Snapshots, rollup: DataFrame, start: date | None = None, end: date | None = None) -> int:
+    """Puts a rollup of local days [start, end) in the place of what the store holds of these days, in one swap; returns the version.
+
+    A run over the days of sliding_days takes in facts that came late. Days are made whole, so repeating one changes nothing, and a day
+    whose events were deleted since is gone."""
+    change = store.change()
+    held = change.tables.get(ATTRIBUTION, {"days": {}})["days"]
+    days = [d for d in held if (start is None or d >= str(start)) and (end is None or d < str(end))]
+    rows = rollup.withColumnRenamed("date", DAY)
+    change.replace(ATTRIBUTION, rows.repartition(DAY, F.pmod(F.xxhash64("site_id", *CHANNEL), F.lit(4))), days)
+    return change.commit()
+
 
-    A run over the days of sliding_days takes in facts that came late; as days are made whole, repeating one changes nothing."""
-    tables.replace_days(rollup, path, ["date"])
+def read_rollup(store: Snapshots, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The stored rollup of local days [start, end); folders of other days aren't opened."""
+    held = store.current()[1]["tables"][ATTRIBUTION]["days"]
+    days = [d for d in held if (start is None or d >= str(start)) and (end is None or d < str(end))]
+    return store.read(ATTRIBUTION, days).withColumnRenamed(DAY, "date")
 
 
 SORTS = {"revenue": "net_mrr_cents", "lifetime": "lifetime_revenue_cents", "visitors": "visitors", "conversions": "conversions"}
@@ -252,17 +264,17 @@ SUMMED = ["visitors", "signups", "trials", "conversions", "new_mrr_cents", "expa
 
 
 def attribution_report(rollup: DataFrame, start: str, end: str, sort: str = "revenue", limit: int = 100) -> DataFrame:
-    """Channels of each site over local dates [start, end): sums, the latest day's lifetime revenue, rates, totals, rank."""
+    """Channels of each site over local dates [start, end): sums, the latest day's lifetime revenue, rates, totals, rank. rollup is read twice, so it is a stored one."""
     rows = rollup.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date")))
     channels = rows.groupBy("site_id", *CHANNEL).agg(*[F.sum(c).alias(c) for c in SUMMED], F.max_by("lifetime_revenue_cents", "date").alias("lifetime_revenue_cents"))
     label = F.concat_ws(" / ", "source", *[F.when(F.col(c) != NONE, F.col(c)) for c in ("medium", "campaign")])
-    site = Window.partitionBy("site_id")
-    order = site.orderBy(F.col(SORTS.get(sort, SORTS["revenue"])).desc(), "channel", "source", "medium", "campaign")
-    out = channels.withColumn("channel", label).withColumn("rank", F.row_number().over(order))
-    out = out.withColumn("total_visitors", F.sum("visitors").over(site)).withColumn("total_net_mrr_cents", F.sum("net_mrr_cents").over(site))
+    order = Window.partitionBy("site_id").orderBy(F.col(SORTS.get(sort, SORTS["revenue"])).desc(), "channel", "source", "medium", "campaign")
+    # one row more than asked for tells whether the list was cut: each task keeps its own first rows, no window holds a site's channels
+    first = channels.withColumn("channel", label).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1)
+    totals = rows.groupBy("site_id").agg(F.sum("visitors").alias("total_visitors"), F.sum("net_mrr_cents").alias("total_net_mrr_cents"))
+    out = first.withColumn("truncated", F.max("rank").over(Window.partitionBy("site_id")) > limit).where(F.col("rank") <= limit).join(totals, "site_id")
     out = out.withColumn("conversion_rate", F.when(F.col("visitors") > 0, F.round(F.col("conversions") / F.col("visitors"), 6)))
-    out = out.withColumn("value_per_visitor_cents", F.when(F.col("visitors") > 0, F.floor(F.col("lifetime_revenue_cents") / F.col("visitors"))))
-    return out.withColumn("truncated", F.max("rank").over(site) > limit).where(F.col("rank") <= limit)
+    return out.withColumn("value_per_visitor_cents", F.when(F.col("visitors") > 0, F.floor(F.col("lifetime_revenue_cents") / F.col("visitors"))))
 
 
 def customer_ranking(customers: DataFrame, search: str | None = None, paying_only: bool = False, page: int = 1, per_page: int = 50) -> DataFrame:

@@ -15,6 +15,7 @@ from quietcount.sources import revenue_adapter as money
 from quietcount.sources.adapter import CTES as EVENT_CTES
 from quietcount.sources.revenue_adapter import CTES
 from quietcount.sources.shared import folder, stored
+from quietcount.sources.snapshots import Snapshots
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -181,14 +182,17 @@ def attribution_rollup(spark, sf_dir):
       CASE WHEN visitors > 0 THEN floor(lifetime_revenue_cents / visitors)::BIGINT END AS value_per_visitor_cents, false AS truncated FROM g""",
 )
 def attribution_report(spark, sf_dir):
-    return revenue.attribution_report(rollup(spark, sf_dir, date(2024, 1, 5), date(2024, 1, 25)), "2024-01-05", "2024-01-25")
+    """The report of a stored rollup, which holds more days than it asks for."""
+    store, days = Snapshots(spark, folder(spark)), (date(2024, 1, 5), date(2024, 1, 25))
+    revenue.write_rollup(store, rollup(spark, sf_dir, date(2024, 1, 3), date(2024, 1, 28)))
+    return revenue.attribution_report(revenue.read_rollup(store, *days), *map(str, days))
 
 
 @query("attribution_nightly", f"{WITH}, {_LAST}, {_ROLL} SELECT * REPLACE (date::VARCHAR AS date) FROM rl WHERE date < DATE '2024-01-31'")
 def attribution_nightly(spark, sf_dir):
     """The stored rollup after a backfill of the days before the 29th and two nightly runs, which replace their days."""
-    sites, known, path = adapter.sites(spark), facts(spark, sf_dir), f"{folder(spark)}/attribution"
+    sites, known, store = adapter.sites(spark), facts(spark, sf_dir), Snapshots(spark, folder(spark))
     days = [(None, date(2024, 1, 29)), *[revenue.sliding_days(sites, n) for n in (NOW - timedelta(days=1), NOW)]]
     for start, end in days:
-        revenue.write_rollup(revenue.attribution_rollup(adapter.events(spark, sf_dir), *known, sites, start=start, end=end), path)
-    return spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+        revenue.write_rollup(store, revenue.attribution_rollup(adapter.events(spark, sf_dir), *known, sites, start=start, end=end), start, end)
+    return revenue.read_rollup(store).withColumn("date", F.col("date").cast("string"))

@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.window import Window
 
-from quietcount.operators import ingest, revenue
+from quietcount.operators import ingest, metering, revenue
 from quietcount.sources import tables
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,15 +127,11 @@ def quota(events: DataFrame, limits: DataFrame, counters: str, out: str, checkpo
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("month", F.date_format("occurred_at", "yyyy-MM")).withColumn("hour", F.date_trunc("hour", "occurred_at"))
-        hours = rows.groupBy("account_id", "month", "hour").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.partitionBy("account_id", "month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-        hours = hours.select("account_id", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+        rows = batch.withColumn("month", F.date_format("occurred_at", "yyyy-MM"))
         earlier = spark.read.schema(schema).parquet(_slot(counters, batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
-        within = Window.partitionBy("account_id", "hour").orderBy("occurred_at", "event_id")
-        numbered = rows.withColumn("nth", F.row_number().over(within)).join(hours, ["account_id", "hour"]).join(earlier.drop("touched"), ["account_id", "month"], "left")
+        numbered = metering.numbered(rows).join(earlier.drop("touched"), ["account_id", "month"], "left")
         numbered = numbered.join(limits.select("account_id", "monthly_event_limit"), "account_id")
-        seq = F.coalesce("base", F.lit(0)) + F.col("ahead") + F.col("nth")
+        seq = F.coalesce("base", F.lit(0)) + F.col("seq")
         judged = numbered.select("event_id", "account_id", seq.alias("seq"), F.coalesce(seq > F.col("monthly_event_limit"), F.lit(False)).alias("refused"), F.lit(batch_id).alias("batch_id"))
         tables.replace_days(judged, out, ["batch_id"])
         counted = rows.groupBy("account_id", "month").agg(F.count(F.lit(1)).alias("base"), F.max("occurred_at").alias("touched"))
