@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quietcount.functions import hosts, identity, paths
 from quietcount.schema import BEACON, PAGEVIEW
+from quietcount.sources.shared import stored
 
 MAX_URL, MAX_NAME, MAX_WIDTH, MAX_PROPS, MAX_KEY, MAX_VALUE, MAX_REVENUE, TOKEN = 2048, 120, 20_000, 24, 60, 500, 2**31 - 1, 16
 MAX_TEXT_BYTES = 4_096
@@ -78,21 +79,36 @@ def cleansed(column: Column) -> Column:
 
 
 def sessionised(rows: DataFrame, keys: list[str], seconds: int = 1_800, order: str = "event_id") -> DataFrame:
-    """rows with session_number and is_entry: a gap of `seconds` or more starts a session.
+    """rows with session_number, is_entry and session_at (the time of the session's first event): a gap of `seconds` or more starts a session.
 
-    Keyed on what doesn't rotate (site, address, agent), a session runs on over the daily salt change.
+    Keyed on what doesn't rotate (site, address, agent), a session runs on over the daily salt change. A key is worked off hour by hour, so one
+    that holds a third of all rows (a proxy) is spread over as many tasks as it has hours. What an hour can't know of those before it, a
+    row per key and hour tells: whether its first event starts a session, how many started before, and when the running one did.
     """
-    w = Window.partitionBy(*keys).orderBy("occurred_at", order)
-    gap = F.unix_micros("occurred_at") - F.lag(F.unix_micros("occurred_at")).over(w)
-    marked = rows.withColumn("is_entry", F.coalesce(gap >= seconds * 1_000_000, F.lit(True)))
-    return marked.withColumn("session_number", F.sum(F.col("is_entry").cast("int")).over(w))
-
-
-def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges: DataFrame, templates: dict[int, list[str]] | None = None, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of parsed beacons with request columns ip, user_agent, origin, sec_gpc, dnt, sec_purpose, received_at, event_id.
-
-    Order: privacy gates, contract, site, bots, hostname policy; then identity, sessions, paths, referrers. Rejects
-    carry site_id, occurred_at, reason and offending_host. prefixes: countries of IPv6 networks.
+    at = F.unix_micros("occurred_at")
+    # a struct of the keys is never null, so rows with null keys meet in the join as they do in a window
+    rows = rows.withColumns({"_key": F.struct(*keys), "_hour": F.date_trunc("hour", "occurred_at")})
+    w = Window.partitionBy("_key", "_hour").orderBy("occurred_at", order)
+    rows = rows.withColumn("_starts", at - F.lag(at).over(w) >= seconds * 1_000_000)  # null for the hour's first event
+    started = F.when(F.col("_starts"), F.col("occurred_at"))
+    hours = rows.groupBy("_key", "_hour").agg(F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"), F.count_if("_starts").alias("_n"), F.max(started).alias("_started"))
+    c = Window.partitionBy("_key").orderBy("_hour")
+    before = c.rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("_new", F.coalesce(F.unix_micros("_first") - F.lag(F.unix_micros("_last")).over(c) >= seconds * 1_000_000, F.lit(True)))
+    new, begun = F.col("_new").cast("int"), F.when(F.col("_new"), F.col("_first"))
+    hours = hours.withColumns({
+        "_ahead": F.coalesce(F.sum(F.col("_n") + new).over(before), F.lit(0)) + new,
+        "_running": F.coalesce(begun, F.max(F.coalesce("_started", begun)).over(before)),
+    })
+    rows = rows.withColumns({"_nth": F.count_if("_starts").over(w), "_at": F.max(started).over(w)}).join(hours.select("_key", "_hour", "_new", "_ahead", "_running"), ["_key", "_hour"])
+    rows = rows.withColumns({"is_entry": F.coalesce("_starts", "_new"), "session_number": F.col("_ahead") + F.col("_nth"), "session_at": F.coalesce("_at", "_running")})
+    return rows.drop("_key", "_hour", "_starts", "_nth", "_at", "_new", "_ahead", "_running")
+
+
+def judged(beacons: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(beacons that are let in, rejects) of parsed beacons with request columns ip, user_agent, origin, sec_gpc, dnt, sec_purpose, received_at, event_id.
+
+    Order: privacy gates, contract, site, bots, hostname policy. Rejects carry site_id, occurred_at, reason and offending_host.
     """
     dims = sites.select("site_id", "public_token", "domain", "timezone", "extra_hostnames", "enforce_hostname")
     rows = beacons.withColumn("occurred_at", F.col("received_at")).withColumn("url_host", hosts.url_part("u", "HOST"))
@@ -103,16 +119,27 @@ def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges
         F.when(privacy_drop(), "opted_out").when(F.size("errors") > 0, "invalid").when(F.col("site_id").isNull(), "unknown_site")
         .when(F.col("bot"), "bot").when(~policy["allowed"], policy["reason"])
     )
-    judged = rows.withColumn("reason", reason).withColumn("offending_host", F.when(F.col("reason").isin("origin_mismatch", "hostname_mismatch"), policy["offending_host"]))
-    rejects = judged.where("reason IS NOT NULL").select("event_id", "site_id", "occurred_at", "reason", "offending_host", "errors")
-    good = judged.where("reason IS NULL").withColumn("local_date", F.expr("to_date(from_utc_timestamp(occurred_at, timezone))"))
+    rows = rows.withColumn("reason", reason).withColumn("offending_host", F.when(F.col("reason").isin("origin_mismatch", "hostname_mismatch"), policy["offending_host"]))
+    return rows.where("reason IS NULL"), rows.where("reason IS NOT NULL").select("event_id", "site_id", "occurred_at", "reason", "offending_host", "errors")
+
+
+def enriched(beacons: DataFrame, sites: DataFrame, salt_table: DataFrame, ranges: DataFrame, templates: dict[int, list[str]] | None = None, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of parsed beacons, judged; then identity, sessions, paths, referrers. prefixes: countries of IPv6 networks.
+
+    Beacons that are let in are written down once in the shared folder before their sessions are told, as these read them twice.
+    """
+    good, rejects = judged(beacons, sites)
+    good = good.withColumn("local_date", F.expr("to_date(from_utc_timestamp(occurred_at, timezone))"))
     good = identity.with_country(good, ranges)
     good = identity.with_normal_address(identity.with_country6(good, prefixes) if prefixes is not None else good)
-    good = sessionised(good, ["site_id", "ip", "user_agent"])
+    good = good.drop("errors", "reason", "offending_host", "bot", "public_token", "extra_hostnames", "enforce_hostname", "origin", "sec_gpc", "dnt", "sec_purpose", "received_at")
+    good = sessionised(stored(good, "let_in"), ["site_id", "ip", "user_agent"])
     good = good.join(salt_table, ["site_id", "local_date"]).withColumn("visitor_hash", identity.visitor_hash())
-    # the session's id is the visitor's hash of its first event with its number, so the raw key goes no further
-    s = Window.partitionBy("site_id", "ip", "user_agent", "session_number").orderBy("occurred_at", "event_id")
-    good = good.withColumn("session_hash", F.md5(F.concat_ws(":", F.first("visitor_hash").over(s), "session_number").cast("binary")))
+    # the session's id is the visitor's hash of its first event, by the salt of that event's day, with its number: the raw key goes no further
+    first_day = F.expr("to_date(from_utc_timestamp(session_at, timezone))")
+    good = good.drop("inner_pad", "outer_pad").withColumn("session_date", first_day).join(salt_table.withColumnRenamed("local_date", "session_date"), ["site_id", "session_date"], "left")
+    first_hash = F.coalesce(identity.visitor_hash(), F.col("visitor_hash"))
+    good = good.withColumn("session_hash", F.md5(F.concat_ws(":", first_hash, "session_number").cast("binary")))
     good = good.withColumn("path", F.coalesce(hosts.url_part("u", "PATH"), F.lit("/"))).withColumn("query", hosts.url_part("u", "QUERY"))
     good = paths.with_templates(good, templates or {})
     good = good.withColumn("path", paths.scrub_path("path", "consumed", "matched")).withColumns(paths.query_params())

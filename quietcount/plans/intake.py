@@ -111,6 +111,10 @@ def enriched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return ingest.enriched(beacons, intake.sites(spark), intake.salt_table(spark), intake.ranges(spark), intake.TEMPLATES)
 
 
+def rejects(spark, sf_dir) -> DataFrame:
+    return ingest.judged(ingest.parsed(intake.requests(spark, sf_dir)), intake.sites(spark))[1]
+
+
 @query("ingest_events", f"WITH {_INTAKE}, {_EVENTS}")
 def ingest_events(spark, sf_dir):
     return enriched(spark, sf_dir)[0].withColumn("props", F.to_json("props"))
@@ -118,17 +122,17 @@ def ingest_events(spark, sf_dir):
 
 @query("ingest_rejects", f"WITH {_INTAKE} SELECT * FROM rj")
 def ingest_rejects(spark, sf_dir):
-    return enriched(spark, sf_dir)[1].withColumn("errors", F.array_join("errors", ","))
+    return rejects(spark, sf_dir).withColumn("errors", F.array_join("errors", ","))
 
 
 @query("rejections_by_reason", f"WITH {_INTAKE} SELECT site_id, reason, count(*) AS n FROM rj WHERE occurred_at >= TIMESTAMP '2023-12-31 12:00:00' AND occurred_at < TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1, 2")
 def rejections_by_reason(spark, sf_dir):
-    return metering.rejections(enriched(spark, sf_dir)[1], NOW)
+    return metering.rejections(rejects(spark, sf_dir), NOW)
 
 
 @query("rejected_hosts", f"WITH {_INTAKE}, n AS (SELECT site_id, offending_host, count(*) AS n FROM rj WHERE offending_host IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, offending_host) AS rank FROM n QUALIFY rank <= 10")
 def rejected_hosts(spark, sf_dir):
-    return metering.top_hosts(enriched(spark, sf_dir)[1], 10)
+    return metering.top_hosts(rejects(spark, sf_dir), 10)
 
 
 @query("scrubbed_paths", f"WITH pg AS (SELECT page_id AS id, url, {segments_sql('url')} AS segs, 0 AS done, []::VARCHAR[] AS taken FROM pages), {scrubbed_sql('pg')} SELECT page_id, path, {params_sql('url')} FROM pages JOIN sp ON sp.id = page_id")
