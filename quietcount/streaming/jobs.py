@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from quietcount.operators import ingest, metering, revenue
 from quietcount.sources import tables
+from quietcount.streaming.buckets import Entries, bucket, key_text
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIMEOUT_SECONDS = 1_800
@@ -159,42 +161,45 @@ def first_events(events: DataFrame, known: str, out: str, checkpoint: str) -> St
 
 
 class Movements(StatefulProcessor):
-    """A customer's subscriptions: their last time, status and value, and whether the customer has converted.
+    """The subscriptions of a bucket's customers: their last time, status and value, and whether their customer has converted.
 
     A change older than its subscription's last one is stale; one that was seen before is a repeat.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.subscriptions = handle.getMapState("subscriptions", "subscription_id string", "last_micros long, event_id long, mrr long, live boolean, kinds string")
-        self.converted = handle.getValueState("converted", "yes boolean")
+        fields = [("subscription_id", pa.string()), ("last", pa.int64()), ("event_id", pa.int64()), ("mrr", pa.int64()), ("live", pa.bool_()), ("kinds", pa.string()), ("converted", pa.bool_())]
+        self.entries = Entries(handle, fields)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        converted = self.converted.exists()
+        subscriptions, converted = {}, set()
+        for customer, entries in self.entries.take(frame["key"].unique(), 0).items():
+            subscriptions.update({(customer, e[1]): e[2:7] for e in entries})
+            if entries[0][7]:
+                converted.add(customer)
         out = []
-        for r in frame.itertuples():
-            name = (r.subscription_id,)
-            last, event, before, was_live, kinds = self.subscriptions.getValue(name) if self.subscriptions.containsKey(name) else (None, None, 0, False, "")
-            if last is not None and (r.micros < last or r.event_id == event):
+        columns = ("key", "subscription_id", "event_id", "micros", "status", "mrr_cents", "currency")
+        for customer, subscription, event_id, micros, status, mrr, currency in zip(*[frame[c] for c in columns], strict=True):
+            last, event, before, was_live, kinds = subscriptions.get((customer, subscription), (None, None, 0, False, ""))
+            if last is not None and (micros < last or event_id == event):
                 continue
-            live, now = r.status in revenue.LIVE, int(r.mrr_cents) if r.status in revenue.PAYING else 0
+            live, now = status in revenue.LIVE, int(mrr) if status in revenue.PAYING else 0
             delta, kind = now - before, None
             if was_live and not live:
-                kind, delta = revenue.CHURN, -abs(int(r.mrr_cents))
+                kind, delta = revenue.CHURN, -abs(int(mrr))
             elif delta and not before:
-                kind = revenue.REACTIVATION if converted else revenue.NEW
-                converted = True
+                kind = revenue.REACTIVATION if customer in converted else revenue.NEW
+                converted.add(customer)
             elif delta:
                 kind = revenue.EXPANSION if delta > 0 else revenue.CONTRACTION
-            if last is None or r.micros // 1_000_000 != last // 1_000_000:
+            if last is None or micros // 1_000_000 != last // 1_000_000:
                 kinds = ""  # of one kind within a second, the first counts
             if kind and kind not in kinds.split():
                 kinds += f" {kind}"
-                out.append((key[0], key[1], kind, delta, r.currency, f"{r.subscription_id}:{r.micros // 1_000_000}"))
-            self.subscriptions.updateValue(name, (int(r.micros), int(r.event_id), int(now), bool(live), kinds))
-        if converted:
-            self.converted.update((True,))
-        yield pd.DataFrame(out, columns=["site_id", "customer_id", "kind", "amount_cents", "currency", "object_id"])
+                out.append((customer, kind, delta, currency, f"{subscription}:{micros // 1_000_000}"))
+            subscriptions[customer, subscription] = (int(micros), int(event_id), now, live, kinds)
+        self.entries.put((customer, subscription, *state, customer in converted, 0) for (customer, subscription), state in subscriptions.items())
+        yield pd.DataFrame(out, columns=["key", "kind", "amount_cents", "currency", "object_id"])
 
     def close(self) -> None:
         pass
@@ -202,13 +207,16 @@ class Movements(StatefulProcessor):
 
 def movements(changes: DataFrame) -> DataFrame:
     """Revenue movements of a stream of subscription changes."""
-    rows = changes.withColumn("micros", F.unix_micros("event_at")).select(
-        "site_id", "customer_id", "subscription_id", F.col("event_id").cast("long").alias("event_id"), "micros", "status", "mrr_cents", "currency"
+    keys = ["site_id", "customer_id"]
+    rows = changes.select(
+        bucket(*keys), key_text(*keys).alias("key"), "subscription_id", F.col("event_id").cast("long").alias("event_id"), F.unix_micros("event_at").alias("micros"), "status", "mrr_cents", "currency"
     )
-    return rows.groupBy("site_id", "customer_id").transformWithStateInPandas(
+    made = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Movements(), outputMode="Append", timeMode="None",
-        outputStructType="site_id long, customer_id long, kind string, amount_cents long, currency string, object_id string",
+        outputStructType="key string, kind string, amount_cents long, currency string, object_id string",
     )
+    names = [F.get_json_object("key", f"$.k{i}").cast("long").alias(c) for i, c in enumerate(keys)]
+    return made.select(*names, "kind", "amount_cents", "currency", "object_id")
 
 
 def to_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
