@@ -36,25 +36,33 @@ def beacons(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Dat
 
 
 class Sessions(StatefulProcessor):
-    """Numbers the sessions of a key; a gap of TIMEOUT_SECONDS or more starts one. The state is the key's
+    """Numbers the sessions of a bucket's keys; a gap of TIMEOUT_SECONDS or more starts one. The state is each key's
     last time and number. With `days` it expires so long after the key's last batch, and the store holds the keys of that time only."""
 
     def __init__(self, days: int | None = None) -> None:
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "last_micros long, number long", self.days and self.days * 86_400_000)
+        self.entries = Entries(handle, [("last", pa.int64()), ("number", pa.int64())], self.days)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # the rows of one key in one batch: what one visitor sent within a trigger
-        frame = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        micros = frame["micros"].to_numpy()
+        # the rows of a bucket in one batch
+        frame = pd.concat(list(rows)).sort_values(["key", "micros", "event_id"], ignore_index=True)
+        now = self.entries.now(timer_values)
+        micros, names = frame["micros"].to_numpy(), frame["key"].to_numpy()
         gap = TIMEOUT_SECONDS * 1_000_000
-        last, number = self.state.get() if self.state.exists() else (micros[0] - gap, 0)
-        latest = np.maximum.accumulate(np.concatenate([[last], micros]))  # an event may be older than one of an earlier batch
-        entries = micros - latest[:-1] >= gap
-        numbers = number + np.cumsum(entries)
-        self.state.update((int(latest[-1]), int(numbers[-1])))
+        first = np.concatenate([[True], names[1:] != names[:-1]])
+        starts = np.flatnonzero(first)
+        own = np.cumsum(first) - 1  # the place of an event's key among the keys
+        held = self.entries.take(names[starts], now)
+        last, number = np.array([held[k][0][1:3] if k in held else (micros[i] - gap, 0) for k, i in zip(names[starts], starts, strict=True)], dtype="int64").T
+        # the latest time before an event, which may be older than one of an earlier batch
+        latest = np.where(first, last[own], np.maximum(last[own], np.roll(micros, 1)))
+        entries = micros - latest >= gap
+        counted = np.cumsum(entries)
+        numbers = number[own] + counted - (counted - entries)[starts][own]
+        ends = np.append(starts[1:], len(frame)) - 1
+        self.entries.put((k, int(t), int(n), now) for k, t, n in zip(names[starts], np.maximum(last, micros[ends]), numbers[ends], strict=True))
         yield pd.DataFrame({"event_id": frame["event_id"], "is_entry": entries, "session_number": numbers})
 
     def close(self) -> None:
@@ -65,8 +73,8 @@ def sessions(events: DataFrame, keys: list[str], days: int | None = STATE_DAYS)
     """event_id, is_entry, session_number of a stream; needs the RocksDB state store (see `with_state_store`).
 
     State expires after `days`, by the clock. None keeps it. With expiry, a query that drains what is available and ends needs `drains`."""
-    rows = events.withColumn("micros", F.unix_micros("occurred_at")).select(*keys, "event_id", "micros")
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    rows = events.select(bucket(*keys), key_text(*keys).alias("key"), "event_id", F.unix_micros("occurred_at").alias("micros"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Sessions(days), outputStructType="event_id long, is_entry boolean, session_number long",
         outputMode="Append", timeMode="ProcessingTime" if days else "None",
     )
